@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing
 
 
 def queries() -> dict:
     return {
+        "op2_packing": packing.op2_packing,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_source_mixing": mixing.op5_source_mixing,
     }
