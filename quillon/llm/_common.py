@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fewer texts per Arrow batch than Spark's default: whole texts may be long.
-ARROW_ROWS = 256
+ARROW_ROWS = 1024
 #: Keys holding more than one row in HEAVY_SHARE are handled by broadcast; there are fewer than HEAVY_SHARE of them.
 HEAVY_SHARE = 1000
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, minhash_dedup, mixing, packing
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
+        "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_source_mixing": mixing.op5_source_mixing,
     }
