@@ -64,9 +64,10 @@ def join_grouped(rows: DataFrame, groups: DataFrame, key: str, n_col: str, total
     heavy = groups.filter(F.col(n_col) * HEAVY_SHARE > total).select(F.col(key).alias("__hk"), F.struct(*value).alias("__hv"))
     rest = groups.filter(F.col(n_col) * HEAVY_SHARE <= total).select(F.col(key).alias("__rk"), F.struct(*value).alias("__rv"))
     out = rows.join(F.broadcast(heavy), F.col(key) == F.col("__hk"), "left")
-    scatter = F.concat(F.lit("\x00"), F.md5(F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in spread])))
-    kind = dict(groups.dtypes)[key]
-    out = out.withColumn("__k", F.when(F.col("__hk").isNull(), F.col(key)).otherwise(scatter.cast(kind)))
+    # a scattered key that happens to be a real one does no harm: the heavy value comes first, and keys are unique
+    scatter = F.xxhash64(F.lit("scatter"), *spread)
+    scatter = scatter.cast("binary") if dict(groups.dtypes)[key] == "binary" else scatter
+    out = out.withColumn("__k", F.when(F.col("__hk").isNull(), F.col(key)).otherwise(scatter))
     out = out.join(rest, F.col("__k") == F.col("__rk"), "left")
     out = out.withColumn("__v", F.coalesce("__hv", "__rv"))
     return out.select(*rows.columns, *[F.col("__v")[c].alias(c) for c in value])
