@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash_dedup, mixing, packing
+from . import exact_dedup, minhash_dedup, mixing, packing, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_source_mixing": mixing.op5_source_mixing,
+        "op7_toxicity": toxicity.op7_toxicity,
     }
 
 
