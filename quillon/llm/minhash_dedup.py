@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ._common import join_grouped, materialise, small_batches
 from ._graph import connected_components
+from ._pairs import UnionFind, runs
 from ._shingles import U, mix, shingle_set
 
 MINIMA, SKETCH = 128, 64
@@ -98,54 +99,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     return rows.mapInPandas(sign, "id long, n long, digest binary, sketch binary, shallow array<long>, deep array<long>")
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-
-    def roots(self) -> np.ndarray:
-        while not np.array_equal(up := self.up[self.up], self.up):
-            self.up = up
-        return self.up
-
-
-def _runs(batches, key: str):
-    """Frames of equal key, from batches sorted by key."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        keys = batch[key].to_numpy()
-        cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-        for a, b in zip(cuts, cuts[1:]):
-            if held and held[-1][key].iloc[-1] != keys[a]:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(batch.iloc[a:b])
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
-
-
 def _cluster_edges(regions: DataFrame, percent: int) -> DataFrame:
     """regions: (key, id, sketch, size). Ties ids whose sketches agree, or all of a region above REGION. Out: (a, b)."""
     p = percent / 100
     least = SKETCH * (p - 4 * math.sqrt(p * (1 - p) / SKETCH))
 
     def run(batches):
-        for frame in _runs(batches, "key"):
+        for frame in runs(batches, "key"):
             if len(frame) < 2:
                 continue
             ids = frame["id"].to_numpy()
             sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(ids), SKETCH)
-            sets = _Union(len(ids))
+            sets = UnionFind(len(ids))
             for i in range(1, len(ids)):
                 for j in np.flatnonzero((sketch[:i] == sketch[i]).sum(1) >= least):
                     sets.join(i, j)
@@ -172,7 +137,7 @@ def _links(groups: DataFrame, words: int, percent: int) -> DataFrame:
     """groups: (group, id, text), sorted by group within partitions. Confirms on full sets. Out: (a, b)."""
 
     def compare(batches):
-        for frame in _runs(batches, "group"):
+        for frame in runs(batches, "group"):
             frame = frame.drop_duplicates()
             sets = [shingle_set(t, words) for t in frame["text"]]
             ids, sets = frame["id"].to_numpy()[[len(s) > 0 for s in sets]], [s for s in sets if len(s)]
@@ -183,7 +148,7 @@ def _links(groups: DataFrame, words: int, percent: int) -> DataFrame:
             ids, sizes, sets = ids[order], sizes[order], [sets[i] for i in order]
             _, dense = np.unique(np.concatenate(sets), return_inverse=True)
             starts = np.concatenate(([0], np.cumsum(sizes)))
-            mark, joined = np.zeros(dense.max() + 1, bool), _Union(len(ids))
+            mark, joined = np.zeros(dense.max() + 1, bool), UnionFind(len(ids))
             for i in range(len(ids) - 1):
                 # sorted by size: partners are the next ones, up to size / threshold
                 end = np.searchsorted(sizes, sizes[i] * 100 // percent, "right")
