@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, toxicity
+from . import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_source_mixing": mixing.op5_source_mixing,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_token_counts": token_counts.op8_token_counts,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
 
