@@ -66,7 +66,8 @@ def join_grouped(rows: DataFrame, groups: DataFrame, key: str, n_col: str, total
     out = rows.join(F.broadcast(heavy), F.col(key) == F.col("__hk"), "left")
     # a scattered key that happens to be a real one does no harm: the heavy value comes first, and keys are unique
     scatter = F.xxhash64(F.lit("scatter"), *spread)
-    scatter = scatter.cast("string").cast("binary") if dict(groups.dtypes)[key] == "binary" else scatter
+    kind = dict(groups.dtypes)[key]
+    scatter = scatter if kind == "bigint" else scatter.cast("string").cast(kind)
     out = out.withColumn("__k", F.when(F.col("__hk").isNull(), F.col(key)).otherwise(scatter))
     out = out.join(rest, F.col("__k") == F.col("__rk"), "left")
     out = out.withColumn("__v", F.coalesce("__hv", "__rv"))

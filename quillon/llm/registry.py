@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, token_counts, toxicity
+from . import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, token_counts, toxicity, warc_zip
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_source_mixing": mixing.op5_source_mixing,
+        "op6_warc_zip": warc_zip.op6_warc_zip,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_token_counts": token_counts.op8_token_counts,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
