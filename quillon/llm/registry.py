@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, token_counts, toxicity, warc_zip
+from . import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, secrets, token_counts, toxicity, warc_zip
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": secrets.op1_secret_scan,
         "op2_packing": packing.op2_packing,
         "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
