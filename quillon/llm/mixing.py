@@ -62,35 +62,18 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max
     return s.select("source", "source_size", "rank", "target")
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[float, ...] = (1, 2, 3),
-    schedules: tuple[tuple[float, ...], ...] = SCHEDULES,
-    max_epochs: int = 3,
-    cut: bool = True,
-    seed: str = "mix",
-    carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """One row per document, range-sorted by its first training position.
-
-    Columns: id, size, source, source_size, target, taken, epochs (array of the
-    words taken in each pass) and positions (training time of each of those passes);
-    ``carry`` names columns of docs to keep. With cut, the document at the end of the
-    last pass is taken in part; without, it is taken whole if at least half of it fits.
-    Documents that the mix leaves out have no position and come last.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"),
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> list[Column]:
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return [
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{source_col}`").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h"),
-        *[F.col(c).alias(f"__c_{c}") for c in carry],
-    )
-    rows = materialise(rows, "mix-rows")
+        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), text).alias("h"),
+    ]
+
+
+def _plan(rows: DataFrame, weights, schedules, max_epochs: int, cut: bool) -> DataFrame:
+    """rows: a written table (id, source, size, h), and rid where rows are to be found again."""
     n = splits(rows.count())
     rows = rows.withColumn("split", split_of(n, F.col("h")))
     # a source's stream runs through its splits in turn, and within each by hash
@@ -122,18 +105,57 @@ def mix(
 
     rows = rows.withColumn("positions", F.transform("epochs", position))
     taken = F.col("size") * F.when(F.col("size") > 0, F.col("passes")).otherwise(0) + F.when(F.col("size") > 0, F.col("part")).otherwise(0)
-    out = rows.select("id", "size", "source", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), "epochs", "positions", *[F.col(f"__c_{c}").alias(c) for c in carry], "h")
+    out = rows.select("id", "size", "source", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), "epochs", "positions", "h", *[c for c in rows.columns if c == "rid"])
+    return out
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (1, 2, 3),
+    schedules: tuple[tuple[float, ...], ...] = SCHEDULES,
+    max_epochs: int = 3,
+    cut: bool = True,
+    seed: str = "mix",
+) -> DataFrame:
+    """One row per document, range-sorted by its first training position.
+
+    Columns: id, size, source, source_size, target, taken, epochs (array of the
+    words taken in each pass) and positions (training time of each of those passes). With cut, the document at the end of the
+    last pass is taken in part; without, it is taken whole if at least half of it fits.
+    Documents that the mix leaves out have no position and come last.
+    """
+    rows = materialise(docs.select(*_sized(docs, id_col, text_col, source_col, seed)), "mix-rows")
+    out = _plan(rows, weights, schedules, max_epochs, cut)
     # left-out documents are spread over (1, 2], so that no range holds them all
     key = F.coalesce(F.get("positions", F.lit(0)), F.lit(1.5) + F.col("h") / F.lit(2.0**64))
     return out.withColumn("__key", key).repartitionByRange("__key").sortWithinPartitions("__key").drop("__key", "h")
 
 
-def sample_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs' own columns, each row as often as the mix takes it (whole documents), in order of training position."""
-    own = list(docs.columns)
-    out = mix(docs, cut=False, carry=tuple(own), **options)
-    each = out.select(F.explode("positions").alias("__at"), *[F.col(f"`{c}`") for c in own])
-    return each.repartitionByRange("__at").sortWithinPartitions("__at").drop("__at")
+def sample_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (1, 2, 3),
+    schedules: tuple[tuple[float, ...], ...] = SCHEDULES,
+    max_epochs: int = 3,
+    seed: str = "mix",
+) -> DataFrame:
+    """docs' own columns, each row as often as the mix takes it (whole documents), in order of training position.
+
+    Rows are numbered as they are written; the plan is made without texts, which then move
+    once to meet it and once to their range.
+    """
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = materialise(docs.select(*own, *_sized(docs, id_col, text_col, source_col, seed), F.monotonically_increasing_id().alias("rid")), "mix-rows")
+    plan = _plan(rows.select("rid", "id", "source", "size", "h"), weights, schedules, max_epochs, cut=False)
+    plan = plan.filter(F.size("positions") > 0).select("rid", F.explode("positions").alias("at"))
+    each = rows.select("rid", *[f"c{i}" for i in range(len(own))]).join(plan, "rid")
+    each = each.repartitionByRange("at").sortWithinPartitions("at")
+    return each.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

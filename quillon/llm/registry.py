@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, secrets, token_counts, toxicity, warc_zip
+import corpus_pipeline
+
+from . import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, quality, secrets, token_counts, toxicity, warc_zip
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_packing": packing.op2_packing,
         "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
@@ -15,6 +18,7 @@ def queries() -> dict:
         "op6_warc_zip": warc_zip.op6_warc_zip,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_token_counts": token_counts.op8_token_counts,
+        "op9_quality": quality.op9_quality,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
 
