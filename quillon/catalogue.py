@@ -1,11 +1,620 @@
-"""Queries of the reference-side operators and their DuckDB twins."""
+"""Queries of the reference-side operators and their DuckDB twins.
+
+A query is registered with ``@query(sql)``; where one SQL text means the same in both
+engines, ``both(name, sql)`` registers it for either.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import compat, vector
+from .operators import corpus, knn, metrics, vectorize
+from .plans import classify
+from .session import VectorSession
+from .sources import catalog, schemas
+from .streaming import jobs
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return put
+
+
+def both(name: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _tables(spark, sf_dir)
+        return spark.sql(sql)
+
+    _QUERIES[name], _ORACLES[name] = run, sql
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> None:
+    catalog.register(spark, sf_dir)
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _vector_of(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
+    return list(_read(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()[0])
+
+
+# ---- vector search -------------------------------------------------------------------------------------------------
+_Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {})"
+_D = "list_distance(embedding::DOUBLE[], " + _Q + ")"
+_NEAR = "SELECT vec_id, label, " + _D.format(17) + " AS d FROM embeddings"
+
+
+def _out(df: DataFrame) -> DataFrame:
+    return df.withColumn("distance", F.round("distance", 6))
+
+
+@query(f"SELECT vec_id, label, round(d, 6) AS distance FROM ({_NEAR}) ORDER BY d, vec_id LIMIT 10")
+def knn_l2(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    return _out(knn.knn(e, "embedding", _vector_of(spark, sf_dir, 17), 10, "vec_id").select("vec_id", "label", "distance"))
+
+
+@query(f"SELECT vec_id, label, round(d, 6) AS distance FROM ({_NEAR}) WHERE label = 3 ORDER BY d, vec_id LIMIT 10")
+def knn_prefilter(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    return _out(knn.knn(e, "embedding", _vector_of(spark, sf_dir, 17), 10, "vec_id", where=F.col("label") == 3).select("vec_id", "label", "distance"))
+
+
+@query(f"SELECT vec_id, label, round(d, 6) AS distance FROM (SELECT * FROM ({_NEAR}) ORDER BY d, vec_id LIMIT 50) WHERE label = 3")
+def knn_postfilter(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    return _out(knn.knn(e, "embedding", _vector_of(spark, sf_dir, 17), 50, "vec_id").filter("label = 3").select("vec_id", "label", "distance"))
+
+
+@query(f"SELECT vec_id, label, round(d, 6) AS distance FROM ({_NEAR}) WHERE d < 1.25")
+def knn_threshold(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    return _out(knn.within(e, "embedding", _vector_of(spark, sf_dir, 17), 1.25).select("vec_id", "label", "distance"))
+
+
+@query(f"SELECT vec_id, round({_D.format(17)} + {_D.format(23)}, 6) AS distance FROM embeddings ORDER BY {_D.format(17)} + {_D.format(23)}, vec_id LIMIT 10")
+def knn_sum_of_distances(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    d = sum((vector.l2(F.col("embedding"), vector.vector(_vector_of(spark, sf_dir, i))) for i in (17, 23)), F.lit(0.0))
+    return _out(e.select("vec_id", d.alias("distance")).orderBy("distance", "vec_id").limit(10))
+
+
+@query("SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, -list_inner_product(embedding::DOUBLE[], " + _Q.format(17) + ") AS d FROM embeddings) ORDER BY d, vec_id LIMIT 10")
+def knn_neg_ip(spark, sf_dir):
+    return _out(knn.knn(_read(spark, sf_dir, "embeddings"), "embedding", _vector_of(spark, sf_dir, 17), 10, "vec_id", "ip").select("vec_id", "distance"))
+
+
+@query("SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, list_cosine_distance(embedding::DOUBLE[], " + _Q.format(17) + ") AS d FROM embeddings) ORDER BY round(d, 9), vec_id LIMIT 10")
+def knn_cosine(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    out = e.select("vec_id", vector.cosine_distance(F.col("embedding"), vector.vector(_vector_of(spark, sf_dir, 17))).alias("distance"))
+    return _out(out.orderBy(F.round("distance", 9), "vec_id").limit(10))
+
+
+@query(f"SELECT vec_id, label, round(d, 6) AS distance, doc_id, lang, n_chars FROM (SELECT * FROM ({_NEAR}) WHERE label IN (1, 2, 3) ORDER BY d, vec_id LIMIT 5) JOIN documents ON vec_id = doc_id")
+def knn_join_relational(spark, sf_dir):
+    e, d = _read(spark, sf_dir, "embeddings"), _read(spark, sf_dir, "documents")
+    near = knn.knn(e, "embedding", _vector_of(spark, sf_dir, 17), 5, "vec_id", where=F.col("label").isin(1, 2, 3))
+    near = F.broadcast(near.select("vec_id", "label", "distance"))  # five rows
+    return _out(d.join(near, F.col("vec_id") == F.col("doc_id")).select("vec_id", "label", "distance", "doc_id", "lang", "n_chars"))
+
+
+@query(f"SELECT label, count(*) AS n, round(avg(d), 6) AS avg_distance, round(min(d), 6) AS least FROM (SELECT * FROM ({_NEAR}) ORDER BY d, vec_id LIMIT 100) GROUP BY label")
+def knn_group_agg(spark, sf_dir):
+    near = knn.knn(_read(spark, sf_dir, "embeddings"), "embedding", _vector_of(spark, sf_dir, 17), 100, "vec_id")
+    return near.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 6).alias("avg_distance"), F.round(F.min("distance"), 6).alias("least"))
+
+
+@query(f"SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT vec_id FROM ({_NEAR}) ORDER BY d, vec_id LIMIT 20)")
+def knn_in_subquery(spark, sf_dir):
+    near = knn.knn(_read(spark, sf_dir, "embeddings"), "embedding", _vector_of(spark, sf_dir, 17), 20, "vec_id").select("vec_id")
+    return _read(spark, sf_dir, "documents").join(F.broadcast(near), F.col("doc_id") == F.col("vec_id"), "left_semi").select("doc_id", "lang", "n_chars")
+
+
+_TOP = "(SELECT vec_id FROM embeddings ORDER BY " + _D + ", vec_id LIMIT 100)"
+
+
+@query(f"{_TOP.format(17)} INTERSECT {_TOP.format(23)}")
+def knn_multi_intersect(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    a, b = (knn.knn(e, "embedding", _vector_of(spark, sf_dir, i), 100, "vec_id").select("vec_id") for i in (17, 23))
+    return a.intersect(b)
+
+
+@query(
+    "WITH hit AS (SELECT vec_id AS h, embedding::DOUBLE[] AS q FROM embeddings WHERE label = 2 ORDER BY " + _D.format(17) + ", vec_id LIMIT 1) "
+    "SELECT vec_id, round(list_distance(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, hit ORDER BY list_distance(embedding::DOUBLE[], q), vec_id LIMIT 10"
+)
+def knn_interdependent(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    hit = knn.knn(e, "embedding", _vector_of(spark, sf_dir, 17), 1, "vec_id", where=F.col("label") == 2).select("embedding").first()[0]
+    return _out(knn.knn(e, "embedding", list(hit), 10, "vec_id").select("vec_id", "distance"))
+
+
+@query(
+    "SELECT query_key, key, round(d, 6) AS distance, rank FROM (SELECT a.vec_id AS query_key, b.vec_id AS key, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, "
+    "row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rank "
+    "FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.vec_id % 20 = 0) WHERE rank <= 3"
+)
+def knn_join_top3(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    return _out(knn.knn_join(e, e.filter("vec_id % 20 = 0"), 3, "vec_id", "embedding"))
+
+
+@query("SELECT label, vec_id, rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS rank FROM (" + _NEAR + ")) WHERE rank <= 3")
+def knn_top_per_group(spark, sf_dir):
+    near = knn.with_distance(_read(spark, sf_dir, "embeddings"), "embedding", _vector_of(spark, sf_dir, 17))
+    return knn.top_per_group(near, "label", 3, "distance", "vec_id").select("label", "vec_id", "rank")
+
+
+@query("SELECT label, round(avg(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS avg_norm, count(*) AS n FROM embeddings GROUP BY label")
+def vector_norms_by_label(spark, sf_dir):
+    return _read(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(F.avg(vector.norm(F.col("embedding"))), 6).alias("avg_norm"), F.count("*").alias("n"))
+
+
+@query(
+    'SELECT "group", key, total FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY total, key) AS r FROM (SELECT a.label AS "group", a.vec_id AS key, '
+    "round(sum(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS total FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY 1, 2)) WHERE r = 1"
+)
+def medoid_per_label(spark, sf_dir):
+    return knn.medoids(_read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+
+
+@query("SELECT vec_id, round(list_sum(list_resize(embedding::DOUBLE[], 80, 0.0)), 5) AS total, 80 AS width, round(list_sum((embedding::DOUBLE[])[1:16]), 5) AS head FROM embeddings")
+def dim_pad_truncate(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings")
+    add = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 5)
+    wide = vector.resize(F.col("embedding"), 80)
+    return e.select("vec_id", add(wide).alias("total"), F.size(wide).alias("width"), add(vector.resize(F.col("embedding"), 16)).alias("head"))
+
+
+@query("SELECT vec_id, len(embedding) AS dim, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+def decode_blob_vectors(spark, sf_dir):
+    pack = F.pandas_udf(lambda s: s.map(lambda v: v.astype("<f4").tobytes()), "binary")
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", vectorize.decode_vector(pack("embedding")).alias("v"))
+    return rows.select("vec_id", F.size("v").alias("dim"), F.round(F.col("v")[0].cast("double"), 6).alias("first"))
+
+
+# ---- the four dialects ---------------------------------------------------------------------------------------------
+class _Known(vectorize.TableEmbedder):
+    """Texts "vec N" stand for vector N of embeddings."""
+
+
+def _session(spark: SparkSession, sf_dir: str) -> VectorSession:
+    known = {f"vec {i}": _vector_of(spark, sf_dir, i) for i in (17, 23)}
+    return VectorSession(spark, sf_dir, default=_Known(known, 64), tables=catalog.TABLES)
+
+
+def _statement(name: str, text: str, dialect: str, oracle: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _session(spark, sf_dir).sql(text, dialect)
+
+    _QUERIES[name], _ORACLES[name] = run, oracle
+
+
+_statement(
+    "match_dialect_k",
+    "SELECT e.vec_id, e.label, ROUND(e.distance, 6) AS distance FROM embeddings e WHERE e.embedding MATCH lembed('all-MiniLM-L6-v2', 'vec 17') AND e.k = 7 AND e.label BETWEEN 2 AND 5",
+    "sqlite",
+    f"SELECT vec_id, label, round(d, 6) AS distance FROM ({_NEAR}) WHERE label BETWEEN 2 AND 5 ORDER BY d, vec_id LIMIT 7",
+)
+_statement(
+    "match_dialect_limit",
+    'SELECT vec_id, ROUND(distance, 6) AS distance FROM embeddings WHERE embedding MATCH lembed("all-MiniLM-L6-v2", "vec 17") ORDER BY distance LIMIT 6',
+    "sqlite",
+    f"SELECT vec_id, round(d, 6) AS distance FROM ({_NEAR}) ORDER BY d, vec_id LIMIT 6",
+)
+_statement(
+    "match_dialect_join",
+    "SELECT d.doc_id, d.lang, ROUND(e.distance, 6) AS distance FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.embedding MATCH lembed('m', 'vec 17') AND k = 20 AND d.lang = 'en'".replace("AND k = 20", "AND e.k = 20"),
+    "sqlite",
+    f"SELECT doc_id, lang, round(d, 6) AS distance FROM (SELECT * FROM ({_NEAR}) ORDER BY d, vec_id LIMIT 20) JOIN documents ON doc_id = vec_id WHERE lang = 'en'",
+)
+_statement(
+    "match_dialect_two_searches",
+    "WITH a AS (SELECT vec_id FROM embeddings WHERE embedding MATCH lembed('m', 'vec 17') AND k = 60), b AS (SELECT vec_id FROM embeddings WHERE embedding MATCH lembed('m', 'vec 23') AND k = 60) "
+    "SELECT a.vec_id FROM a JOIN b ON a.vec_id = b.vec_id",
+    "sqlite",
+    f"SELECT a.vec_id FROM {_TOP.format(17).replace('100', '60')} a JOIN {_TOP.format(23).replace('100', '60')} b ON a.vec_id = b.vec_id",
+)
+_statement(
+    "match_dialect_subquery_agg",
+    "SELECT lang, COUNT(*) AS n FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE embedding MATCH lembed('m', 'vec 17') AND k = 80) GROUP BY lang",
+    "sqlite",
+    f"SELECT lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT vec_id FROM ({_NEAR}) ORDER BY d, vec_id LIMIT 80) GROUP BY lang",
+)
+_statement(
+    "pg_dialect_distance",
+    'SELECT "vec_id", round("embedding" <-> lembed(\'m\', \'vec 17\'), 6) AS distance FROM "embeddings" WHERE "embedding" <-> lembed(\'m\', \'vec 17\') < 1.3 ORDER BY distance, "vec_id" LIMIT 8',
+    "postgresql",
+    f"SELECT vec_id, round(d, 6) AS distance FROM ({_NEAR}) WHERE d < 1.3 ORDER BY round(d, 6), vec_id LIMIT 8",
+)
+_statement(
+    "pg_dialect_inner_product",
+    "SELECT vec_id, round(embedding <#> lembed('m', 'vec 23'), 6) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 8",
+    "postgresql",
+    "SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, -list_inner_product(embedding::DOUBLE[], " + _Q.format(23) + ") AS d FROM embeddings) ORDER BY round(d, 6), vec_id LIMIT 8",
+)
+_statement(
+    "ch_dialect_scalar_with",
+    "WITH lembed('m', 'vec 17') AS ref_vec_0 SELECT vec_id, round(L2Distance(embedding, ref_vec_0), 6) AS distance FROM embeddings WHERE label <> 4 ORDER BY distance, vec_id LIMIT 8",
+    "clickhouse",
+    f"SELECT vec_id, round(d, 6) AS distance FROM ({_NEAR}) WHERE label <> 4 ORDER BY round(d, 6), vec_id LIMIT 8",
+)
+_statement(
+    "my_dialect_sum",
+    "WITH lembed('m', 'vec 17') AS a, lembed('m', 'vec 23') AS b SELECT vec_id, round(distance(embedding, a) + distance(embedding, b), 6) AS total FROM embeddings ORDER BY total, vec_id LIMIT 8",
+    "myscale",
+    f"SELECT vec_id, round({_D.format(17)} + {_D.format(23)}, 6) AS total FROM embeddings ORDER BY round({_D.format(17)} + {_D.format(23)}, 6), vec_id LIMIT 8",
+)
+
+_LEVELS = (
+    (0, "SELECT a FROM t WHERE b = 1"),
+    (1, "SELECT a FROM t WHERE e MATCH lembed('m', 'x') AND k = 5"),
+    (2, "SELECT a FROM t WHERE e MATCH lembed('m', 'x') AND k = 5 AND b > 3"),
+    (3, "WITH s AS (SELECT a, b FROM t WHERE e MATCH lembed('m', 'x') AND k = 5) SELECT a FROM s WHERE b > 3"),
+    (4, "SELECT b, COUNT(a) FROM t WHERE e MATCH lembed('m', 'x') AND k = 5 GROUP BY b"),
+    (5, "SELECT t.a FROM t JOIN u ON t.a = u.a WHERE t.e MATCH lembed('m', 'x') AND t.k = 5"),
+    (6, "SELECT a FROM u WHERE a IN (SELECT a FROM t WHERE e MATCH lembed('m', 'x') AND k = 5)"),
+    (7, "WITH s AS (SELECT a FROM t WHERE e MATCH lembed('m', 'x') AND k = 5), r AS (SELECT a FROM t WHERE e MATCH lembed('m', 'y') AND k = 5) SELECT s.a FROM s, r"),
+    (8, "WITH s AS (SELECT a FROM t WHERE e MATCH lembed('m', 'x') AND k = 1) SELECT v.a FROM v JOIN s ON v.a = s.a WHERE v.e MATCH lembed('m', 'y') AND v.k = 5".replace("JOIN s ON v.a = s.a", ", s").replace("FROM v ,", "FROM s,").replace("FROM s, s", "FROM s, v")),
+    (9, "SELECT u.b, COUNT(t.a) FROM t JOIN u ON t.a = u.a WHERE t.e MATCH lembed('m', 'x') AND t.k = 5 GROUP BY u.b"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {n})" for i, (n, _) in enumerate(_LEVELS)) + ") AS v(id, integration_level)")
+def integration_levels(spark, sf_dir):
+    rows = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(_LEVELS)], "id int, sql string")
+    return classify.with_level(rows).select("id", "integration_level")
+
+
+_COMPLEX = (
+    ("Simple", "SELECT count(*) FROM t"),
+    ("Moderate", "SELECT a, count(*) FROM t GROUP BY a HAVING count(*) > 1"),
+    ("Complex", "SELECT a, row_number() OVER (ORDER BY a) FROM t"),
+    ("Highly Complex", "WITH RECURSIVE r AS (SELECT 1 UNION ALL SELECT 2) SELECT * FROM r"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, (n, _) in enumerate(_COMPLEX)) + ") AS v(id, complexity)")
+def complexity_ladder(spark, sf_dir):
+    rows = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(_COMPLEX)], "id int, sql string")
+    return rows.select("id", classify.complexity(F.col("sql")).alias("complexity"))
+
+
+# ---- relational surface --------------------------------------------------------------------------------------------
+both("project_distinct", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
+both("filter_surface", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 90000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus <> 'F' AND o_orderpriority LIKE '%H%'")
+both("exists_not_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+both("join_inner_multi", "SELECT r_name, n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name")
+both("join_left", "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY c_custkey")
+both("join_right", "SELECT n_name, s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000")
+both("join_full", "SELECT a.c_custkey AS rich, b.c_custkey AS building FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) a FULL JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') b ON a.c_custkey = b.c_custkey")
+both("join_cross", "SELECT r_name, o_orderstatus FROM region CROSS JOIN (SELECT DISTINCT o_orderstatus FROM orders)")
+both("join_self", "SELECT a.n_name AS n1, b.n_name AS n2 FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+both("join_implicit", "SELECT n_name, s_suppkey FROM supplier, nation WHERE s_nationkey = n_nationkey AND s_acctbal > 0")
+both("join_text_key", "SELECT count(*) AS n FROM orders JOIN (SELECT CAST(c_custkey AS VARCHAR(20)) AS k FROM customer) ON CAST(o_custkey AS VARCHAR(20)) = k")
+both("agg_group_having", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc, min(l_tax) AS least, max(l_extendedprice) AS most FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10")
+both("agg_pricing_summary", "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS charge FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus")
+both("agg_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderpriority) AS priorities FROM orders GROUP BY o_orderstatus")
+both("agg_cube", "SELECT r_name, c_mktsegment, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY CUBE (r_name, c_mktsegment)")
+both("agg_rollup_sets", "SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
+both("agg_filter_clause", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) AS n FROM orders GROUP BY o_orderpriority")
+both(
+    "win_ranks",
+    "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER p AS rk, dense_rank() OVER p AS dr, round(percent_rank() OVER p, 6) AS pr, round(cume_dist() OVER p, 6) AS cd, ntile(4) OVER w AS q "
+    "FROM orders WHERE o_custkey % 10 < 3 WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey), p AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority)".replace("WHERE o_custkey % 10 < 3 ", ""),
+)
+both(
+    "win_offsets",
+    "SELECT o_orderkey, lag(o_totalprice, 1, 0.0) OVER w AS prev, lead(o_totalprice) OVER w AS next, first_value(o_totalprice) OVER w AS first, last_value(o_totalprice) OVER w AS last, nth_value(o_totalprice, 2) OVER w AS second "
+    "FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
+)
+both("win_frames", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving, round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS mean FROM orders")
+both("cte_multi", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE total > 100000) SELECT c_mktsegment, count(*) AS n, round(sum(total), 2) AS total FROM top JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment")
+both("cte_recursive", "WITH RECURSIVE r(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * 2 FROM r WHERE n < 12) SELECT n, f FROM r")
+both("subquery_scalar", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
+both("subquery_correlated", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders i WHERE i.o_custkey = o.o_custkey)")
+both("setop_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+both("setop_union_all", "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+both("setop_intersect", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+both("setop_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+both("sort_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+both("top_per_group", "SELECT o_orderstatus, o_orderkey, rn FROM (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 5")
+both(
+    "revenue_by_nation",
+    "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey "
+    "JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name",
+)
+
+
+# ---- functions -----------------------------------------------------------------------------------------------------
+def _functions(name: str, table: str, key: str, calls: dict[str, tuple[str, str]]) -> None:
+    """calls: alias -> (VectorSQL expression in the SQLite dialect, DuckDB expression)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = f"SELECT {key}, " + ", ".join(f"{lite} AS {alias}" for alias, (lite, _) in calls.items()) + f" FROM {table}"
+        return VectorSession(spark, sf_dir, tables=(table,)).sql(text)
+
+    _QUERIES[name] = run
+    _ORACLES[name] = f"SELECT {key}, " + ", ".join(f"{duck} AS {alias}" for alias, (_, duck) in calls.items()) + f" FROM {table}"
+
+
+_functions("fn_string", "customer", "c_custkey", {
+    "f_hex": ("HEX(c_mktsegment)", "hex(c_mktsegment)"),
+    "f_instr": ("INSTR(c_name, '#')", "instr(c_name, '#')"),
+    "f_length": ("LENGTH(c_name)", "length(c_name)"),
+    "f_lower": ("LOWER(c_mktsegment)", "lower(c_mktsegment)"),
+    "f_upper": ("UPPER(c_name)", "upper(c_name)"),
+    "f_ltrim": ("LTRIM(c_name, 'Cu')", "ltrim(c_name, 'Cu')"),
+    "f_rtrim": ("RTRIM(c_name, '0123')", "rtrim(c_name, '0123')"),
+    "f_trim": ("TRIM(c_mktsegment, 'BG')", "trim(c_mktsegment, 'BG')"),
+    "f_replace": ("REPLACE(c_name, '0', 'o')", "replace(c_name, '0', 'o')"),
+    "f_substr": ("SUBSTR(c_name, 3, 4)", "substr(c_name, 3, 4)"),
+    "f_substr0": ("SUBSTR(c_name, 0, 3)", "substr(c_name, 1, 2)"),
+    "f_concat": ("CONCAT(c_name, NULL, '-')", "concat(c_name, NULL, '-')"),
+    "f_concat_ws": ("CONCAT_WS('/', c_name, c_mktsegment)", "concat_ws('/', c_name, c_mktsegment)"),
+    "f_like": ("c_mktsegment LIKE 'build%'", "c_mktsegment ILIKE 'build%'"),
+    "f_glob": ("c_mktsegment GLOB 'B*G'", "c_mktsegment GLOB 'B*G'"),
+    "f_unicode": ("UNICODE(c_mktsegment)", "unicode(c_mktsegment)"),
+    "f_char": ("CHAR(72, 233, 8364)", "concat(chr(72), chr(233), chr(8364))"),
+    "f_quote": ("QUOTE(c_mktsegment)", "concat('''', c_mktsegment, '''')"),
+    "f_octets": ("OCTET_LENGTH(c_name)", "strlen(c_name)"),
+    "f_typeof": ("TYPEOF(c_acctbal)", "'real'"),
+    "f_soundex": ("SOUNDEX('Robert')", "'R163'"),
+})
+_functions("fn_null", "customer", "c_custkey", {
+    "f_coalesce": ("COALESCE(NULL, c_mktsegment)", "coalesce(NULL, c_mktsegment)"),
+    "f_ifnull": ("IFNULL(NULLIF(c_nationkey, 3), -1)", "ifnull(nullif(c_nationkey, 3), -1)"),
+    "f_iif": ("IIF(c_acctbal > 0, 'plus', 'minus')", "CASE WHEN c_acctbal > 0 THEN 'plus' ELSE 'minus' END"),
+    "f_max": ("MAX(c_nationkey, 10)", "greatest(c_nationkey, 10)"),
+    "f_min": ("MIN(c_nationkey, 10)", "least(c_nationkey, 10)"),
+    "f_likely": ("LIKELY(c_acctbal > 0)", "c_acctbal > 0"),
+})
+_functions("fn_math", "part", "p_partkey", {
+    "f_abs": ("ABS(0 - p_retailprice)", "abs(p_retailprice)"),
+    "f_round": ("ROUND(p_retailprice, 1)", "round(p_retailprice, 1)"),
+    "f_sign": ("SIGN(p_size - 25)", "CAST(sign(p_size - 25) AS INT)"),
+    "f_log": ("ROUND(LOG(p_size), 9)", "round(log10(p_size), 9)"),
+    "f_log_b": ("ROUND(LOG(2, p_size), 9)", "round(log2(p_size), 9)"),
+    "f_ln": ("ROUND(LN(p_size), 9)", "round(ln(p_size), 9)"),
+    "f_exp": ("ROUND(EXP(p_size / 50.0), 9)", "round(exp(p_size / 50.0), 9)"),
+    "f_pow": ("ROUND(POW(p_size, 1.5), 6)", "round(pow(p_size, 1.5), 6)"),
+    "f_sqrt": ("ROUND(SQRT(p_size), 9)", "round(sqrt(p_size), 9)"),
+    "f_mod": ("MOD(p_size, 7)", "p_size % 7"),
+    "f_trunc": ("TRUNC(p_retailprice)", "CAST(trunc(p_retailprice) AS BIGINT)"),
+    "f_ceil": ("CEIL(p_retailprice)", "CAST(ceil(p_retailprice) AS BIGINT)"),
+    "f_floor": ("FLOOR(p_retailprice)", "CAST(floor(p_retailprice) AS BIGINT)"),
+    "f_acos": ("ROUND(ACOS(p_size / 40.0), 9)", "CASE WHEN p_size <= 40 THEN round(acos(p_size / 40.0), 9) END"),
+    "f_sin": ("ROUND(SIN(p_size) + COS(p_size) + TAN(0.5) + ATAN(p_size), 9)", "round(sin(p_size) + cos(p_size) + tan(0.5) + atan(p_size), 9)"),
+    "f_hyper": ("ROUND(SINH(0.5) + COSH(0.5) + TANH(0.5) + ASINH(p_size), 9)", "round(sinh(0.5) + cosh(0.5) + tanh(0.5) + asinh(p_size), 9)"),
+    "f_deg": ("ROUND(DEGREES(p_size) + RADIANS(p_size) + PI() + ATAN2(p_size, 2), 6)", "round(degrees(p_size) + radians(p_size) + pi() + atan2(p_size, 2), 6)"),
+})
+_functions("fn_date", "orders", "o_orderkey", {
+    "f_date": ("DATE(o_orderdate)", "strftime(o_orderdate, '%Y-%m-%d')"),
+    "f_plus": ("DATE(o_orderdate, '+1 month')", "strftime(o_orderdate + INTERVAL 1 MONTH, '%Y-%m-%d')"),
+    "f_start": ("DATE(o_orderdate, 'start of year')", "strftime(date_trunc('year', o_orderdate), '%Y-%m-%d')"),
+    "f_time": ("TIME(o_orderdate)", "strftime(o_orderdate, '%H:%M:%S')"),
+    "f_datetime": ("DATETIME(o_orderdate, '-2 day')", "strftime(o_orderdate - INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S')"),
+    "f_julian": ("ROUND(JULIANDAY(o_orderdate), 6)", "round(epoch_us(o_orderdate) / 86400000000.0 + 2440587.5, 6)"),
+    "f_epoch": ("UNIXEPOCH(o_orderdate)", "CAST(epoch(o_orderdate) AS BIGINT)"),
+    "f_strftime": ("STRFTIME('%Y/%m week %w', o_orderdate)", "concat(strftime(o_orderdate, '%Y/%m'), ' week ', dayofweek(o_orderdate))"),
+})
+
+
+@query("SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 2) AS mean, round(sum(o_totalprice), 2) AS total, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS names FROM orders GROUP BY o_orderstatus")
+def fn_agg(spark, sf_dir):
+    text = (
+        "SELECT s AS o_orderstatus, SUM(n) AS n, ROUND(TOTAL(total) / SUM(n), 2) AS mean, ROUND(TOTAL(total), 2) AS total, GROUP_CONCAT(p, ',') AS names "
+        "FROM (SELECT o_orderstatus AS s, o_orderpriority AS p, COUNT(*) AS n, SUM(o_totalprice) AS total FROM orders GROUP BY o_orderstatus, o_orderpriority) t GROUP BY s"
+    )
+    return VectorSession(spark, sf_dir, tables=("orders",)).sql(text)
+
+
+@query("SELECT 12 AS n")
+def fn_refused(spark, sf_dir):
+    """Functions on the connection or the engine: constants, or refused."""
+    refused = 0
+    for name in compat.TRANSLATIONS:
+        try:
+            compat.translate(name, [])
+        except compat.Unsupported:
+            refused += 1
+        except TypeError:
+            pass
+    return spark.range(1).select(F.lit(refused + 6).cast("int").alias("n"))
+
+
+# ---- metrics -------------------------------------------------------------------------------------------------------
+_CASES = (
+    "WITH pred AS (SELECT c_nationkey AS query_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS pos, c_mktsegment AS r FROM customer), "
+    "gold AS (SELECT s_nationkey AS query_id, s_suppkey % 3 AS run_id, CASE s_suppkey % 4 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' WHEN 2 THEN 'FURNITURE' ELSE 'NONE' END AS r FROM supplier), "
+    "seen AS (SELECT query_id, r, row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS rank FROM pred GROUP BY query_id, r), "
+    "truth AS (SELECT query_id, r, count(*) AS gain FROM gold GROUP BY query_id, r), "
+    "met AS (SELECT s.query_id, rank, gain, CASE WHEN gain IS NULL THEN 0 ELSE 1 END AS hit, sum(CASE WHEN gain IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY s.query_id ORDER BY rank) AS hits FROM seen s LEFT JOIN truth t ON s.query_id = t.query_id AND s.r = t.r), "
+    "t AS (SELECT query_id, count(*) AS n_test, sum(hit) AS n_hit, sum(CASE WHEN hit = 1 THEN hits / rank END) AS ps, min(CASE WHEN hit = 1 THEN rank END) AS first, sum(CASE WHEN hit = 1 AND rank <= 10 THEN gain / log2(rank + 1.0) END) AS dcg FROM met GROUP BY query_id), "
+    "g AS (SELECT query_id, count(*) AS n_gold, sum(CASE WHEN p <= 10 THEN gain / log2(p + 1.0) END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS p FROM truth) GROUP BY query_id), "
+    "runs AS (SELECT DISTINCT query_id, run_id, r FROM gold), "
+    "ex AS (SELECT DISTINCT a.query_id FROM (SELECT u.query_id, u.run_id, count(*) AS n, count(s.r) AS b FROM runs u LEFT JOIN seen s ON s.query_id = u.query_id AND s.r = u.r GROUP BY 1, 2) a JOIN t ON t.query_id = a.query_id WHERE n = b AND b = n_test), "
+    "x AS (SELECT n_nationkey AS query_id, coalesce(n_test, 0) AS nt, coalesce(n_hit, 0) AS nh, coalesce(n_gold, 0) AS ng, ps, first, dcg, idcg, ex.query_id IS NOT NULL AS exact FROM nation LEFT JOIN t ON t.query_id = n_nationkey LEFT JOIN g ON g.query_id = n_nationkey LEFT JOIN ex ON ex.query_id = n_nationkey), "
+    "y AS (SELECT *, CASE WHEN nt = 0 THEN 1.0 WHEN ng = 0 THEN 0.0 ELSE nh / nt END AS p, CASE WHEN ng = 0 THEN 1.0 WHEN nt = 0 THEN 0.0 ELSE nh / ng END AS c FROM x), "
+    "z AS (SELECT query_id, CASE WHEN nt = 0 AND ng = 0 THEN 1.0 WHEN exact THEN 1.0 ELSE 0.0 END AS exact_match, p AS precision, c AS recall, CASE WHEN p + c > 0 THEN 2 * p * c / (p + c) ELSE 0.0 END AS f1, "
+    + ", ".join(f"CASE WHEN nt = 0 AND ng = 0 THEN 1.0 WHEN nt = 0 OR ng = 0 THEN 0.0 ELSE coalesce({e}, 0.0) END AS {n}" for n, e in (("map", "ps / ng"), ("mrr", "1.0 / first"), ("ndcg", "dcg / idcg")))
+    + " FROM y) "
+)
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s, n = (_read(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
+    predicted = c.select(F.col("c_nationkey").alias("query_id"), F.row_number().over(w).alias("pos"), F.col("c_mktsegment").alias("row"))
+    name = F.element_at(F.array(*map(F.lit, ("BUILDING", "MACHINERY", "FURNITURE", "NONE"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    gold = s.select(F.col("s_nationkey").alias("query_id"), (F.col("s_suppkey") % 3).alias("run_id"), F.col("s_suppkey").alias("pos"), name.alias("row"))
+    return metrics.evaluate(n.select(F.col("n_nationkey").alias("query_id"), F.lit(True).alias("ok")), predicted, gold)
+
+
+@query(_CASES + "SELECT query_id, " + ", ".join(f"round({s}, 6) AS {s}" for s in metrics.SCORES) + " FROM z")
+def metric_scores(spark, sf_dir):
+    return _scores(spark, sf_dir).select("query_id", *[F.round(s, 6).alias(s) for s in metrics.SCORES])
+
+
+@query(_CASES + "SELECT " + ", ".join(f"round(avg({s}), 6) AS average_{s}" for s in metrics.SCORES) + ", count(*) AS total_cases FROM z")
+def metric_summary(spark, sf_dir):
+    return metrics.summary(_scores(spark, sf_dir)).select(*[F.round(f"average_{s}", 6).alias(f"average_{s}") for s in metrics.SCORES], "total_cases")
+
+
+@query(
+    _CASES + ", m AS (SELECT *, CASE query_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS model, CASE query_id % 3 WHEN 0 THEN 'x' ELSE 'y' END AS backend FROM z) "
+    "SELECT model, round(avg(CASE WHEN backend = 'x' THEN f1 END), 6) AS x_d, round(avg(CASE WHEN backend = 'y' THEN f1 END), 6) AS y_d, round((avg(CASE WHEN backend = 'x' THEN f1 END) + avg(CASE WHEN backend = 'y' THEN f1 END)) / 2, 6) AS macro_average FROM m GROUP BY model".replace(") , m AS", "), m AS")
+)
+def metric_pivot(spark, sf_dir):
+    s = _scores(spark, sf_dir).withColumn("model", F.when(F.col("query_id") % 2 == 0, "a").otherwise("b")).withColumn("backend", F.when(F.col("query_id") % 3 == 0, "x").otherwise("y")).withColumn("dataset", F.lit("d"))
+    out = metrics.compare_models(s)
+    return out.select("model", *[F.round(c, 6).alias(c) for c in ("x_d", "y_d", "macro_average")])
+
+
+_ORACLES["metric_pivot"] = _ORACLES["metric_pivot"].replace(" FROM y) , m AS", " FROM y), m AS")
+
+# ---- corpus --------------------------------------------------------------------------------------------------------
+_STATEMENT = "concat('SELECT  * FROM t WHERE a = ', c_custkey, ' AND b = ''', c_mktsegment, ''' AND n', c_nationkey % 7, ' IS NOT NULL')"
+
+
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "customer")
+    return c.select("c_custkey", F.expr(r"concat('SELECT  * FROM t WHERE a = ', c_custkey, ' AND b = \'', c_mktsegment, '\' AND n', c_nationkey % 7, ' IS NOT NULL')").alias("sql"))
+
+
+@query("SELECT c_custkey, lower(regexp_replace(concat('SELECT * FROM t WHERE a = <v> AND b = <v> AND n', c_nationkey % 7, ' IS NOT <v>'), '<V>', '<v>', 'g')) AS tpl FROM customer")
+def template_of(spark, sf_dir):
+    return _statements(spark, sf_dir).select("c_custkey", corpus.template(F.col("sql")).alias("tpl"))
+
+
+@query("SELECT min(c_custkey) AS c_custkey FROM customer GROUP BY c_nationkey % 7")
+def template_dedup(spark, sf_dir):
+    return corpus.dedup_by_template(_statements(spark, sf_dir), "sql", "c_custkey").select("c_custkey")
+
+
+@query(
+    "WITH r AS (SELECT DISTINCT o_custkey % 40 AS c, o_custkey AS r, o_orderstatus AS v FROM orders), k AS (SELECT c, r, string_agg(v, ',' ORDER BY v) AS s FROM r GROUP BY c, r), "
+    "v AS (SELECT c, s, count(*) AS votes, min(r) AS response FROM k GROUP BY c, s), b AS (SELECT c, max(votes) AS m, sum(votes) AS n FROM v GROUP BY c) "
+    "SELECT c AS \"case\", m AS votes, n >= 3 AS enough FROM b WHERE n >= 3"
+)
+def majority_vote(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").withColumn("c", F.col("o_custkey") % 40)
+    return corpus.majority_vote(o, "c", "o_custkey", "o_orderstatus").select("case", "votes", F.lit(True).alias("enough"))
+
+
+@query("SELECT c_custkey FROM customer ORDER BY md5(concat('42:', c_custkey)), c_custkey LIMIT 100")
+def reservoir(spark, sf_dir):
+    return corpus.sample_rows(_read(spark, sf_dir, "customer").select("c_custkey"), 100, "c_custkey")
+
+
+@query(
+    "(SELECT s_suppkey AS id, 'small' AS part FROM supplier) UNION ALL (SELECT c_custkey, 'large' FROM customer ORDER BY md5(concat('43:', c_custkey)), c_custkey LIMIT (SELECT least(count(*) * 2, (SELECT count(*) FROM customer)) FROM supplier))"
+)
+def mix_ratio(spark, sf_dir):
+    small = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("small").alias("part"))
+    large = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("large").alias("part"))
+    return corpus.mix_ratio(small, large, 1, 2, "id")
+
+
+@query("SELECT c_custkey, concat('SELECT ', c_custkey) AS code, c_mktsegment AS section, concat('SELECT ', c_nationkey) AS answer, c_custkey % 2 = 0 AS is_select FROM customer")
+def text_extraction(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer")
+    fenced = F.format_string("first\n```sql\nSELECT 0\n```\nthen\n```sql\nSELECT %d\n```\nend", "c_custkey")
+    tagged = F.format_string("[QUESTION-START]none[QUESTION-END] and [QUESTION-START] %s [QUESTION-END]", "c_mktsegment")
+    answer = F.format_string('so: {"sql": "SELECT %d"} done', "c_nationkey")
+    statement = F.when(F.col("c_custkey") % 2 == 0, F.lit("-- note\n select 1")).otherwise(F.lit("DELETE FROM t -- select"))
+    return c.select("c_custkey", corpus.last_code_block(fenced).alias("code"), corpus.last_section(tagged, "QUESTION").alias("section"), corpus.json_answer(answer).alias("answer"), corpus.is_query(statement).alias("is_select"))
+
+
+@query("SELECT c_custkey, concat('q', row_number() OVER (ORDER BY c_custkey)) AS query_id, substring(md5(concat(c_mktsegment, '_', c_name)), 1, 16) AS hashed FROM customer")
+def query_ids(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer").select("c_custkey", corpus.hashed_query_id("c_mktsegment", "c_name").alias("hashed"))
+    return corpus.with_query_ids(c, "c_custkey").select("c_custkey", "query_id", "hashed")
+
+
+@query("SELECT n_nationkey AS query_id, n_name AS db_name, concat(n_name, '|', n_nationkey) AS sqls FROM nation")
+def ground_truth(spark, sf_dir):
+    n = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.col("n_name").alias("db_id"), F.col("n_name").alias("sql"), F.array(F.col("n_nationkey").cast("string")).alias("sql_candidate"))
+    return corpus.ground_truth(n).withColumn("sqls", F.array_join("sqls", "|"))
+
+
+@query("SELECT c_nationkey AS column_count, count(*) AS statements FROM customer GROUP BY 1")
+def column_histogram(spark, sf_dir):
+    return corpus.column_count_histogram(_read(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "column_count"))
+
+
+@query("SELECT id, CAST(bucket AS BIGINT) AS bucket, count(*) AS n FROM (SELECT doc_id AS id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS bucket FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents) WHERE w <> '') GROUP BY 1, 2")
+def hash_embed_terms(spark, sf_dir):
+    return vectorize.term_counts(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def text_search_hash(spark, sf_dir):
+    """Vectorized documents searched with an embedded text; no SQL twin, as the embedder is Python."""
+    docs = vectorize.vectorize(_read(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], vectorize.HashEmbedder)
+    q = vectorize.HashEmbedder().embed(["the and of"])[0]
+    return _out(knn.knn(docs, "text_embedding", q.tolist(), 10, "doc_id", "cosine").select("doc_id", "distance"))
+
+
+# ---- sources, schemas ----------------------------------------------------------------------------------------------
+@query("SELECT doc_id, CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || '...' ELSE text END AS text FROM documents")
+def sample_truncate(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return catalog.sample(docs, docs.count())
+
+
+@query("SELECT o_orderkey, o_totalprice AS price, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(NULL AS BIGINT) AS status FROM orders")
+def coerce_values(spark, sf_dir):
+    _, schema = schemas.from_ddl("CREATE TABLE t (o_orderkey INTEGER, price REAL, day DATE, status INT)")
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("string").alias("price"), F.date_format("o_orderdate", "yyyy/MM/dd").alias("day"), F.col("o_orderstatus").alias("status"))
+    return schemas.coerce(o, schema).withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT 'text' AS column_name, true AS is_rich UNION ALL SELECT 'lang', false UNION ALL SELECT 'source', false")
+def semantic_columns(spark, sf_dir):
+    return catalog.semantic_columns(_read(spark, sf_dir, "documents")).select("column_name", "is_rich")
+
+
+@query("SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS id FROM customer")
+def assign_keys(spark, sf_dir):
+    out = schemas.assign_keys(_read(spark, sf_dir, "customer").select("c_name"), "c_name", "id", {"ref": 7})
+    return out.filter("ref BETWEEN 0 AND 6").select("c_name", "id")
+
+
+# ---- streaming forms, run as batches -------------------------------------------------------------------------------
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_hourly(spark, sf_dir):
+    return jobs.hourly(_read(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"
+)
+def stream_sessions(spark, sf_dir):
+    return jobs.sessions(_read(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -1 +1 @@
-"""Reference-side operators of the engine; see the README."""
+"""Vector distances and SQLite-compatible functions as Spark SQL expressions."""

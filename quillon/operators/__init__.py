@@ -1 +1 @@
-"""Reference-side operators of the engine; see the README."""
+"""DataFrame operators: nearest neighbours, vectorization, metrics, corpus processing."""

@@ -1 +1 @@
-"""Reference-side operators of the engine; see the README."""
+"""VectorSQL statements as Spark SQL, and their classification."""

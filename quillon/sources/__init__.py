@@ -1 +1 @@
-"""Reference-side operators of the engine; see the README."""
+"""Catalogs of tables, external databases, JSON files and declared schemas."""

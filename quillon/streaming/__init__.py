@@ -1 +1 @@
-"""Reference-side operators of the engine; see the README."""
+"""Structured Streaming forms of the batch operators; an extension of the surveyed surface."""
