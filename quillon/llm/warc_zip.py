@@ -33,6 +33,8 @@ from ._common import join_grouped, materialise, scratch_path, small_batches
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of compressed records that one range read fetches, and of a package before the next is begun.
 RUN_BYTES, PACKAGE_BYTES = 8 << 20, 1 << 30
+#: Tasks that read runs, at most; beyond that many runs a task reads several, one after the other.
+RUNS = 100_000
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -236,7 +238,9 @@ def read_packages(packages: DataFrame, payloads: bool = True) -> DataFrame:
                 made["page_id"], made["refers_to"] = made["page_id"].astype("Int64"), made["refers_to"].astype("Int64")
                 yield made if payloads else made.drop(columns="payload")
 
-    located = packages.select("uri").mapInPandas(locate, "uri string, start long, length long, sizes array<long>").repartition("uri", "start")
+    # a run's row is a few bytes but stands for RUN_BYTES of reading, so tasks follow the number of runs, not their size
+    located = materialise(packages.select("uri").mapInPandas(locate, "uri string, start long, length long, sizes array<long>"), "runs")
+    located = located.repartition(max(1, min(located.count(), RUNS)), "uri", "start")
     schema = "uri string, page_id long, target_uri string, record_type string, payload_bytes long, payload_digest string, refers_to long"
     return located.mapInPandas(fetch, schema + (", payload binary" if payloads else ""))
 
