@@ -76,8 +76,9 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = keyed.withColumn("__pair", pair(F.col("__d"), F.col(id_col).cast("long"))).drop("__d")
     stay = stay.select(pair(F.col("__digest"), F.col("__keep")).alias("__pair"), "__rows")
     kept = keyed.join(stay, "__pair")
-    once = kept.filter("__rows = 1").select(*docs.columns)
-    more = kept.filter("__rows > 1").dropDuplicates(["__pair"]).select(*docs.columns)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    once = kept.filter("__rows = 1").select(*own)
+    more = kept.filter("__rows > 1").dropDuplicates(["__pair"]).select(*own)
     return once.unionByName(more)
 
 
