@@ -38,7 +38,7 @@ from ._common import small_batches
 from ._shingles import _BASE, _INVERSE, U, _powers, mix
 from .packing import _bytes_of, tokenizer_path
 
-CHUNK, BATCH_CHARS, KEPT = 512, 1_000_000, 400_000
+CHUNK, BATCH_CHARS, KEPT, LONG = 512, 1_000_000, 400_000, 256
 # character classes: other letters, digits, others, apostrophe, space, other white space, and letters of contractions
 LETTER, DIGIT, OTHER, APOS, SPACE, WHITE, STMD, R, V, ELL, E, RESET = range(12)
 # states: nothing read; in a run; white space runs of one and of more, ending in a space or not; contractions begun and done
@@ -192,6 +192,7 @@ class Transducer:
         self.tree, self.ends = _Table(tree), np.array(ends, np.int64)
         self._drop_unreachable()
         self.kept: dict[int, int] = {}
+        self.plain = None
         self.split = re.compile("|".join(map(re.escape, self.special))) if self.special else None
 
     def _drop_unreachable(self) -> None:
@@ -234,11 +235,40 @@ class Transducer:
         """Tokens of the pieces raw[start : start + size], none of them empty."""
         out = np.zeros(len(start), np.int64)
         order = np.argsort(-size, kind="stable")
-        for lo in range(0, len(order), 8192):
+        long = int((size > LONG).sum())
+        for k in order[:long]:  # too few and too uneven for lockstep
+            out[k] = self._alone(raw[start[k] : start[k] + size[k]].tobytes())
+        for lo in range(long, len(order), 8192):
             some = order[lo : lo + 8192]
             out[some] = self._lockstep(raw, start[some], size[some])
         return out
 
+    def _alone(self, piece: bytes) -> int:
+        """The same transitions for one long piece; judgements on pairs of tokens are kept."""
+        if self.plain is None:
+            table = lambda t: {int(k): int(v) for k, v in zip(t.keys, t.values) if v >= 0}
+            self.plain = table(self.tree), self.ends.tolist(), {}
+        tree, ends, known = self.plain
+        last, count = [-1] * (len(piece) + 1), [0] * (len(piece) + 1)
+        for i in range(1, len(piece) + 1):
+            node, found = 0, []
+            for at in range(i - 1, max(-1, i - 1 - self.longest), -1):
+                node = tree.get(node << 8 | piece[at])
+                if node is None:
+                    break
+                if ends[node] >= 0:
+                    found.append((at, ends[node]))
+            for at, token in reversed(found):
+                pair = (last[at], token)
+                if at and pair not in known:
+                    if len(known) > KEPT:
+                        known.clear()
+                    known[pair] = bool(self._side_by_side(np.array(pair[:1]), np.array(pair[1:]))[0])
+                if not at or known[pair]:
+                    last[i], count[i] = token, count[at] + 1
+                    break
+        return count[-1]
+
     def _lockstep(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Pieces in order of falling size. State after i bytes: last token and count, for the last few i."""
         n, longest, ring = len(start), int(size[0]), self.longest + 1

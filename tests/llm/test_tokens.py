@@ -21,7 +21,7 @@ def library():
 
 def test_counts_on_hard_texts(library):
     rng = random.Random(11)
-    texts = ["", " ", "\n\n a", "I've you're 'sabc ''s 'l 'll're", "x \n", "  x", "a<|endoftext|>b", "日本語 🙂👩‍👩‍👧", "a" * 700, " " * 700, "=-" * 400, "\x00\x85\x1c'", "aaa aaaa aaaaa"]
+    texts = ["", " ", "\n\n a", "I've you're 'sabc ''s 'l 'll're", "x \n", "  x", "a<|endoftext|>b", "日本語 🙂👩‍👩‍👧", "a" * 700, "xyzzyabba" * 3000, "é漢🙂" * 200, " " * 700, "=-" * 400, "\x00\x85\x1c'", "aaa aaaa aaaaa"]
     for _ in range(400):
         alphabet = rng.choice(["abcdefg 'stremvld", "aAbB \n\t'", "é漢🙂 a1", "0123 456.,-_/", " \xa0\n a'"])
         texts.append("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))))
