@@ -127,10 +127,13 @@ def _cluster_edges(regions: DataFrame, percent: int) -> DataFrame:
 
 
 def _regions(classes: DataFrame, orders: str) -> DataFrame:
-    """(key, id, sketch, size) of the regions with more than one class; a key stands for one order's prefix."""
-    rows = classes.select("id", "sketch", F.explode(orders).alias("key"))
+    """(key, id, sketch, size) of the regions with more than one class; a key stands for one order's prefix.
+
+    Sketches join in only once the many regions of a single class are gone.
+    """
+    rows = classes.select("id", F.explode(orders).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    return rows.join(sizes, "key").select("key", "id", "sketch", "size")
+    return rows.join(sizes, "key").join(classes.select("id", "sketch"), "id").select("key", "id", "sketch", "size")
 
 
 def _links(groups: DataFrame, words: int, percent: int) -> DataFrame:
@@ -202,7 +205,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = whole.unionByName(parts)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    met = texts.join(groups, "id").select("group", "id", "text").repartition("group").sortWithinPartitions("group", "id")
+    # a plan that holds at any size: each text moves once, and no list of clustered ids is broadcast
+    met = texts.join(groups.hint("merge"), "id").select("group", "id", "text").repartition("group").sortWithinPartitions("group", "id")
     links = connected_components(_links(met, words, percent))
     named_classes = classes.select("digest", "rep", "size").join(links, F.col("rep") == F.col("node"), "left")
     named_classes = named_classes.select("digest", "size", F.coalesce("component", "rep").alias("component"))
