@@ -585,8 +585,7 @@ def text_search_hash(spark, sf_dir):
 # ---- sources, schemas ----------------------------------------------------------------------------------------------
 @query("SELECT doc_id, CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || '...' ELSE text END AS text FROM documents")
 def sample_truncate(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return catalog.sample(docs, docs.count())
+    return catalog.shortened(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("SELECT o_orderkey, o_totalprice AS price, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(NULL AS BIGINT) AS status FROM orders")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .knn import medoids
+from .ranks import numbered
 
 
 def _strip(text: Column) -> Column:
@@ -130,12 +131,8 @@ def succeeded(df: DataFrame) -> DataFrame:
 
 
 def with_query_ids(df: DataFrame, order: str) -> DataFrame:
-    """query_id q1, q2, ... by order: places within range partitions, plus the partitions' offsets."""
-    ranged = df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
-    ranged = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__c"))
-    sizes = sizes.withColumn("__o", F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).drop("__c")
-    return ranged.join(sizes, "__p").withColumn("query_id", F.concat(F.lit("q"), (F.col("__n") + F.col("__o")).cast("string"))).drop("__p", "__n", "__o")
+    """query_id q1, q2, ... by order."""
+    return numbered(df, order, "query_id").withColumn("query_id", F.concat(F.lit("q"), F.col("query_id").cast("string")))
 
 
 def hashed_query_id(db: str, question: str) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranks import numbered
+
 #: The first pattern found in a declared type decides. DATETIME stands before DATE.
 TYPE_RULES = (
     (r"FLOAT\s*\[|VECTOR\s*\(", T.ArrayType(T.FloatType(), False)),
@@ -108,15 +110,8 @@ def valid_tables(described: DataFrame) -> DataFrame:
 
 
 def assign_keys(df: DataFrame, order: str, primary: str, foreign: dict[str, int], seed: int = 42) -> DataFrame:
-    """primary := the row's place by ``order``, from 0; foreign keys := hashed numbers below the given table sizes.
-
-    Places come from two steps, so that no task sorts all rows: range partitions, then offsets.
-    """
-    ranged = df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
-    ranged = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1)
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__c"))
-    sizes = sizes.withColumn("__o", F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).drop("__c")
-    out = ranged.join(F.broadcast(sizes), "__p").withColumn(primary, F.col("__n") + F.col("__o")).drop("__p", "__n", "__o")
+    """primary := the row's place by ``order``, from 0; foreign keys := hashed numbers below the given table sizes."""
+    out = numbered(df, order, primary, 0)
     for name, n in foreign.items():
         out = out.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), F.lit(name), primary), F.lit(n)))
     return out
