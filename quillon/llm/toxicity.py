@@ -12,7 +12,8 @@ chance matches of letters cannot occur. A dictionary holds the symbols of highes
 document frequency in its class; the toxic one also those over-represented there.
 
 Fitting sees a bounded sample: at most SAMPLE documents of each label, in hash order of
-their ids. Scoring sees whole texts of all documents.
+their ids. Calibration weights a sampled document by the labels it stands for, so that
+scores follow the shares of all labels at any size. Scoring sees whole texts of all documents.
 
 Defined results: null and empty texts, and texts without a word, have distances of 0
 and the score that follows from these; without labels of both kinds the score is
@@ -108,24 +109,25 @@ def train_dictionaries(ordinary: list[str], toxic: list[str]) -> tuple[bytes, by
     return base, b"".join(over) + base
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton steps on the ridge-penalised likelihood."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Newton steps on the ridge-penalised likelihood; row i counts n[i] times."""
     a, w = np.hstack((np.ones((len(x), 1)), x)), np.zeros(x.shape[1] + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
+        step = np.linalg.solve(a.T @ (a * (n * p * (1 - p))[:, None]) + ridge * np.eye(len(w)), a.T @ (n * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Equal texts count once, as copies would fill a dictionary."""
+def fit(texts: list[str], labels: list[int], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Equal texts count once, as copies would fill a dictionary. stands_for: labels 0 and 1 there are for each one given."""
     rows = sorted(dict(zip(texts, labels)).items(), key=lambda r: hashlib.blake2b(r[0].encode("utf-8", "replace")).digest())
     x, y = [t for t, _ in rows], np.array([v for _, v in rows], float)
+    n = np.where(y > 0, stands_for[1], stands_for[0])
     if len(rows) < 8 or min(y.sum(), len(y) - y.sum()) < 4:
-        return Model(b"", b"", [], constant=float(y.mean()) if len(rows) else 0.0)
+        return Model(b"", b"", [], constant=float(np.average(y, weights=n)) if len(rows) else 0.0)
     split = lambda keep: ([t for t, v, k in zip(x, y, keep) if k and not v], [t for t, v, k in zip(x, y, keep) if k and v])
     fold, features = np.arange(len(x)) % 2, np.zeros((len(x), 3))
     for k in (0, 1):
@@ -133,17 +135,19 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             windows = Windows(*train_dictionaries(*split(fold != k)))
             for i in np.flatnonzero(fold == k):
                 features[i] = windows.features(x[i])
-    weights = _logistic(features, y)
+    weights = _logistic(features, y, n)
     return Model(*train_dictionaries(*split(fold >= 0)), weights=weights.tolist())
 
 
 def fit_from_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """docs and labels: those that may be learned from. Fits on the bounded sample."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).filter("__id IS NOT NULL AND __y IN (0, 1)")
+    counts = {int(r["__y"]): r["count"] for r in known.groupBy("__y").count().collect()}
+    stands_for = tuple(max(1.0, counts.get(y, 0) / SAMPLE) for y in (0, 1))
     chosen = known.filter("__y = 0").orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE).unionByName(known.filter("__y = 1").orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE))
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t")).join(F.broadcast(chosen), "__id").select("__t", "__y")
     sample = rows.toPandas()
-    return fit(sample["__t"].tolist(), sample["__y"].astype(int).tolist())
+    return fit(sample["__t"].tolist(), sample["__y"].astype(int).tolist(), stands_for)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

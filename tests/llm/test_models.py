@@ -47,6 +47,27 @@ def test_toxicity_without_labels(spark, docs, no_docs):
     assert toxicity.drop_toxic(no_docs, labels).count() == 0
 
 
+def test_toxicity_scores_keep_their_meaning_when_labels_are_sampled(spark, monkeypatch):
+    # a weak sign: in half of the toxic texts and in a tenth of the others; one label in ten is toxic
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(300)]
+    rows = []
+    for i in range(3000):
+        y = int(i % 10 == 0)
+        words = [rng.choice(plain) for _ in range(30)] + ["vileword"] * (rng.random() < (0.5 if y else 0.1))
+        rows.append((i, " ".join(words), y))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = {}
+    for at_most in (5000, 150):
+        monkeypatch.setattr(toxicity, "SAMPLE", at_most)
+        scores = toxicity.score(df, toxicity.fit_from_labels(df, df)).toPandas()["score"]
+        seen[at_most] = scores.mean()
+    assert seen[5000] == pytest.approx(0.1, abs=0.01) and seen[150] == pytest.approx(0.1, abs=0.04)
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    few = df.filter("toxic = 0 OR doc_id < 30")
+    assert toxicity.fit_from_labels(few, few).constant == pytest.approx(3 / 2703)
+
+
 def test_accuracies_are_recovered():
     rng = np.random.default_rng(1)
     good, right = rng.random(20_000) < 0.8, (0.95, 0.9, 0.85, 0.8)
