@@ -119,22 +119,26 @@ def medoids(df: DataFrame, group: str, key: str, vec_col: str) -> DataFrame:
 class VectorIndex:
     """Inverted file: each row's nearest centroid is a partition column; a search reads a few partitions.
 
-    Centroids are fitted on a bounded sample; every row is indexed.
+    Centroids are fitted on a bounded sample; every row is indexed. How many partitions a search
+    reads follows from the recall measured on the finished index, against exact search over all rows.
     """
 
     SAMPLE = 20_000
+    #: Mean share of the true neighbours that a search finds, the k it is measured for, and the queries that measure it at most.
+    RECALL, MEASURED, QUERIES = 0.9, (10, 100), 1000
 
-    def __init__(self, path: str, centroids: np.ndarray):
-        self.path, self.centroids = path, centroids
+    def __init__(self, path: str, centroids: np.ndarray, measured: Sequence[tuple[int, int, float]] = ()):
+        self.path, self.centroids, self.measured = path, centroids, sorted(measured)
 
     @classmethod
-    def build(cls, df: DataFrame, vec_col: str, path: str, lists: int | None = None, rounds: int = 10, rebuild: bool = False) -> VectorIndex:
+    def build(cls, df: DataFrame, vec_col: str, path: str, lists: int | None = None, rounds: int = 10, rebuild: bool = False, queries: Column | None = None) -> VectorIndex:
+        """queries: the rows whose neighbours measure the recall, by default all; above QUERIES, those first in hash order."""
         spark = df.sparkSession
         where = f"{path}/centroids"
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(where)
         if not rebuild and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return cls(path, cls._read(spark, where))
+            return cls(path, cls._read(spark, where))._measure(spark, vec_col, queries, again=False)
         sample = df.filter(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(vec_col)).limit(cls.SAMPLE).select(vec_col).toPandas()[vec_col]
         x = np.stack(sample.to_numpy()).astype(float)
         n = min(lists or max(1, int(np.sqrt(len(x)))), len(x))
@@ -153,13 +157,70 @@ class VectorIndex:
         # a hot list is dealt to several files by a salt
         dealt = rows.mapInPandas(owners, schema).repartition("centroid", F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x, t in rows.dtypes if not t.startswith("map")]), F.lit(4)))
         dealt.write.mode("overwrite").partitionBy("centroid").parquet(f"{path}/rows")
-        return cls(path, c)
+        return cls(path, c)._measure(spark, vec_col, queries, again=True)
+
+    def _measure(self, spark, vec_col: str, queries: Column | None, again: bool) -> VectorIndex:
+        """Sets measured to (k, probes, recall): the fewest lists that hold RECALL of the k nearest rows.
+
+        If only some of the queries are compared, two standard errors are taken off what they find.
+        """
+        where = f"{self.path}/measured"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        if not again and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            self.measured = sorted(tuple(r) for r in spark.read.parquet(where).select("k", "probes", "recall").collect())
+            return self
+        rows = spark.read.parquet(f"{self.path}/rows")
+        asked = rows if queries is None else rows.filter(queries)
+        held = asked.select(vec_col).orderBy(F.xxhash64(vec_col)).limit(self.QUERIES + 1).toPandas()[vec_col]
+        n, lists, most = min(len(held), self.QUERIES), len(self.centroids), max(self.MEASURED) + 1
+        measured = []
+        if n:
+            wanted = np.stack(held.to_numpy()[:n]).astype(float)
+            place = np.argsort(np.argsort(_distances(wanted, self.centroids, "l2"), axis=1), axis=1).astype(np.int32)
+
+            def nearest(batches):
+                best, placed = np.full((n, most), np.inf), np.zeros((n, most), np.int32)
+                for batch in batches:
+                    if not len(batch):
+                        continue
+                    have, owner = np.stack(batch["v"].to_numpy()).astype(float), batch["centroid"].to_numpy()
+                    for i in range(0, n, 128):
+                        d = np.hstack((best[i : i + 128], _distances(wanted[i : i + 128], have, "l2")))
+                        p = np.hstack((placed[i : i + 128], place[i : i + 128][:, owner]))
+                        keep = np.argpartition(d, most - 1, axis=1)[:, :most]
+                        best[i : i + 128], placed[i : i + 128] = np.take_along_axis(d, keep, 1), np.take_along_axis(p, keep, 1)
+                q, j = np.nonzero(np.isfinite(best))
+                yield pd.DataFrame({"q": q, "d": best[q, j], "place": placed[q, j]})
+
+            found = rows.select(F.col(vec_col).alias("v"), "centroid").mapInPandas(nearest, "q long, d double, place int")
+            w = Window.partitionBy("q").orderBy("d", "place")
+            # the first is the query's own row, or one equal to it
+            found = found.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank").between(1, most - 1)).toPandas()
+            for k in self.MEASURED:
+                hits = found[found["rank"] <= k]
+                share = np.zeros((n, lists))
+                np.add.at(share, (hits["q"].to_numpy(), hits["place"].to_numpy()), 1)
+                share = share[share.sum(1) > 0]
+                if not len(share):
+                    continue
+                share = share.cumsum(1) / share.sum(1, keepdims=True)
+                off = 2 * share.std(0) / np.sqrt(len(share)) if len(held) > n else 0
+                probes = int(np.argmax(share.mean(0) - off >= self.RECALL)) + 1
+                measured.append((k, probes, float(share.mean(0)[probes - 1])))
+        spark.createDataFrame(measured, "k int, probes int, recall double").write.mode("overwrite").parquet(where)
+        self.measured = measured
+        return self
+
+    def probes_for(self, k: int) -> int:
+        """Lists that a search for k rows reads: as measured for the next larger k, or all."""
+        return next((probes for measured, probes, _ in self.measured if measured >= k), len(self.centroids))
 
     @staticmethod
     def _read(spark, where: str) -> np.ndarray:
         return np.stack(spark.read.parquet(where).orderBy("i").toPandas()["v"].to_numpy())
 
-    def search(self, spark, vec_col: str, query: Sequence[float], k: int, key: str, probes: int = 4) -> DataFrame:
+    def search(self, spark, vec_col: str, query: Sequence[float], k: int, key: str, probes: int | None = None) -> DataFrame:
+        probes = self.probes_for(k) if probes is None else probes
         near = np.argsort(_distances(np.asarray([query], float), self.centroids, "l2")[0])[:probes]
         rows = spark.read.parquet(f"{self.path}/rows").filter(F.col("centroid").isin(near.tolist()))
         return knn(rows.drop("centroid"), vec_col, query, k, key)

@@ -145,6 +145,28 @@ def test_index_recall(spark, tmp_path):
     assert hits >= 27
 
 
+def test_index_recall_by_default(spark, tmp_path):
+    df, asked = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), F.col("vec_id") % 20 == 0
+    index = knn.VectorIndex.build(df, "embedding", str(tmp_path / "ivf"), queries=asked)
+    assert knn.VectorIndex.build(df, "embedding", str(tmp_path / "ivf")).measured == index.measured
+    assert index.probes_for(101) == len(index.centroids) == 44
+    truth = {}
+    for r in knn.knn_join(df, df.filter(asked), 9, "vec_id", "embedding").collect():
+        truth.setdefault(r["query_key"], {})[r["rank"]] = r["key"]
+    assert len(truth) == 100
+    # a search finds what its lists hold
+    vectors, hits = {r["vec_id"]: r["embedding"] for r in df.filter(asked).collect()}, {3: 0, 5: 0, 9: 0}
+    owner = {r["vec_id"]: r["centroid"] for r in spark.read.parquet(str(tmp_path / "ivf/rows")).select("vec_id", "centroid").collect()}
+    for q, best in truth.items():
+        lists = set(np.argsort(((index.centroids - vectors[q]) ** 2).sum(1))[: index.probes_for(10)].tolist())
+        for k in hits:
+            hits[k] += sum(owner[best[i]] in lists for i in range(1, k + 1))
+        if q < 60:
+            got = {r["vec_id"] for r in index.search(spark, "embedding", vectors[q], 10, "vec_id").collect()}
+            assert {i for i in best.values() if owner[i] in lists} | {q} <= got
+    assert all(n >= 0.9 * 100 * k for k, n in hits.items()), hits
+
+
 def test_medoid_and_votes(spark):
     df = spark.createDataFrame([(1, "a", [1.0, 0.0]), (1, "b", [0.9, 0.1]), (1, "c", [0.0, 1.0]), (2, "d", [1.0, 0.0]), (3, "f", [1.0, 0.0]), (3, "e", [0.0, 1.0])], "c int, k string, v array<float>")
     assert {r["case"]: r["key"] for r in corpus.question_vote(df, "c", "k", "v").collect()} == {1: "b", 2: "d", 3: "e"}
