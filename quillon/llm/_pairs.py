@@ -1,7 +1,10 @@
-"""Runs of equal keys in sorted batches, and union-find within one."""
+"""Runs of equal keys in sorted batches, union-find within one, and the draws that let pairs meet."""
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 
@@ -43,3 +46,25 @@ def runs(batches, key: str):
             held.append(batch.iloc[a:b])
     if held:
         yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+@lru_cache(maxsize=64)
+def draws_needed(length: int, agree: float, take: int, miss: float) -> int:
+    """Draws of take positions out of length, so that two signatures agree throughout some draw but for a probability of miss.
+
+    Positions agree independently, each with probability agree; all draws are from the same ones, so
+    the probability is averaged over the number of positions that agree.
+    """
+    share = np.array([math.comb(length, m) * agree**m * (1 - agree) ** (length - m) for m in range(length + 1)])
+    whole = np.array([math.comb(m, take) / math.comb(length, take) for m in range(length + 1)])
+    if share[:take].sum() >= miss:
+        raise ValueError(f"signatures of {length} positions are too short for an agreement of {agree:g}")
+    missed = lambda n: share @ (1 - whole) ** n
+    most = 1
+    while missed(most) > miss:
+        most *= 2
+    least = most // 2
+    while most - least > 1:
+        n = (least + most) // 2
+        least, most = (n, most) if missed(n) > miss else (least, n)
+    return most

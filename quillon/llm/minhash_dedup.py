@@ -5,8 +5,9 @@
    classes by their minima in that order puts those with long common prefixes side
    by side. A run sharing the first SHALLOW minima is a region. Regions that hold too
    many classes are read at depth DEEP instead, in more orders, so that recall stays.
-   The number of orders follows from the threshold: a linked pair shares no region
-   with a probability of at most MISS.
+   The number of orders follows from the threshold, averaged over how many of the minima
+   agree, as all orders draw on the same ones: a linked pair shares no region of a
+   depth with a probability of at most MISS, at either depth.
 3. Neighbours whose minima agree well enough tie classes into clusters, which are
    supersets of the true components (one row per class, no pairs).
 4. Texts of clustered classes meet once per cluster, and every pair of a cluster not
@@ -24,6 +25,7 @@ text columns are read.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ._common import join_grouped, materialise, small_batches
 from ._graph import connected_components
-from ._pairs import UnionFind, runs
+from ._pairs import UnionFind, draws_needed, runs
 from ._shingles import U, mix, shingle_set
 
 MINIMA, SKETCH = 128, 64
@@ -43,7 +45,7 @@ REGION, BLOCK = 2048, 512
 
 
 def orders_needed(percent: int, depth: int) -> int:
-    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** depth))
+    return draws_needed(MINIMA, percent / 100, depth, MISS)
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -64,10 +66,16 @@ def _minima(values: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=8)
+def _orders(depth: int, count: int) -> np.ndarray:
+    """Which minima stand first in each of count orders."""
+    ranks = mix(_constants(count, 37)[:, None] ^ _constants(MINIMA, 41)[None, :])
+    return np.argsort(ranks, axis=1)[:, :depth]
+
+
 def _order_keys(minima: np.ndarray, depth: int, count: int) -> np.ndarray:
     """The first depth minima of each of count orders, hashed to one key per order."""
-    ranks = mix(_constants(count, 37)[:, None] ^ _constants(MINIMA, 41)[None, :])
-    chosen = minima[np.argsort(ranks, axis=1)[:, :depth]].astype(U)
+    chosen = minima[_orders(depth, count)].astype(U)
     h = np.arange(1, count + 1, dtype=U) * U(0xD6E8FEB86659FD93) + U(depth)
     for j in range(depth):
         h = mix(h * U(0x9E3779B97F4A7C15) + chosen[:, j])

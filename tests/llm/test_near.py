@@ -113,3 +113,20 @@ def test_estimate_is_unbiased_within_its_bound():
     error = (code * b).sum(1) / f - (o * q).sum(1)
     bound = embedding_dedup.EPS * np.sqrt((1 - f * f) / (f * f)) / np.sqrt(a.shape[1] - 1)
     assert abs(error.mean()) < 0.01 and (np.abs(error) < bound).all()
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("depth", [minhash_dedup.SHALLOW, minhash_dedup.DEEP])
+def test_pairs_at_the_threshold_share_a_region(percent, depth):
+    rng, pairs = np.random.default_rng(percent + depth), 200_000
+    agree = rng.random((pairs, minhash_dedup.MINIMA)) < percent / 100
+    met = np.zeros(pairs, bool)
+    # an order's key depends on its own minima alone: change one at a time to find them
+    count = minhash_dedup.orders_needed(percent, depth)
+    minima = np.arange(minhash_dedup.MINIMA, dtype=np.uint32)
+    keys = minhash_dedup._order_keys(minima, depth, count)
+    uses = np.stack([minhash_dedup._order_keys(minima + np.uint32(1000) * (minima == m), depth, count) != keys for m in minima], axis=1)
+    assert (uses.sum(1) == depth).all()
+    for order in uses:
+        met |= agree[:, order].all(1)
+    assert (~met).sum() <= 1.6 * minhash_dedup.MISS * pairs
