@@ -8,7 +8,8 @@ EPS * sqrt((1 - f^2) / f^2) / sqrt(BITS - 1) up to a tiny probability.
 1. Equal vectors collapse to a class, represented by its least id.
 2. Each of several tables deals classes by some bits of their codes; the number of bits
    grows with the logarithm of the number of classes and the number of tables with it,
-   so that a linked pair meets in some table but for a probability of MISS. Within a
+   so that a linked pair meets in some table but for a probability of MISS, averaged over
+   how many bits of their codes agree, as all tables draw on the same ones. Within a
    bucket, codes whose Hamming distance may belong to a linked pair tie classes into
    clusters (one row per class, no pairs).
 3. Vectors of a cluster meet once, in blocks. The estimate and its bound rule pairs out;
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ._common import join_grouped, materialise
 from ._graph import connected_components
-from ._pairs import UnionFind, runs
+from ._pairs import UnionFind, draws_needed, runs
 
 MISS, EPS = 1e-4, 4.5
 #: Classes per bucket that the number of bits aims at, in a bucket that is compared code by code, and in a block.
@@ -59,10 +60,9 @@ def _table_bits(bits: int, k: int, tables: int) -> np.ndarray:
 
 
 def tables_needed(n: int, threshold: float) -> tuple[int, int]:
-    """(bits per table, tables) for n classes."""
+    """(bits per table, tables) for n classes; for the shortest codes, as longer ones miss less."""
     k = max(8, math.ceil(math.log2(max(2, n / AIM))))
-    p = (1 - math.acos(threshold) / math.pi) ** k
-    return k, math.ceil(math.log(MISS) / math.log(1 - p))
+    return k, draws_needed(code_bits(1), 1 - math.acos(threshold) / math.pi, k, MISS)
 
 
 def _unit(values: np.ndarray) -> np.ndarray:

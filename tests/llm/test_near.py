@@ -130,3 +130,14 @@ def test_pairs_at_the_threshold_share_a_region(percent, depth):
     for order in uses:
         met |= agree[:, order].all(1)
     assert (~met).sum() <= 1.6 * minhash_dedup.MISS * pairs
+
+
+@pytest.mark.parametrize("n", [2_000, 80_000, 1_000_000])
+def test_vectors_at_the_threshold_share_a_bucket(n):
+    k, tables = embedding_dedup.tables_needed(n, 0.95)
+    rng, pairs = np.random.default_rng(n), 200_000
+    agree = rng.random((pairs, 256)) < 1 - np.arccos(0.95) / np.pi
+    met = np.zeros(pairs, bool)
+    for bits in embedding_dedup._table_bits(256, k, tables):
+        met |= agree[:, bits].all(1)
+    assert (~met).sum() <= 1.6 * embedding_dedup.MISS * pairs
