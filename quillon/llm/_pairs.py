@@ -48,6 +48,32 @@ def runs(batches, key: str):
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
+def whole_runs(batches, key: str, rows: int = 4096):
+    """Frames of about rows rows, from batches sorted by key, that never cut a run of equal keys."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        if sum(map(len, held)) < rows:
+            continue
+        frame = pd.concat(held) if len(held) > 1 else held[0]
+        keys = frame[key].to_numpy()
+        last = np.flatnonzero(keys != keys[-1])
+        end = last[-1] + 1 if len(last) else 0
+        if end:
+            yield frame.iloc[:end]
+        held = [frame.iloc[end:]]
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+def merge_labels(labels: np.ndarray, i: int, js: np.ndarray) -> None:
+    """Give i's label to all that share a label with one of js."""
+    if len(js):
+        labels[np.isin(labels, labels[js])] = labels[i]
+
+
 @lru_cache(maxsize=64)
 def draws_needed(length: int, agree: float, take: int, miss: float) -> int:
     """Draws of take positions out of length, so that two signatures agree throughout some draw but for a probability of miss.

@@ -11,6 +11,8 @@ from quillon.llm._shingles import shingle_set
 
 from .conftest import TEXTS, with_clashes
 
+SF = "/root/testdata/sf0.01"
+
 
 def components(ids, linked):
     up = {i: i for i in ids}
@@ -53,9 +55,11 @@ def make_texts():
     return out
 
 
-@pytest.mark.parametrize("words,percent,block", [(3, 85, 512), (5, 80, 6)])
-def test_near_duplicates(spark, monkeypatch, words, percent, block):
-    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+@pytest.mark.parametrize("words,percent,leaf,block,most", [(3, 85, 512, 1024, 2_000_000), (5, 80, 4, 5, 2_000_000), (3, 85, 512, 1024, 300)])
+def test_near_duplicates(spark, monkeypatch, words, percent, leaf, block, most):
+    monkeypatch.setattr(minhash_dedup, "LEAF", leaf)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", most)
     texts = [r for r in make_texts()] + [(900, None), (901, ""), (902, " "), (903, "just two"), (904, "Just TWO")]
     df = with_clashes(spark.createDataFrame(texts + [(None, "just two"), (903, "just two")], "doc_id long, text string"))
     sets = {i: shingles(t, words) for i, t in texts}
@@ -116,22 +120,72 @@ def test_estimate_is_unbiased_within_its_bound():
 
 
 @pytest.mark.parametrize("percent", [80, 85])
-@pytest.mark.parametrize("depth", [minhash_dedup.SHALLOW, minhash_dedup.DEEP])
-def test_pairs_at_the_threshold_share_a_region(percent, depth):
+@pytest.mark.parametrize("depth", minhash_dedup.DEPTHS)
+def test_pairs_at_the_threshold_share_a_node(percent, depth):
     rng, pairs = np.random.default_rng(percent + depth), 200_000
     agree = rng.random((pairs, minhash_dedup.MINIMA)) < percent / 100
     met = np.zeros(pairs, bool)
-    # an order's key depends on its own minima alone: change one at a time to find them
-    count = minhash_dedup.orders_needed(percent, depth)
-    minima = np.arange(minhash_dedup.MINIMA, dtype=np.uint32)
-    keys = minhash_dedup._order_keys(minima, depth, count)
-    uses = np.stack([minhash_dedup._order_keys(minima + np.uint32(1000) * (minima == m), depth, count) != keys for m in minima], axis=1)
-    assert (uses.sum(1) == depth).all()
-    for order in uses:
+    for order in minhash_dedup._orders(minhash_dedup.orders_needed(percent, depth))[:, :depth]:
         met |= agree[:, order].all(1)
     assert (~met).sum() <= 1.6 * minhash_dedup.MISS * pairs
 
 
+def test_paths_sort_as_their_labels_do():
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 3, (50, minhash_dedup.MINIMA)).astype("<u2")
+    paths = minhash_dedup._paths(labels, 5)
+    for o, order in enumerate(minhash_dedup._orders(5)):
+        want = sorted(range(50), key=lambda i: (tuple(labels[i, order]), i))
+        assert want == sorted(range(50), key=lambda i: (*paths[i, o], i))
+        assert ((paths[:, None, o, 0] == paths[None, :, o, 0]) == (labels[:, None, order[:4]] == labels[None, :, order[:4]]).all(2)).all()
+
+
+def test_a_large_group_is_confirmed_in_linear_work(spark, monkeypatch):
+    """Near copies of one text, above LEAF at every depth; texts meet a bounded number of times each."""
+    monkeypatch.setattr(minhash_dedup, "LEAF", 32)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", 64)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(600):
+        copy = list(base)
+        for _ in range(rng.choice([1, 1, 1, 2, 6])):
+            copy[rng.randrange(120)] = f"x{rng.random()}"
+        texts.append((i, " ".join(copy)))
+    met = []
+    real = minhash_dedup._with_texts
+    monkeypatch.setattr(minhash_dedup, "_with_texts", lambda groups, texts: met.append(groups.count()) or real(groups, texts))
+    got = {r["id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), words=3, percent=85).collect()}
+    sets = {i: shingles(t, 3) for i, t in texts}
+    linked = [(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert len(linked) > 50_000 and got == components(sets, linked)
+    assert sum(met) <= 8 * len(texts), met
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    long = lambda *extra: " ".join([*(f"w{i}" for i in range(40)), *extra])
+    df = spark.createDataFrame([(1, long("a")), (1, "other words entirely here and there"), (2, long("b")), (3, "other words entirely here and there"), (4, None), (4, "x")], "doc_id long, text string")
+    got = minhash_dedup.near_duplicates(df, words=3, percent=85).collect()
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["id"], set()).add((r["n_shingles"], r["component_id"]))
+    assert len(got) == 6 and all(len(v) == 1 for v in by_id.values())
+    assert len({c for i in (1, 2, 3) for _, c in by_id[i]}) == 2 and by_id[4] == {(1, 4)}
+
+
+def test_op3_equals_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    sets = {r["doc_id"]: shingles(r["text"], 3) for r in rows}
+    owners = {}
+    for i, x in sets.items():
+        for y in x:
+            owners.setdefault(y, []).append(i)
+    linked = [(i, j) for i, x in sets.items() for j in {j for y in x for j in owners[y] if j < i} if 100 * len(x & sets[j]) >= 85 * len(x | sets[j])]
+    want = components(sets, linked)
+    got = minhash_dedup.op3_minhash_dedup(spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted((i, len(s), want[i], want[i] == i) for i, s in sets.items()) and linked
+
+
 @pytest.mark.parametrize("n", [2_000, 80_000, 1_000_000])
 def test_vectors_at_the_threshold_share_a_bucket(n):
     k, tables = embedding_dedup.tables_needed(n, 0.95)
