@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ._common import join_grouped, materialise
 
 SCHEMA = "digest binary, keep_id bigint, group_size bigint, keep_rows bigint"
+#: Digests that a bucket of a new index is meant to hold.
+BUCKET_ROWS = 1_000_000
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,26 +29,33 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """Digests seen so far, in table ``name`` of the warehouse, with ``buckets`` buckets."""
+    """Digests seen so far, in table ``name`` of the warehouse, bucketed and sorted by digest.
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 64):
-        self.spark, self.buckets = spark, buckets
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        if not spark.catalog.tableExists(self.name):
-            self._append(spark.createDataFrame([], SCHEMA))
+    A table that exists keeps its buckets; a new one gets buckets for ``expected`` digests.
+    """
 
-    def _append(self, rows: DataFrame) -> None:
-        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+    def __init__(self, spark: SparkSession, name: str, expected: int = 0):
+        self.spark, self.name = spark, name
+        if not spark.catalog.tableExists(name):
+            buckets = max(8, -(-expected // BUCKET_ROWS))
+            spark.createDataFrame([], SCHEMA).write.format("parquet").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
+        self.buckets = int(spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Num Buckets'").first()["data_type"])
+
+    @staticmethod
+    def temporary(batch: DataFrame) -> DigestIndex:
+        return DigestIndex(batch.sparkSession, f"digest_index_{uuid.uuid4().hex}", batch.count())
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def ingest(self, batch: DataFrame) -> None:
-        """batch: (id, digest). Appends the digests that the index lacks, with the largest id and the row count of each."""
+    def ingest(self, batch: DataFrame) -> DataFrame:
+        """batch: (id, digest). Appends the digests that the index lacks, with the largest id and the row count of each; returns what was new."""
         per_id = batch.groupBy("digest", "id").agg(F.count("*").alias("n"))
         fresh = per_id.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"), F.max_by("n", F.coalesce("id", F.lit(-(2**63)))).alias("keep_rows"))
-        fresh = fresh.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-        self._append(fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest"))
+        fresh = materialise(fresh.join(self.table().select("digest").hint("merge"), "digest", "left_anti"), "fresh")
+        # dealt as the table is, so each task writes one sorted file of one bucket
+        fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
+        return fresh
 
     def decide(self, batch: DataFrame) -> DataFrame:
         """batch with keep_id, group_size and keep_rows of its digest."""
@@ -58,18 +67,28 @@ class DigestIndex:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """One row per document: id, digest, keep_id, group_size, keep_rows (rows having both that id and that text)."""
-    index = index or DigestIndex(docs.sparkSession)
+    """One row per document: id, digest, keep_id, group_size, keep_rows (rows having both that id and that text).
+
+    With an index, texts seen before keep the id and size that they were first indexed with;
+    without, a temporary index is built and dropped.
+    """
     batch = materialise(digests(docs, id_col, text_col), "digests")
-    index.ingest(batch)
-    return index.decide(batch)
+    used = index or DigestIndex.temporary(batch)
+    used.ingest(batch)
+    out = used.decide(batch)
+    if index is None:
+        out = materialise(out, "groups")
+        used.drop()
+    return out
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' own columns."""
-    index = DigestIndex(docs.sparkSession)
-    index.ingest(materialise(digests(docs, id_col, text_col), "digests"))
-    stay = index.table().select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.col("keep_rows").alias("__rows"))
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
+    """The rows of docs that stay, with docs' own columns. With an index: those of texts that it lacked, which it now has."""
+    batch = materialise(digests(docs, id_col, text_col), "digests")
+    used = index or DigestIndex.temporary(batch)
+    stay = used.ingest(batch).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.col("keep_rows").alias("__rows"))
+    if index is None:
+        used.drop()
     keyed = docs.withColumn("__d", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
     # the (digest, id) pair is the key here: a hot digest's rows scatter by their ids
     pair = lambda d, i: F.unhex(F.sha2(F.concat(d, F.coalesce(i.cast("string"), F.lit("-")).cast("binary")), 256))

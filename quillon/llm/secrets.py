@@ -1,11 +1,14 @@
 """Secret scanning over a trigram inverted index.
 
 Each rule's regular expression is turned into a Boolean query over trigrams that any
-match must contain, as alternatives of sets. The index holds a posting (trigram,
-document) for each trigram that some rule asks for; postings are intersected by
-counting a document's hits per set. Only candidates are read again and verified
-with the expression itself; rules without a mandatory trigram scan all texts. All of
-it is DataFrame expressions.
+match must contain, as alternatives of sets. Postings (trigram, document) are
+intersected by counting a document's hits per set. Only candidates are read again and
+verified with the expression itself; rules without a mandatory trigram scan all texts.
+All of it is DataFrame expressions.
+
+``TrigramIndex`` keeps the postings of all trigrams in a table, for any rules and many
+scans. A single scan would read more for building it than it saves, so without an index
+the scan makes the postings of the trigrams that its rules ask for, and of no others.
 
 Matches are leftmost and do not overlap within a rule. Their places follow from the
 gaps between them: prefix sums over the lengths of gaps and matches.
@@ -47,7 +50,8 @@ BASE_RULES = (
 EXTRA_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    # from the border of a run on, and possessive: a run is read once, however often it holds the beginning
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
 )
 
 Query = frozenset  # of alternatives, each a frozenset of trigrams that must all occur
@@ -129,7 +133,7 @@ def _sequence_query(nodes) -> Query:
             out = _all(out, _sequence_query(arg[-1]))
         elif op is sre.BRANCH:
             out = _all(out, _simpler(set().union(*[_sequence_query(b) for b in arg[1]])))
-        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and arg[0] >= 1:
             out = _all(out, _sequence_query(arg[2]))
     return _all(out, _of_strings(run))
 
@@ -139,28 +143,54 @@ def trigram_query(pattern: str) -> Query:
     return _sequence_query(_parser.parse(pattern))
 
 
-def _quoted(trigram: str) -> str:
-    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in trigram)
+def _key(id_col: str, text: Column) -> Column:
+    return F.unhex(F.md5(F.concat_ws("|", F.col(id_col).isNull().cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text)))
 
 
-def _key(id_col: str, text: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.col(id_col).isNull().cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text))
+def wanted_trigrams(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted({t for r in rules for alternative in trigram_query(r.pattern) for t in alternative})
 
 
-def build_index(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (trigram, key), distinct and sorted by trigram, of the trigrams that the rules ask for."""
-    wanted = sorted({t for r in rules for alternative in trigram_query(r.pattern) for t in alternative})
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trigrams: list[str] | None = None) -> DataFrame:
+    """Postings (trigram, key), distinct: all trigrams of the lower-cased texts, or the given ones alone."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    if not wanted:
-        return docs.select(F.lit("").alias("trigram"), _key(id_col, text).alias("key")).limit(0)
-    by_first: dict[str, list[str]] = {}
-    for t in wanted:
-        by_first.setdefault(t[0], []).append(t[1:])
-    branches = "|".join(_quoted(a) + "(?:" + "|".join(map(_quoted, rest)) + ")" for a, rest in by_first.items())
-    # a look-ahead, as trigrams overlap
-    seen = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?=({branches}))"), F.lit(1)))
-    rows = docs.select(_key(id_col, text).alias("key"), seen.alias("seen")).filter(F.size("seen") > 0)
-    return rows.select(F.explode("seen").alias("trigram"), "key").distinct().sortWithinPartitions("trigram")
+    rows = docs.select(_key(id_col, text).alias("key"), F.lower(text).alias("low"))
+    if trigrams is None:
+        seen = F.array_distinct(F.regexp_extract_all("low", F.lit("(?s)(?=(...))"), F.lit(1)))  # a look-ahead, as trigrams overlap
+    elif trigrams:
+        seen = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
+    else:
+        seen = F.array().cast("array<string>")
+    rows = rows.select("key", seen.alias("seen")).filter(F.size("seen") > 0)
+    return rows.select(F.explode("seen").alias("trigram"), "key").distinct()
+
+
+class TrigramIndex:
+    """A persistent index of all trigrams, in table ``name`` of the warehouse: bucketed and sorted by trigram.
+
+    It serves any rules, later ones too: a query reads the buckets and row groups of its trigrams
+    alone. Documents are indexed once; those that are there already add nothing.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int = 64):
+        self.spark, self.name = spark, name
+        if not spark.catalog.tableExists(name):
+            spark.createDataFrame([], "trigram string, key binary").write.format("parquet").bucketBy(buckets, "trigram").sortBy("trigram").saveAsTable(name)
+        self.buckets = int(spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Num Buckets'").first()["data_type"])
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        fresh = build_index(docs, id_col, text_col).join(self.table().hint("merge"), ["trigram", "key"], "left_anti")
+        # salted: a frequent trigram has a posting in nearly every document, and its bucket is written by several tasks
+        fresh.repartition(4 * self.buckets, "trigram", F.pmod(F.xxhash64("key"), F.lit(16))).sortWithinPartitions("trigram").write.insertInto(self.name)
+
+    def postings(self, trigrams: list[str]) -> DataFrame:
+        return self.table().filter(F.col("trigram").isin(*trigrams))
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -189,15 +219,20 @@ def _matches(rows: DataFrame, rule: Rule) -> DataFrame:
     return each.filter("m.size IS NOT NULL").select("key", F.lit(rule.kind).alias("kind"), "pos", F.col("m.gap").alias("gap"), F.col("m.size").alias("size"), F.col("m.part").alias("part"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES + EXTRA_RULES) -> DataFrame:
-    """(key, spans): an array of (start, rank, end, kind) in order, for each document with a secret; rank is the rule's place."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES + EXTRA_RULES, index: TrigramIndex | None = None) -> DataFrame:
+    """(key, spans): an array of (start, rank, end, kind) in order, for each document with a secret; rank is the rule's place.
+
+    Postings come from the index, which must hold these documents, or else from a pass over
+    the texts for the trigrams that the rules ask for.
+    """
     indexed = tuple(r for r in rules if trigram_query(r.pattern) != ANYTHING)
     plain = tuple(r for r in rules if r not in indexed)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(_key(id_col, text).alias("key"), text.alias("text"))
     parts = [_matches(rows, r) for r in plain]
     if indexed:
-        postings = materialise(build_index(docs, indexed, id_col, text_col), "postings")
+        wanted = wanted_trigrams(indexed)
+        postings = index.postings(wanted) if index else materialise(build_index(docs, id_col, text_col, wanted), "postings")
         chosen = materialise(rows.join(candidates(postings, indexed), "key"), "candidates")
         parts += [_matches(chosen.filter(F.array_contains("kinds", r.kind)), r) for r in indexed]
     found = parts[0]
@@ -212,9 +247,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     return kept.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("spans"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES + EXTRA_RULES) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES + EXTRA_RULES, index: TrigramIndex | None = None) -> DataFrame:
     """One row per row of docs: id and spans, an array that is empty where there are none."""
-    found = materialise(scan(docs, id_col, text_col, rules), "spans")
+    found = materialise(scan(docs, id_col, text_col, rules, index), "spans")
     own = docs.select(F.col(id_col).alias("id"), _key(id_col, F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
     none = F.array().cast(dict(found.dtypes)["spans"])
     return own.join(found, "key", "left").select("id", F.coalesce("spans", none).alias("spans"))

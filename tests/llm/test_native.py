@@ -10,6 +10,8 @@ from quillon.llm import exact_dedup, mixing, secrets
 
 from .conftest import TEXTS
 
+SF = "/root/testdata/sf0.01"
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
@@ -34,6 +36,40 @@ def test_secrets(spark, docs, no_docs):
     assert secrets.find_secrets(no_docs).count() == 0
 
 
+def test_op1_equals_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    extra = {r.kind: re.compile(r.pattern, re.A) for r in secrets.EXTRA_RULES}
+    write = lambda spans: ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in spans)
+    want = {}
+    for r in rows:
+        base = brute_spans(r["text"])
+        more = [(m.start(), 3 + k, m.end(), kind) for k, (kind, p) in enumerate(extra.items()) for m in p.finditer(r["text"] or "")]
+        counts = [sum(s[3] == k for s in base) for k in ("assign", "access", "hex")]
+        want[r["doc_id"]] = (r["doc_id"], *counts, hashlib.sha256(write(base).encode()).hexdigest(), write(sorted(base + more)))
+    got = {r["doc_id"]: tuple(r) for r in secrets.op1_secret_scan(spark, SF).collect()}
+    assert got == want and any(w[5] for w in want.values())
+
+
+def test_a_persistent_index_serves_later_rules(spark, docs):
+    index = secrets.TrigramIndex(spark, "trigrams", buckets=4)
+    some = docs.select("doc_id", "text")
+    index.add(some.filter("doc_id < 9"))
+    index.add(some)
+    assert index.table().count() == index.table().distinct().count() > 100
+    late = (secrets.Rule("fox", r"brown f[aeiou]x"), secrets.Rule("lorem", r"lorem ipsum"))
+    for rules in (secrets.BASE_RULES + secrets.EXTRA_RULES, late):
+        own, kept = (sorted((r["id"] or 0, str(r["spans"])) for r in secrets.find_secrets(some, rules=rules, index=i).collect()) for i in (None, index))
+        assert own == kept and any("fox" in s or "hex" in s for _, s in kept)
+    index.drop()
+
+
+def test_texts_of_ten_megabytes(spark):
+    """Runs that hold the beginning of a match again and again take linear time."""
+    texts = [(1, "eyJ" * 3_500_000), (2, "eyJ" * 3_000_000 + ".ab.cd"), (3, "password " * 1_200_000), (4, "akia" * 2_500_000), (5, "token" + " " * 10_000_000)]
+    got = {r["id"]: [tuple(s) for s in r["spans"]] for r in secrets.find_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(0, 5, 9_000_006, "jwt")], 3: [], 4: [], 5: []}
+
+
 def test_trigram_queries():
     q = lambda p: sorted(map(sorted, secrets.trigram_query(p)))
     assert q("[0-9a-f]{24,}") == [[]] and q("AKIA[A-Z]+") == [["aki", "kia"]]
@@ -52,16 +88,34 @@ def test_exact_dedup(spark, docs, no_docs):
     assert exact_dedup.drop_duplicates(no_docs).count() == 0 and exact_dedup.exact_groups(no_docs).count() == 0
 
 
-def test_index_persists_over_batches(spark):
-    index = exact_dedup.DigestIndex(spark, buckets=4)
-    first = exact_dedup.digests(spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string"))
-    index.ingest(first)
-    again = exact_dedup.DigestIndex(spark, index.name, buckets=4)
-    second = exact_dedup.digests(spark.createDataFrame([(9, "a"), (8, "c")], "doc_id long, text string"))
-    again.ingest(second)
-    assert again.table().count() == 3
-    assert {r["id"]: r["keep_id"] for r in again.decide(second).collect()} == {9: 3, 8: 8}
+def test_index_persists_over_batches(spark, docs):
+    index = exact_dedup.DigestIndex(spark, "seen_texts")
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.drop_duplicates(first, index=index).collect())) == [(2, "b"), (3, "a")]
+    again = exact_dedup.DigestIndex(spark, "seen_texts", expected=10**9)
+    assert again.buckets == index.buckets == 8
+    second = spark.createDataFrame([(9, "a"), (8, "c")], "doc_id long, text string")
+    assert {r["id"]: r["keep_id"] for r in exact_dedup.exact_groups(second, index=again).collect()} == {9: 3, 8: 8}
+    assert again.table().count() == 3 and exact_dedup.drop_duplicates(second, index=again).count() == 0
     index.drop()
+    exact_dedup.exact_groups(docs).count(), exact_dedup.drop_duplicates(docs).count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+
+
+def test_buckets_follow_the_size(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 10)
+    index = exact_dedup.DigestIndex(spark, "sized_index", expected=195)
+    assert index.buckets == 20
+    index.drop()
+
+
+def test_op4_equals_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["text"] or "", []).append(r["doc_id"])
+    want = [(r["doc_id"], max(g), len(g), r["doc_id"] == max(g), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in rows for g in [groups[r["text"] or ""]]]
+    assert sorted(map(tuple, exact_dedup.op4_exact_dedup(spark, SF).collect())) == sorted(want)
 
 
 def brute_targets(sizes, weights=(1, 2, 3), most=3):
