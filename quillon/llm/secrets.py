@@ -158,7 +158,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if trigrams is None:
         seen = F.array_distinct(F.regexp_extract_all("low", F.lit("(?s)(?=(...))"), F.lit(1)))  # a look-ahead, as trigrams overlap
     elif trigrams:
-        seen = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
+        # the lower-cased text is an element of an array here, so that it is made once and not for each trigram
+        every = F.array(*map(F.lit, trigrams))
+        seen = F.transform(F.array("low"), lambda low: F.filter(every, lambda t: F.contains(low, t)))[0]
     else:
         seen = F.array().cast("array<string>")
     rows = rows.select("key", seen.alias("seen")).filter(F.size("seen") > 0)
