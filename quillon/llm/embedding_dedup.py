@@ -1,20 +1,24 @@
 """Near-duplicate vectors by randomised-rotation binary codes.
 
-A unit vector o, padded with zeros to BITS dimensions, is rotated by a seeded random
-orthogonal matrix; the signs are its code x and f = <o, x> its stored correction
-factor. For another unit vector q, <x, q> / f estimates <o, q> without bias, within
-EPS * sqrt((1 - f^2) / f^2) / sqrt(BITS - 1) up to a tiny probability.
+A unit vector o, padded with zeros to BITS dimensions or more, is rotated by a seeded
+random orthogonal matrix; the signs are its code x and f = <o, x> its correction
+factor. Code and factor are computed once and stored with the class. For another unit
+vector q, <x, q> / f estimates <o, q> without bias, within
+EPS * sqrt((1 - f^2) / f^2) / sqrt(bits - 1) up to a tiny probability.
 
 1. Equal vectors collapse to a class, represented by its least id.
 2. Each of several tables deals classes by some bits of their codes; the number of bits
    grows with the logarithm of the number of classes and the number of tables with it,
    so that a linked pair meets in some table but for a probability of MISS, averaged over
    how many bits of their codes agree, as all tables draw on the same ones. Within a
-   bucket, codes whose Hamming distance may belong to a linked pair tie classes into
-   clusters (one row per class, no pairs).
-3. Vectors of a cluster meet once, in blocks. The estimate and its bound rule pairs out;
-   the others' cosines are recomputed exactly in double precision. Links are counted
-   and confirmed links reduced to a spanning forest; nothing is emitted per pair.
+   bucket, packed codes whose Hamming distance may belong to a linked pair tie classes
+   into clusters (one row per class, no pairs).
+3. Vectors of a cluster meet once, in blocks. Pairs are judged in turn by the Hamming
+   distance of their packed codes, by the estimate and its bound, and, if both leave them
+   open, by the cosine in double precision. Links are counted and confirmed links reduced
+   to a spanning forest; nothing is emitted per pair. A cluster above BLOCK classes is
+   compared in blocks of two parts each, so that no task holds more than BLOCK; counting
+   the links of one dense group is work of the square of its distinct vectors.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing, nor do vectors of unequal length; of rows that share an id, the least
@@ -37,12 +41,14 @@ from ._graph import connected_components
 from ._pairs import UnionFind, draws_needed, runs
 
 MISS, EPS = 1e-4, 4.5
+#: Bits of a code at least; longer codes tie fewer vectors that don't link.
+BITS = 512
 #: Classes per bucket that the number of bits aims at, in a bucket that is compared code by code, and in a block.
 AIM, REGION, BLOCK = 16, 2048, 1024
 
 
 def code_bits(dim: int) -> int:
-    return max(256, 64 * math.ceil(dim / 64))
+    return max(BITS, 64 * math.ceil(dim / 64))
 
 
 @lru_cache(maxsize=8)
@@ -93,28 +99,47 @@ def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInPandas(pack, "id long, vector binary")
 
 
-def _coded(classes: DataFrame, k: int, tables: int) -> DataFrame:
-    """(id, code, key) for each class and table."""
+def _packed(frame: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(frame["code"]), np.uint64).reshape(len(frame), -1)
+
+
+def _most_apart(bits: int, threshold: float) -> float:
+    """Differing bits of two codes that a linked pair has at most, up to a tiny probability."""
+    p = math.acos(threshold) / math.pi
+    return bits * (p + EPS * math.sqrt(p * (1 - p) / bits))
+
+
+def coded(classes: DataFrame) -> DataFrame:
+    """classes: (id, size, vector). Adds dim, code (packed bits) and factor."""
 
     def run(batches):
         for batch in batches:
             for width, frame in batch.groupby(batch["vector"].map(len)):
-                dim = width // 8
-                bits = code_bits(dim)
-                signs = _unit(_vectors(frame)) @ _rotation(dim).T > 0
-                code = np.packbits(signs, axis=1)
-                picked = signs[:, _table_bits(bits, k, tables)].astype(np.int64)
-                keys = picked @ (1 << np.arange(k, dtype=np.int64))
-                yield pd.DataFrame({"id": frame["id"].to_numpy(), "dim": dim, "code": [c.tobytes() for c in code], "keys": list(keys)})
-
-    rows = classes.select("id", "vector").mapInPandas(run, "id long, dim long, code binary, keys array<long>")
+                turned = _unit(_vectors(frame)) @ _rotation(width // 8).T
+                signs = turned > 0
+                factor = np.abs(turned).sum(1) / math.sqrt(turned.shape[1])
+                yield frame.assign(dim=width // 8, code=[c.tobytes() for c in np.packbits(signs, axis=1, bitorder="little")], factor=factor)
+
+    return classes.select("id", "size", "vector").mapInPandas(run, "id long, size long, vector binary, dim long, code binary, factor double")
+
+
+def _dealt(codes: DataFrame, k: int, tables: int) -> DataFrame:
+    """codes: (id, dim, code). (id, code, key) for each class and table."""
+
+    def run(batches):
+        for batch in batches:
+            for width, frame in batch.groupby(batch["code"].map(len)):
+                signs = np.unpackbits(_packed(frame).view(np.uint8), axis=1, bitorder="little")
+                keys = signs[:, _table_bits(8 * width, k, tables)].astype(np.int64) @ (1 << np.arange(k, dtype=np.int64))
+                yield frame.assign(keys=list(keys))
+
+    rows = codes.select("id", "dim", "code").mapInPandas(run, "id long, dim long, code binary, keys array<long>")
     rows = rows.select("id", "dim", "code", F.posexplode("keys").alias("t", "bits"))
     return rows.select("id", "code", F.xxhash64("dim", "t", "bits").alias("key"))
 
 
 def _cluster_edges(coded: DataFrame, threshold: float) -> DataFrame:
     """Ties ids whose codes may belong to a linked pair; all of a bucket above REGION. Out: (a, b)."""
-    p = math.acos(threshold) / math.pi
 
     def tie(batches):
         for frame in runs(batches, "key"):
@@ -123,9 +148,8 @@ def _cluster_edges(coded: DataFrame, threshold: float) -> DataFrame:
             ids = frame["id"].to_numpy()
             if len(set(map(len, frame["code"]))) > 1:
                 continue
-            code = np.frombuffer(b"".join(frame["code"]), np.uint64).reshape(len(ids), -1)
-            bits = code.shape[1] * 64
-            most = bits * (p + EPS * math.sqrt(p * (1 - p) / bits))
+            code = _packed(frame)
+            most = _most_apart(64 * code.shape[1], threshold)
             sets = UnionFind(len(ids))
             for at in range(0, len(ids), 64):
                 apart = np.bitwise_count(code[at : at + 64, None] ^ code[None, :]).sum(2, dtype=np.int32)
@@ -146,7 +170,7 @@ def _cluster_edges(coded: DataFrame, threshold: float) -> DataFrame:
 
 
 def _count_links(groups: DataFrame, threshold: float) -> DataFrame:
-    """groups: (group, part, id, size, vector), sorted by group. Out: (id, links, root), once per group and id.
+    """groups: (group, part, id, size, vector, code, factor), sorted by group. Out: (id, links, root), once per group and id.
 
     Pairs within a part are compared in the group of that part alone, others in that of both.
     """
@@ -155,24 +179,25 @@ def _count_links(groups: DataFrame, threshold: float) -> DataFrame:
         for frame in runs(batches, "group"):
             if len(frame) < 2:
                 continue
-            ids, size, part = (frame[c].to_numpy() for c in ("id", "size", "part"))
-            unit = _unit(_vectors(frame))
-            n, dim = unit.shape
-            bits, turned = code_bits(dim), (unit @ _rotation(dim).T).astype(np.float32)
-            code = np.sign(turned).astype(np.float32) / np.float32(math.sqrt(bits))
-            code[code == 0] = -1 / math.sqrt(bits)
-            f = np.einsum("ij,ij->i", code, turned)
+            ids, size, part, f = (frame[c].to_numpy() for c in ("id", "size", "part", "factor"))
+            unit, code = _unit(_vectors(frame)), _packed(frame)
+            n, bits = len(frame), 64 * code.shape[1]
+            most, root_bits = _most_apart(bits, threshold), math.sqrt(bits)
             bound = EPS * np.sqrt((1 - f * f) / (f * f)) / math.sqrt(bits - 1)
+            turned, signs = unit @ _rotation(unit.shape[1]).T, np.unpackbits(code.view(np.uint8), axis=1, bitorder="little").astype(bool)
             two = len(set(part)) > 1
             links, sets = np.zeros(n, np.int64), UnionFind(n)
-            for at in range(0, n, 128):
-                estimate = turned[at : at + 128] @ code.T / f + bound
-                i, j = np.nonzero(estimate >= threshold)
+            for at in range(0, n, 64):
+                apart = np.bitwise_count(code[at : at + 64, None] ^ code[None, :]).sum(2, dtype=np.int32)
+                i, j = np.nonzero(apart <= most)
                 i += at
                 keep = (i < j) & ((part[i] != part[j]) if two else True)
                 i, j = i[keep], j[keep]
                 for b in range(0, len(i), 20_000):
                     x, y = i[b : b + 20_000], j[b : b + 20_000]
+                    # <code of x, y> / f: twice what y has where x's bits are set, less all that y has
+                    estimate = (2 * np.einsum("ij,ij->i", signs[x], turned[y]) - turned[y].sum(1)) / root_bits / f[x]
+                    x, y = x[open_ := estimate + bound[x] >= threshold], y[open_]
                     hit = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
                     x, y = x[hit], y[hit]
                     np.add.at(links, x, size[y])
@@ -196,10 +221,10 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
         least = one.select(F.col("id").alias("i"), F.col("vector").alias("least"))
         rows = materialise(rows.join(least, F.col("id") == F.col("i"), "left").select("id", F.coalesce("least", "vector").alias("vector")), "vectors")
     classes = one.groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
-    classes = materialise(classes.select(F.col("rep").alias("id"), "size", "vector"), "classes")
+    classes = materialise(coded(classes.select(F.col("rep").alias("id"), "size", "vector")), "classes")
     k, tables = tables_needed(classes.count(), threshold)
 
-    clusters = connected_components(_cluster_edges(_coded(classes, k, tables), threshold))
+    clusters = connected_components(_cluster_edges(_dealt(classes, k, tables), threshold))
     clusters = materialise(clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct()), "clusters")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("of"))
     members = join_grouped(clusters, sizes, "component", "of", clusters.count(), ["node"]).withColumnRenamed("node", "id")
@@ -207,7 +232,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
     members = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     members = members.select("id", "part", F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other")).alias("group"))
-    met = classes.join(members, "id").select("group", "part", "id", "size", "vector").repartition("group").sortWithinPartitions("group", "id")
+    met = classes.join(members, "id").select("group", "part", "id", "size", "vector", "code", "factor").repartition("group").sortWithinPartitions("group", "id")
     found = materialise(_count_links(met, threshold), "links")
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))

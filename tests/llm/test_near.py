@@ -105,18 +105,45 @@ def test_embeddings(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
-def test_estimate_is_unbiased_within_its_bound():
+def test_estimate_is_unbiased_within_its_bound(spark):
     rng = np.random.default_rng(8)
     o, q = rng.standard_normal((2, 400, 64))
     q = embedding_dedup._unit(o + 0.6 * q)
+    rows = [(i, 1, v.astype("<f8").tobytes()) for i, v in enumerate(o)]
+    stored = embedding_dedup.coded(spark.createDataFrame(rows, "id long, size long, vector binary")).orderBy("id").toPandas()
     o = embedding_dedup._unit(o)
-    turn = embedding_dedup._rotation(64)
-    a, b = o @ turn.T, q @ turn.T
-    code = np.sign(a) / np.sqrt(a.shape[1])
-    f = (code * a).sum(1)
-    error = (code * b).sum(1) / f - (o * q).sum(1)
-    bound = embedding_dedup.EPS * np.sqrt((1 - f * f) / (f * f)) / np.sqrt(a.shape[1] - 1)
-    assert abs(error.mean()) < 0.01 and (np.abs(error) < bound).all()
+    f, signs = stored["factor"].to_numpy(), np.unpackbits(embedding_dedup._packed(stored).view(np.uint8), axis=1, bitorder="little")
+    turned = q @ embedding_dedup._rotation(64).T
+    bits = turned.shape[1]
+    error = ((2.0 * signs - 1) * turned).sum(1) / np.sqrt(bits) / f - (o * q).sum(1)
+    bound = embedding_dedup.EPS * np.sqrt((1 - f * f) / (f * f)) / np.sqrt(bits - 1)
+    assert bits == embedding_dedup.BITS and abs(error.mean()) < 0.01 and (np.abs(error) < bound).all()
+
+
+def test_planted_links_are_all_found(spark):
+    """Clusters around 40 centres with cosines on both sides of the threshold, and one dense group."""
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((40, 64))
+    x = np.concatenate([c + s * rng.standard_normal((12, 64)) for c, s in zip(centres, np.linspace(0.1, 0.3, 40))] + [centres[:1] + 0.12 * rng.standard_normal((300, 64))])
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    pairs = [(a, b) for a, b in zip(*np.nonzero(near)) if a < b]
+    want = components(range(len(x)), pairs)
+    got = embedding_dedup.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert len(pairs) > 10_000
+    assert sum(r["n_links"] for r in got) >= 0.999 * 2 * len(pairs) and all(r["n_links"] <= near[r["id"]].sum() - 1 for r in got)
+    assert np.mean([r["component_id"] == want[r["id"]] for r in got]) >= 0.999
+
+
+def test_op10_equals_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near, ids = unit @ unit.T >= 0.95, [r["vec_id"] for r in rows]
+    want = components(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near)) if a != b])
+    got = sorted(map(tuple, embedding_dedup.op10_embedding_dedup(spark, SF).collect()))
+    assert got == sorted((i, near[k].sum() - 1, want[i], want[i] == i) for k, i in enumerate(ids))
 
 
 @pytest.mark.parametrize("percent", [80, 85])
@@ -190,8 +217,8 @@ def test_op3_equals_brute_force(spark):
 def test_vectors_at_the_threshold_share_a_bucket(n):
     k, tables = embedding_dedup.tables_needed(n, 0.95)
     rng, pairs = np.random.default_rng(n), 200_000
-    agree = rng.random((pairs, 256)) < 1 - np.arccos(0.95) / np.pi
+    agree = rng.random((pairs, embedding_dedup.BITS)) < 1 - np.arccos(0.95) / np.pi
     met = np.zeros(pairs, bool)
-    for bits in embedding_dedup._table_bits(256, k, tables):
+    for bits in embedding_dedup._table_bits(embedding_dedup.BITS, k, tables):
         met |= agree[:, bits].all(1)
     assert (~met).sum() <= 1.6 * embedding_dedup.MISS * pairs
