@@ -12,8 +12,11 @@ Counting: within a piece the state is the last token of the prefix read so far.
 the uniqueness of BPE, the encoding of a prefix ends in the one token t for which
 what precedes it ends in a token that may stand before t; taking t emits one more
 token. Two tokens may stand side by side if no merge crosses their border while the
-merges inside them run, which is read off their merge trees. All distinct pieces
-of a batch take their transitions in lockstep; counts of pieces are kept per worker.
+merges inside them run, which is read off their merge trees. These states are too many
+to tabulate, so transitions are made as they occur. All distinct pieces of a batch
+take their transitions in lockstep; counts of pieces are kept per worker. Pieces of
+more than LONG bytes are cut into chunks, whose maps from entry state to exit state
+and emitted tokens are made in lockstep too and composed along the piece.
 
 The library's handling of special strings is followed: they stand for one token each.
 
@@ -39,6 +42,8 @@ from ._shingles import _BASE, _INVERSE, U, _powers, mix
 from .packing import _bytes_of, tokenizer_path
 
 CHUNK, BATCH_CHARS, KEPT, LONG = 512, 1_000_000, 400_000, 256
+#: Chunk maps of long pieces that a worker keeps.
+MAPS = 20_000
 # character classes: other letters, digits, others, apostrophe, space, other white space, and letters of contractions
 LETTER, DIGIT, OTHER, APOS, SPACE, WHITE, STMD, R, V, ELL, E, RESET = range(12)
 # states: nothing read; in a run; white space runs of one and of more, ending in a space or not; contractions begun and done
@@ -193,6 +198,7 @@ class Transducer:
         self._drop_unreachable()
         self.kept: dict[int, int] = {}
         self.plain = None
+        self.maps: dict[tuple[bytes, bytes], tuple[bytes, int]] = {}
         self.split = re.compile("|".join(map(re.escape, self.special))) if self.special else None
 
     def _drop_unreachable(self) -> None:
@@ -236,45 +242,99 @@ class Transducer:
         out = np.zeros(len(start), np.int64)
         order = np.argsort(-size, kind="stable")
         long = int((size > LONG).sum())
-        for k in order[:long]:  # too few and too uneven for lockstep
-            out[k] = self._alone(raw[start[k] : start[k] + size[k]].tobytes())
+        if long:
+            out[order[:long]] = self._in_chunks(raw, start[order[:long]], size[order[:long]])
         for lo in range(long, len(order), 8192):
             some = order[lo : lo + 8192]
             out[some] = self._lockstep(raw, start[some], size[some])
         return out
 
-    def _alone(self, piece: bytes) -> int:
-        """The same transitions for one long piece; judgements on pairs of tokens are kept."""
+    def _in_chunks(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Long pieces. A state is the last tokens of the prefixes that a coming token may reach back to, with their counts.
+
+        All chunks of all pieces run in lockstep first, each from a guess of its entry state
+        that a run-up over the bytes before it gives. This yields a map from entry state to exit
+        state and emitted tokens; along a piece the maps are composed, and where a guess
+        was wrong the chunk's map is computed for the state that does occur, and kept.
+        """
+        span = max(LONG, self.longest)
+        piece = np.repeat(np.arange(len(start)), -(-size // span))
+        first = np.concatenate(([0], np.cumsum(-(-size // span))[:-1]))
+        at = (np.arange(len(piece)) - first[piece]) * span  # where in its piece a chunk begins
+        end, begin = np.minimum(at + span, size[piece]), np.maximum(0, at - 2 * self.longest)
+        order, states = np.argsort(begin - end, kind="stable"), [None] * len(piece)
+        for lo in range(0, len(order), 4096):
+            some = order[lo : lo + 4096]
+            for k, found in zip(some, self._lockstep(raw, start[piece[some]] + begin[some], (end - begin)[some], (at - begin)[some])):
+                states[k] = found
+        out, state = np.zeros(len(start), np.int64), b""
+        for k in range(len(piece)):
+            if len(self.maps) > MAPS:
+                self.maps.clear()
+            back = max(0, at[k] - self.longest)
+            text = raw[start[piece[k]] + back : start[piece[k]] + end[k]].tobytes()
+            entry, leave, emitted = states[k]
+            self.maps[text, entry if at[k] else b""] = leave, emitted
+            state = state if at[k] else b""
+            if (text, state) not in self.maps:
+                self.maps[text, state] = self._step(text, int(at[k] - back), state)
+            state, emitted = self.maps[text, state]
+            out[piece[k]] += emitted
+        return out
+
+    def _state(self, last: np.ndarray, count: np.ndarray) -> bytes:
+        """last, count: of the last prefixes, latest first."""
+        return last.astype("<i4").tobytes() + (count - count[0]).astype("<i4").tobytes()
+
+    def _step(self, text: bytes, begin: int, state: bytes) -> tuple[bytes, int]:
+        """The map of one chunk for one entry state; the chunk begins at begin in text. Judgements on pairs of tokens are kept."""
         if self.plain is None:
             table = lambda t: {int(k): int(v) for k, v in zip(t.keys, t.values) if v >= 0}
             self.plain = table(self.tree), self.ends.tolist(), {}
         tree, ends, known = self.plain
-        last, count = [-1] * (len(piece) + 1), [0] * (len(piece) + 1)
-        for i in range(1, len(piece) + 1):
+        seen = np.frombuffer(state, "<i4").reshape(2, -1)[:, : begin + 1][:, ::-1] if state else np.array([[-1], [0]])
+        gap = begin + 1 - seen.shape[1]
+        last, count = [-1] * gap + seen[0].tolist(), [0] * gap + seen[1].tolist()
+        for i in range(begin + 1, len(text) + 1):
             node, found = 0, []
             for at in range(i - 1, max(-1, i - 1 - self.longest), -1):
-                node = tree.get(node << 8 | piece[at])
+                node = tree.get(node << 8 | text[at])
                 if node is None:
                     break
                 if ends[node] >= 0:
                     found.append((at, ends[node]))
             for at, token in reversed(found):
                 pair = (last[at], token)
-                if at and pair not in known:
+                if pair[0] >= 0 and pair not in known:
                     if len(known) > KEPT:
                         known.clear()
                     known[pair] = bool(self._side_by_side(np.array(pair[:1]), np.array(pair[1:]))[0])
-                if not at or known[pair]:
-                    last[i], count[i] = token, count[at] + 1
+                if known[pair] if pair[0] >= 0 else at == 0:
+                    last.append(token)
+                    count.append(count[at] + 1)
                     break
-        return count[-1]
+        latest = [np.array(x[: -self.longest - 1 : -1]) for x in (last, count)]
+        short = self.longest - len(latest[0])
+        latest = [np.append(x, [fill] * max(0, short)) for x, fill in zip(latest, (-1, 0))]
+        return self._state(*latest), count[-1]
 
-    def _lockstep(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Pieces in order of falling size. State after i bytes: last token and count, for the last few i."""
+    def _lockstep(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, entry: np.ndarray | None = None):
+        """Pieces in order of falling size. State after i bytes: last token and count, for the last few i.
+
+        Returns the counts; with entry, for each piece the state after entry bytes, the state at its end and the tokens emitted in between.
+        """
         n, longest, ring = len(start), int(size[0]), self.longest + 1
         last, count = np.full((ring, n), -1, np.int64), np.zeros((ring, n), np.int64)
         out = np.zeros(n, np.int64)
         active = np.searchsorted(-size, -np.arange(1, longest + 1), "right")  # pieces of at least i bytes
+        entered, states = {}, [None] * n
+
+        def state(i: int, k: int):
+            rows = (i - np.arange(self.longest)) % ring
+            last_, count_ = last[rows, k].copy(), count[rows, k].copy()
+            last_[i + 1 :], count_[i + 1 :] = -1, count_[0]
+            return self._state(last_, count_), int(count[i % ring, k])
+
         for i in range(1, longest + 1):
             m = active[i - 1]
             lane, node = np.arange(m), np.zeros(m, np.int64)
@@ -305,7 +365,13 @@ class Transducer:
                 last[i % ring, lane], count[i % ring, lane] = token, count[at, lane] + 1
             ended = size[:m] == i
             out[:m][ended] = count[i % ring, :m][ended]
-        return out
+            if entry is not None:
+                for k in np.flatnonzero(entry[:m] == i):
+                    entered[k] = state(i, k)
+                for k in np.flatnonzero(ended):
+                    (before_, had), (after, has) = entered.get(k, (b"", 0)), state(i, k)
+                    states[k] = before_, after, has - had
+        return out if entry is None else states
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""

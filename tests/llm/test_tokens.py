@@ -12,6 +12,7 @@ from quillon.llm import packing, token_counts
 from .conftest import TEXTS
 
 PATH = packing.tokenizer_path()
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +30,44 @@ def test_counts_on_hard_texts(library):
     assert token_counts.Transducer(PATH).count(texts).tolist() == expected
 
 
+def test_long_pieces_compose_from_chunks(library):
+    rng = random.Random(17)
+    word = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    texts = ["a" * n for n in (256, 257, 511, 512, 513, 5000, 100_003)] + [" " * 3000, "=" * 2777, "ab" * 4000, "-_" * 999 + "=" * 999, "\u6f22" * 900]
+    texts += [word(a, n) for a in ("ab", "abcdefghijklmnop", "aeiou", "0123456789", "=-#", "漢字é") for n in (300, 700, 2000, 6000)]
+    texts += ["x " + word("abc", 900) + " y " + word("etaoin", 1300)]
+    machine = token_counts.Transducer(PATH)
+    expected = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert machine.count(texts).tolist() == expected
+    assert machine.count(texts[::-1]).tolist() == expected[::-1]
+
+
+def test_op8_and_op2_equal_the_library(spark, library):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    ids = {r["doc_id"]: library.encode(r["text"] or "", add_special_tokens=False).ids for r in rows}
+    want = sorted((r["doc_id"], len((r["text"] or "").encode()), len(ids[r["doc_id"]]), len(ids[r["doc_id"]]) > 512) for r in rows)
+    assert sorted(map(tuple, token_counts.op8_token_counts(spark, SF).collect())) == want
+    got = packing.op2_packing(spark, SF).collect()
+    pieces, windows = {}, {}
+    for r in got:
+        pieces.setdefault(r["doc_id"], []).append(r)
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert pieces.keys() == ids.keys()
+    for i, parts in pieces.items():
+        whole, at = np.array([*ids[i], 1], "<u4"), 0
+        for r in sorted(parts, key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"]) == (at, len(whole)) and r["ids_crc32"] == zlib.crc32(whole[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(whole)
+    for parts in windows.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert sum(len(x) + 1 for x in ids.values()) >= 0.99 * 2048 * len(windows)
+
+
 def test_chunked_scan_equals_one_pass():
     rng = np.random.default_rng(5)
     step, note = token_counts._splitter()
