@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fewer texts per Arrow batch than Spark's default: whole texts may be long.
-ARROW_ROWS = 1024
+#: Texts and bytes per Arrow batch at most: whole texts may be long.
+ARROW_ROWS, ARROW_BYTES = 1024, 32 << 20
 #: Keys holding more than one row in HEAVY_SHARE are handled by broadcast; there are fewer than HEAVY_SHARE of them.
 HEAVY_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share. In local mode, where there is one machine, one of our own if the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -40,8 +43,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, as they carry whole texts."""
+    """Keep Arrow batches small, as they carry whole texts. Plans read these settings when they run, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def splits(rows: int, per_split: int = 10_000, least: int = 64) -> int:

@@ -70,7 +70,7 @@ def _shape(word: str) -> int:
     if found is None:
         if len(_SHAPES) >= WORDS_KEPT:
             _SHAPES.clear()
-        shape = "".join(k for k, _ in itertools.groupby("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))[:16]
+        shape = "".join(k for k, _ in itertools.groupby("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
         found = _SHAPES[word] = zlib.crc32(f"{shape}/{min(len(word), 12) // 3}".encode("utf-8", "replace")) % (WIDTH - 2) + 2
     return found
 

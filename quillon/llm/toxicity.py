@@ -1,15 +1,17 @@
 """Toxicity by compression distance.
 
-Two Zstandard dictionaries are trained, one on ordinary and one on toxic labelled
-texts. A text is cut into windows of words; each is compressed with either
-dictionary, and the bytes that the toxic one saves are its distance. Thresholds on
-a document's distances (mean, three largest, largest) are calibrated by logistic
-regression on folds that the dictionaries of that fold have not seen.
+Two Zstandard dictionaries are made, one of ordinary and one of toxic labelled texts. A
+text is cut into windows of words; each is compressed with either dictionary, and the
+bytes that the toxic one saves are its distance. A document's distances (mean, three
+largest, largest) are calibrated to a probability on folds that the dictionaries of that
+fold have not seen, and cut at a threshold.
 
 Words are first recoded to symbols of fixed width, a stem's and the word's, so that a
 match costs Zstandard the same few bytes whether a word is short or long, and
-chance matches of letters cannot occur. A dictionary holds the symbols of highest
-document frequency in its class; the toxic one also those over-represented there.
+chance matches of letters cannot occur. Dictionaries are raw content, not the work of
+Zstandard's own trainer, which fills them with what is frequent rather than with what
+tells the classes apart (figures in the README): the COMMON symbols of highest document
+frequency in ordinary texts, and in the toxic one also those over-represented there.
 
 Fitting sees a bounded sample: at most SAMPLE documents of each label, in hash order of
 their ids. Calibration weights a sampled document by the labels it stands for, so that
@@ -37,7 +39,9 @@ from ._common import small_batches
 
 #: Labelled documents of each label that fitting sees at most.
 SAMPLE = 2000
+#: Words of a window, bytes of a symbol, letters of a stem, Zstandard's level.
 WINDOW_WORDS, SYMBOL, STEM, LEVEL = 16, 6, 5, 6
+#: Size of the ordinary dictionary in symbols; over-represented: in OVER times as large a share of toxic texts, and in one of RARE of them at least.
 COMMON, OVER, RARE = 680, 10.0, 100
 WORDS_KEPT = 300_000
 _WORD = re.compile(r"\w+")
@@ -123,7 +127,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2)
 
 def fit(texts: list[str], labels: list[int], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Equal texts count once, as copies would fill a dictionary. stands_for: labels 0 and 1 there are for each one given."""
-    rows = sorted(dict(zip(texts, labels)).items(), key=lambda r: hashlib.blake2b(r[0].encode("utf-8", "replace")).digest())
+    rows = sorted(dict(sorted(zip(texts, labels))).items(), key=lambda r: hashlib.blake2b(r[0].encode("utf-8", "replace")).digest())
     x, y = [t for t, _ in rows], np.array([v for _, v in rows], float)
     n = np.where(y > 0, stands_for[1], stands_for[0])
     if len(rows) < 8 or min(y.sum(), len(y) - y.sum()) < 4:
@@ -189,8 +193,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below threshold, with docs' own columns."""
+    """The rows of docs that score below threshold, with docs' own columns. All of them, if there are too few labels to fit by."""
     model = fit_from_labels(docs, labels.filter(~held_out(F.col(id_col))), id_col, text_col)
+    if model.constant is not None:
+        return docs
     own = list(docs.columns)
     renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
     i, t = own.index(id_col), own.index(text_col)

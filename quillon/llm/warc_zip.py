@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import gzip
 import json
+import re
 import struct
 import urllib.parse
 import uuid
@@ -33,6 +35,8 @@ from ._common import join_grouped, materialise, scratch_path, small_batches
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of compressed records that one range read fetches, and of a package before the next is begun.
 RUN_BYTES, PACKAGE_BYTES = 8 << 20, 1 << 30
+#: Bytes of records after decompression that are handed on at a time.
+YIELD_BYTES = 16 << 20
 #: Tasks that read runs, at most; beyond that many runs a task reads several, one after the other.
 RUNS = 100_000
 _DATE = "2024-01-01T00:00:00Z"
@@ -41,7 +45,7 @@ _DATE = "2024-01-01T00:00:00Z"
 def _open(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))  # Hadoop's names of the same store
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -197,6 +201,27 @@ def members(read, size: int) -> dict[str, tuple[int, int]]:
     return out
 
 
+def record_places(found: dict[str, tuple[int, int]], read) -> list[tuple[int, int]]:
+    """(start, length) in the package of each record that its indexes list. found: the package's members.
+
+    An index is a stored member under indexes/ whose lines end in a JSON object (CDXJ), gzipped
+    or not; file names in it are members, or stand for members under archive/.
+    """
+    names = [n for n in found if re.fullmatch(r"indexes/.*\.cdxj?(\.gz)?", n)]
+    if not names:
+        raise ValueError("no index of records in the package")
+    out = []
+    for name in names:
+        lines = read(*found[name])
+        for line in (gzip.decompress(lines) if name.endswith(".gz") else lines).splitlines():
+            if b"{" not in line:
+                continue
+            at = json.loads(line[line.index(b"{") :])
+            start, _ = found.get(at["filename"]) or found["archive/" + at["filename"]]
+            out.append((start + int(at["offset"]), int(at["length"])))
+    return out
+
+
 def _reader(uri: str):
     system, path = _open(uri)
     file = system.open_input_file(path)
@@ -211,17 +236,14 @@ def read_packages(packages: DataFrame, payloads: bool = True) -> DataFrame:
             for uri in batch["uri"]:
                 read, size, file = _reader(uri)
                 with file:
-                    found = members(read, size)
-                    index = read(*found[INDEX])
-                out, run, begun = [], 0, None
-                for line in index.splitlines():
-                    at = json.loads(line)
-                    start = found[at["filename"]][0] + at["offset"]
-                    if begun is None or start + at["length"] - begun > RUN_BYTES:
-                        run, begun = run + 1, start
+                    places = sorted(record_places(members(read, size), read))
+                out, begun = [], None
+                for start, length in places:
+                    if begun is None or start != begun + out[-1][2] or start + length - begun > RUN_BYTES:
+                        begun = start
                         out.append([uri, start, 0, []])
-                    out[-1][2] = start + at["length"] - begun
-                    out[-1][3].append(at["length"])
+                    out[-1][2] = start + length - begun
+                    out[-1][3].append(length)
                 yield pd.DataFrame(out, columns=["uri", "start", "length", "sizes"])
 
     def fetch(batches):
@@ -230,13 +252,17 @@ def read_packages(packages: DataFrame, payloads: bool = True) -> DataFrame:
                 read, _, file = _reader(uri)
                 with file:
                     data = read(start, length)
-                at, out = 0, []
-                for n in sizes:
-                    out.append({"uri": uri} | parse_record(zlib.decompress(data[at : at + n], 31)))
-                    at += n
-                made = pd.DataFrame(out, columns=["uri", "page_id", "target_uri", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
-                made["page_id"], made["refers_to"] = made["page_id"].astype("Int64"), made["refers_to"].astype("Int64")
-                yield made if payloads else made.drop(columns="payload")
+                at, held, out = 0, 0, []
+                for k, n in enumerate(sizes):
+                    record = zlib.decompress(data[at : at + n], 31)
+                    at, held = at + n, held + len(record)
+                    fields = parse_record(record)
+                    out.append({"uri": uri} | (fields if payloads else fields | {"payload": None}))
+                    if held >= YIELD_BYTES or k == len(sizes) - 1:
+                        made = pd.DataFrame(out, columns=["uri", "page_id", "target_uri", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
+                        made["page_id"], made["refers_to"] = made["page_id"].astype("Int64"), made["refers_to"].astype("Int64")
+                        yield made if payloads else made.drop(columns="payload")
+                        held, out = 0, []
 
     # a run's row is a few bytes but stands for RUN_BYTES of reading, so tasks follow the number of runs, not their size
     located = materialise(packages.select("uri").mapInPandas(locate, "uri string, start long, length long, sizes array<long>"), "runs")

@@ -127,6 +127,93 @@ def test_zip64_directories(tmp_path):
     assert warc_zip.members(lambda s, n: wide[s : s + n], len(wide)) == found
 
 
+def test_foreign_packages_are_read(spark, tmp_path):
+    """Index gzipped, with keys before the JSON, numbers as texts and names without the folder; records with a gap between them."""
+    import gzip
+
+    digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    records = [gzip.compress(warc_zip.record_bytes(i, f"http://x/{i}", b"<p>%d</p>" % i, digest(b"<p>%d</p>" % i), None)) for i in range(3)]
+    data, lines = b"".join(records), []
+    for i in (2, 0):
+        lines.append(f'com,x)/{i} 20240101 ' + '{"url": "http://x/%d", "filename": "d.warc.gz", "offset": "%d", "length": "%d"}' % (i, sum(map(len, records[:i])), len(records[i])))
+    with zipfile.ZipFile(tmp_path / "f.wacz", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/d.warc.gz", data)
+        z.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(["!meta", *lines]).encode()))
+    got = warc_zip.read_packages(spark.createDataFrame([(f"file://{tmp_path}/f.wacz",)], "uri string")).collect()
+    assert sorted((r["page_id"], bytes(r["payload"])) for r in got) == [(0, b"<p>0</p>"), (2, b"<p>2</p>")]
+    with zipfile.ZipFile(tmp_path / "none.wacz", "w") as z:
+        z.writestr("a", b"b")
+    with pytest.raises(Exception, match="no index"):
+        warc_zip.read_packages(spark.createDataFrame([(f"file://{tmp_path}/none.wacz",)], "uri string")).count()
+
+
+def test_op6_equals_brute_force(spark):
+    pages = [(r["page_id"], (r["html"] or "").encode()) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    first = {}
+    for i, h in sorted(pages):
+        first.setdefault(h, i)
+    want = [(i, len(h), base64.b32encode(hashlib.sha1(h).digest()).decode(), "response" if first[h] == i else "revisit", None if first[h] == i else first[h]) for i, h in pages]
+    assert sorted(map(str, map(tuple, warc_zip.op6_warc_zip(spark, SF).collect()))) == sorted(map(str, want))
+
+
+def test_op7_equals_brute_force_and_finds_held_out_rows(spark):
+    """Scores from plain compression of each text under the fitted dictionaries, outside Spark."""
+    import zlib
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit_from_labels(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    windows = toxicity.Windows(model.ordinary, model.toxic)
+    want = {}
+    for r in docs.collect():
+        words = toxicity._WORD.findall((r["text"] or "").lower())
+        saved = sorted((len(windows.ordinary(w)) - len(windows.toxic(w)) for w in (b"".join(map(toxicity.symbols, words[i : i + 16])) for i in range(0, len(words), 16))), reverse=True) or [0]
+        x = np.array([1, np.mean(saved), np.mean(saved[:3]), saved[0]]) @ np.array(model.weights)
+        want[r["doc_id"]] = (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2, 1 / (1 + np.exp(-x)))
+    got = {r["doc_id"]: r for r in toxicity.op7_toxicity(spark, SF).collect()}
+    assert got.keys() == want.keys()
+    for i, (held, s) in want.items():
+        assert got[i]["held_out"] == held and got[i]["score"] == pytest.approx(s, abs=1e-9) and got[i]["predicted"] == (got[i]["score"] >= 0.3)
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if got[r["doc_id"]]["held_out"]}
+    assert np.mean([got[i]["predicted"] == y for i, y in truth.items()]) >= 0.9
+
+
+def test_labels_that_conflict_are_settled_alike(spark):
+    texts, ys = [t for _, t, _ in labelled(80)], [y for _, _, y in labelled(80)]
+    texts, ys = texts + texts[:10], ys + [1 - y for y in ys[:10]]
+    assert toxicity.fit(texts, ys) == toxicity.fit(texts[::-1], ys[::-1])
+
+
+def test_op9_posteriors_follow_from_its_votes(spark):
+    """A plain expectation-maximisation, document by document."""
+    rows = quality.op9_quality(spark, SF).collect()
+    votes, share, n = [r["votes"] for r in rows], 0.5, len(quality.HEURISTICS)
+    good = [(v.count("1") + 0.5) / (v.count("1") + 2 * v.count("0") + 1) for v in votes]
+    for _ in range(200):
+        share, old = (sum(good) + 1) / (len(votes) + 2), share
+        table = [[{c: 1.0 for c in "01-"} for _ in (0, 1)] for _ in range(n)]
+        for v, g in zip(votes, good):
+            for k, c in enumerate(v):
+                table[k][0][c] += 1 - g
+                table[k][1][c] += g
+        ratio = [{c: np.log(t[1][c] / sum(t[1].values()) / (t[0][c] / sum(t[0].values()))) for c in "01"} | {"-": 0.0} for t in table]
+        good = [1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + sum(ratio[k][c] for k, c in enumerate(v)), -40, 40))) for v in votes]
+        if abs(share - old) < 1e-9:
+            break
+    assert [r["posterior"] for r in rows] == pytest.approx(good, abs=1e-6)
+    assert all(r["kept"] == (r["score"] >= quality.THRESHOLD) == bool(r["predicted"]) for r in rows)
+    assert np.corrcoef([r["score"] for r in rows], good)[0, 1] > 0.9
+
+
+def test_stages_on_no_rows_and_clashing_names(spark, docs, no_docs):
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")
+    labels.write.mode("overwrite").parquet((at := warc_zip.scratch_path(spark, "sf")) + "/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (docs, no_docs):
+            out = stage(spark, given, at)
+            assert name == "packing" or out.columns == given.columns
+            assert (out.count() > 0) == (given is docs), name
+
+
 def test_pipeline(spark):
     from quillon.llm._common import materialise
 

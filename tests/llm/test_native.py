@@ -154,6 +154,25 @@ def test_mixing(spark, docs, no_docs):
     assert taken.columns == docs.columns and taken.count() > 0
 
 
+def test_op5_equals_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows}
+    of, source = {}, {r["doc_id"]: r["source"] for r in rows}
+    for i, s in source.items():
+        of[s] = of.get(s, 0) + size[i]
+    target, taken, places = brute_targets(of), dict.fromkeys(of, 0), []
+    got = mixing.op5_source_mixing(spark, SF).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        s = source[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], of[s]) and r["target"] == pytest.approx(target[s]) and 0 <= r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+        assert (r["position"] is None) == (r["taken"] == 0)
+        places.append(2 if r["position"] is None else r["position"])
+    assert all(abs(taken[s] - t) <= 1 for s, t in target.items()) and places == sorted(places)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.op5_source_mixing(spark, SF).collect()))
+
+
 def test_targets_of_many_sources(spark):
     sizes = {f"s{i:02d}": (i * 37) % 11 * 10 for i in range(12)} | {None: 500}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
