@@ -25,9 +25,13 @@ SQL_FUNCTIONS = {
 }
 
 
-def register(spark: SparkSession) -> None:
-    """Makes the distances callable from SQL. Catalyst inlines them."""
-    for name, (params, body) in SQL_FUNCTIONS.items():
+#: What distance() computes, by the metric of a vector index.
+BY_METRIC = {"l2": "l2_distance", "cosine": "cosine_distance", "ip": "neg_inner_product"}
+
+
+def register(spark: SparkSession, metric: str = "l2") -> None:
+    """Makes the distances callable from SQL. Catalyst inlines them. metric: what distance() stands for."""
+    for name, (params, body) in (SQL_FUNCTIONS | {"distance": SQL_FUNCTIONS[BY_METRIC[metric]]}).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS DOUBLE RETURN {body}")
 
 

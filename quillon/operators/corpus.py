@@ -18,6 +18,12 @@ def last_code_block(text: Column) -> Column:
     return _strip(F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?s)```sql\s*(.*?)\s*```"), F.lit(1)), F.lit(-1)))
 
 
+def dialogue(turns: DataFrame, case: str, order: str, role: str, text: str) -> DataFrame:
+    """(case, dialogue): the turns of a case in order, each as 'role: text' on a line of its own."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(order, F.concat_ws(": ", role, F.coalesce(text, F.lit(""))).alias("line")))), lambda t: t["line"])
+    return turns.groupBy(F.col(case).alias("case")).agg(F.array_join(lines, "\n").alias("dialogue"))
+
+
 def last_section(text: Column, name: str) -> Column:
     """Content of the last [NAME-START] ... [NAME-END] section."""
     return _strip(F.try_element_at(F.regexp_extract_all(text, F.lit(rf"(?s)\[{name}-START\](.*?)\[{name}-END\]"), F.lit(1)), F.lit(-1)))
@@ -38,10 +44,17 @@ def is_query(sql: Column) -> Column:
     return strip_comments(sql).rlike(r"(?i)^(select|with)\b")
 
 
+#: What counts as a literal of a statement. Texts in either quotes, which begin after no word character.
+LITERAL_TEXTS = tuple(rf"(?<!\w){q}(?:\\.|[^{q}])*{q}" for q in "'\"")
+LITERAL_NUMBER, LITERAL_WORDS = r"-?\b\d+(?:\.\d+)?(?:e[-+]?\d+)?\b", ("null", "true", "false")
+MASK = "<v>"
+
+
 def template(sql: Column) -> Column:
-    """A statement with its literals masked and its white space collapsed, in lower case."""
-    masked = F.regexp_replace(sql, r"(?i)(?<!\w)'(?:\\.|[^'])*'|(?<!\w)\"(?:\\.|[^\"])*\"|-?\b\d+(\.\d+)?(e[-+]?\d+)?\b|\bNULL\b|\bTRUE\b|\bFALSE\b", "<v>")
-    return F.trim(F.lower(F.regexp_replace(masked, r"\s+", " ")))
+    """A lower-cased statement with its literals masked and its white space collapsed."""
+    words = rf"\b(?:{'|'.join(LITERAL_WORDS)})\b"
+    masked = F.regexp_replace(F.lower(sql), "|".join([*LITERAL_TEXTS, LITERAL_NUMBER, words]), MASK)
+    return F.trim(F.regexp_replace(masked, r"\s+", " "))
 
 
 def dedup_by_template(df: DataFrame, sql_col: str, order: str) -> DataFrame:
@@ -57,7 +70,7 @@ def column_count_histogram(df: DataFrame) -> DataFrame:
 
 
 def majority_vote(results: DataFrame, case: str, response: str, row: str, least: int = 3) -> DataFrame:
-    """results: a line per result row of each response. (case, response, votes) of the least response of the largest group.
+    """results: a line per result row of each response. (case, response, votes) of the least response of the largest group; of groups alike in size, that with the least response.
 
     Responses agree if their sets of rows do; the set is folded to an order-free digest
     (count, sum and xor of row hashes), so no result is gathered. Cases with fewer than ``least`` responses go.
@@ -65,8 +78,8 @@ def majority_vote(results: DataFrame, case: str, response: str, row: str, least:
     rows = results.select(F.col(case).alias("case"), F.col(response).alias("response"), F.xxhash64(row).alias("h"), F.hash(row).alias("g")).distinct()
     key = rows.groupBy("case", "response").agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("g").cast("long")).alias("s"))
     votes = key.groupBy("case", "n", "x", "s").agg(F.count("*").alias("votes"), F.min("response").alias("response"))
-    total = votes.groupBy("case").agg(F.sum("votes").alias("valid"), F.max_by(F.struct("response", "votes"), F.struct("votes", F.struct(-F.col("n"), F.col("x"), F.col("s")))).alias("w"))
-    return total.filter(F.col("valid") >= least).select("case", "w.response", "w.votes")
+    total = votes.groupBy("case").agg(F.sum("votes").alias("valid"), F.min(F.struct((-F.col("votes")).alias("fewer"), "response")).alias("w"))
+    return total.filter(F.col("valid") >= least).select("case", "w.response", (-F.col("w.fewer")).alias("votes"))
 
 
 def question_vote(df: DataFrame, case: str, key: str, vec_col: str) -> DataFrame:

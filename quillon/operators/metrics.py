@@ -89,6 +89,18 @@ def compare_models(scores: DataFrame, score: str = "f1") -> DataFrame:
     return wide.join(cells.groupBy("model").agg(F.avg("v").alias("macro_average")), "model")
 
 
+def percent_report(scores: DataFrame, first: str, second: str, digits: int = 1) -> DataFrame:
+    """scores: (model, backend, dataset, ...). Cells 'a / b': the means of two scores in percent, by backend and dataset, and those of all cells."""
+    both = None
+    for s in (first, second):
+        wide = compare_models(scores, s)
+        named = wide.select("model", *[F.when(F.col(f"`{c}`").isNotNull(), F.format_string(f"%.{digits}f", F.col(f"`{c}`") * 100)).alias(f"{s}|{c}") for c in wide.columns if c != "model"])
+        both = named if both is None else both.join(named, "model")
+    cells = [c.split("|", 1)[1] for c in both.columns if c.startswith(f"{first}|")]
+    cell = lambda c: F.concat(F.coalesce(F.col(f"`{first}|{c}`"), F.lit("-")), F.lit(" / "), F.coalesce(F.col(f"`{second}|{c}`"), F.lit("-")))
+    return both.select("model", *[cell(c).alias(c) for c in cells])
+
+
 def judged(df: DataFrame, answer_col: str) -> DataFrame:
     """Adds acc_sql, acc_vec and acc from a judge's answer, a JSON object somewhere in a text; 0 where there is none."""
     found = F.from_json(F.regexp_extract(answer_col, r"(?s)\{.*\}", 0), "ACC_SQL double, ACC_Vec double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 def pinned(df: DataFrame) -> DataFrame:
     """df as it is now, in the checkpoint folder: what reads it twice sees the same partitions.
 
-    A folder of our own serves only where the session names none.
+    In local mode a folder of our own serves where the session names none; on a cluster that is an error.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
     return df.checkpoint()
 
@@ -26,7 +29,7 @@ def numbered(df: DataFrame, order: str, name: str, start: int = 1) -> DataFrame:
     a row per partition. Range bounds come from samples, which differ from plan to plan, so the
     partitions are pinned before their sizes are taken.
     """
-    ranged = pinned(df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id()))
+    ranged = pinned(df.repartitionByRange(F.col(order), F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if t in ("string", "binary", "int", "bigint", "double")] or [F.lit(0)])).withColumn("__p", F.spark_partition_id()))
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__c"))
     sizes = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__o"))
     within = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1 + start

@@ -66,11 +66,33 @@ def vectorize(df: DataFrame, columns: list[str], make: Callable[[], Embedder], b
                 parts = [model.embed(texts[i : i + batch]) for i in range(0, len(texts), batch)]
                 yield pd.Series([v for p in parts for v in p], dtype=object)
 
-        return embed(F.col(name))
+        # a plan may repeat a deterministic call, above and below a filter say; a model runs once
+        return embed.asNondeterministic()(F.col(name))
 
     return df.withColumns({f"{c}_embedding": column(c) for c in columns})
 
 
+def vectorize_database(spark: SparkSession, tables: dict[str, str], columns: dict[str, list[str]], out: str, make: Callable[[], Embedder]) -> DataFrame:
+    """Writes each table of a database with its vector columns below out. Report: (table, status, rows, error).
+
+    tables: name -> path; columns: name -> text columns to embed. A table that was written whole
+    before, as its commit marker shows, is left as it is, so a run that broke off is resumed by running it again. A table that
+    fails doesn't stop the others.
+    """
+    report = []
+    for name, path in sorted(tables.items()):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}.parquet/_SUCCESS")
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            report.append((name, "present", spark.read.parquet(f"{out}/{name}.parquet").count(), None))
+            continue
+        try:
+            vectorize(spark.read.parquet(path), columns.get(name, []), make).write.mode("overwrite").parquet(f"{out}/{name}.parquet")
+            report.append((name, "written", spark.read.parquet(f"{out}/{name}.parquet").count(), None))
+        except Exception as e:  # noqa: BLE001  reported; the next table is tried
+            report.append((name, "failed", None, str(e).splitlines()[0]))
+    return spark.createDataFrame(report, "table string, status string, rows long, error string")
+
+
 def vectorize_images(rows: DataFrame, path_col: str, images: str, make: Callable[[], object], spark: SparkSession) -> DataFrame:
     """Adds image_embedding from the files under ``images``; files that are missing or can't be read give zeros.
 

@@ -6,6 +6,7 @@ Levels: 0 no search, 1 pure, 2 pre-filtered, 3 post-filtered, 4 aggregated, 5 jo
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pandas as pd
@@ -39,52 +40,73 @@ def blocks(sql: str) -> dict[str, list[str]]:
     return out
 
 
-def _clause(t: list[str], start: str, ends: tuple[str, ...]) -> list[str]:
-    up = [x.upper() for x in t]
-    if start not in up:
-        return []
-    a = up.index(start) + 1
-    return t[a : min([up.index(e, a) for e in ends if e in up[a:]], default=len(t))]
+class _Block:
+    """One query block of a statement: what it searches, reads, asks for and folds."""
+
+    ENDS = frozenset(("WHERE", "GROUP", "ORDER", "LIMIT"))
+
+    def __init__(self, body: list[str]):
+        self.words = [x.upper() for x in body]
+        self.searches = self.words.count("MATCH")
+        self.reads = {b.lower() for a, b in zip(self.words, self.words[1:]) if a in ("FROM", "JOIN")}
+        self.joins = "JOIN" in _flat(self._after("FROM"))
+        asked = [c for c in _split(self._after("WHERE"), "AND") if c]
+        self.filtered = bool(asked)
+        #: Predicates that are neither the search itself nor its size, k = n or t.k = n.
+        self.others = [c for c in asked if "MATCH" not in c and not (len(c) in (3, 5) and c[-3] == "K")]
+
+    def _after(self, word: str) -> list[str]:
+        at = self.words.index(word) + 1 if word in self.words else len(self.words)
+        return list(itertools.takewhile(lambda w: w not in self.ENDS, self.words[at:]))
+
+    @staticmethod
+    def tables(predicate: list[str]) -> set[str]:
+        return {a for a, dot in zip(predicate, predicate[1:]) if dot == "."}
+
+    def folds(self) -> bool:
+        return not {"GROUP", "HAVING"}.isdisjoint(self.words) or any(a in ("COUNT", "SUM", "AVG", "MAX", "MIN") and b == "(" for a, b in zip(self.words, self.words[1:]))
+
+    def searches_inside(self) -> bool:
+        """Whether a search stands in a subquery of IN or EXISTS."""
+        opened = [i + 1 for i, w in enumerate(self.words[:-2]) if w in ("IN", "EXISTS") and self.words[i + 1 : i + 3] == ["(", "SELECT"]]
+        return any("MATCH" in self.words[i : _close(self.words, i)] for i in opened)
+
+
+#: The level that a trait stands for; the highest one decides.
+LEVELS = {"filtered before": 2, "filtered after": 3, "aggregated": 4, "joined": 5, "nested": 6, "several": 7, "dependent": 8}
+HYBRID = 9
+
+
+def traits(sql: str) -> set[str] | None:
+    """How the searches of a statement are combined with its other parts; None where it has none."""
+    tree = {name: _Block(body) for name, body in blocks(sql).items()}
+    searching = {name for name, b in tree.items() if b.searches}
+    if not searching:
+        return None
+    found = {"several"} if sum(b.searches for b in tree.values()) > 1 else set()
+    results = searching - {"main"}
+    for name, b in tree.items():
+        consumes, own = bool(b.reads & (results - {name})), name in searching
+        found |= {"several"} if "UNION" in b.words else set()
+        found |= {"nested"} if b.searches_inside() else set()
+        found |= {"aggregated"} if b.folds() and (own or b.reads & searching) else set()
+        found |= {"dependent"} if consumes and own else set()
+        found |= {"filtered after"} if consumes and b.filtered and not own else set()
+        if own:
+            across = [len(b.tables(c)) > 1 for c in b.others]
+            found |= {"joined"} if b.joins or any(across) else set()
+            found |= {"filtered before"} if any(not x and "SELECT" not in c for x, c in zip(across, b.others)) else set()
+    return found
 
 
 def integration_level(sql: str) -> int:
-    parts = blocks(sql)
-    count = {name: sum(x.upper() == "MATCH" for x in t) for name, t in parts.items()}
-    holders = {name for name, n in count.items() if n}
-    if not holders:
+    found = traits(sql)
+    if found is None:
         return 0
-    named = holders - {"main"}
-    aggregated = joined = nested = after = before = dependent = False
-    several = sum(count.values()) > 1
-    for name, t in parts.items():
-        text, up = " ".join(t), [x.upper() for x in t]
-        reads = {t[i + 1].lower() for i, x in enumerate(up[:-1]) if x in ("FROM", "JOIN")}
-        if (name in holders or reads & holders) and re.search(r"\bGROUP BY\b|\bHAVING\b|\b(?:COUNT|SUM|AVG|MAX|MIN) \(", text, re.I):
-            aggregated = True
-        nested |= bool(re.search(r"\b(?:IN|EXISTS) \( SELECT\b.*\bMATCH\b", text, re.I | re.S))
-        several |= "UNION" in up
-        where = _clause(t, "WHERE", ("GROUP", "ORDER", "LIMIT"))
-        if name in holders:
-            joined |= "JOIN" in [x.upper() for x in _flat(_clause(t, "FROM", ("WHERE", "GROUP", "ORDER", "LIMIT")))]
-            for c in _split(where, "AND"):
-                words = [x.upper() for x in c]
-                sides = {c[i - 1].lower() for i, x in enumerate(c) if x == "." and i}
-                if "MATCH" in words or (len(c) in (3, 5) and c[-3].lower() == "k") or not c:
-                    continue
-                joined |= len(sides) > 1
-                before |= len(sides) < 2 and "SELECT" not in words
-        if name not in named and reads & named:
-            after |= bool(where)
-        if name in holders and reads & (named - {name}):
-            dependent = True
-            after |= bool([c for c in _split(where, "AND") if "MATCH" not in [x.upper() for x in c]])
-    extra = sum((joined, aggregated, nested, after and not dependent))
-    if extra > 1 or (extra and several):
-        return 9
-    for level, holds in ((8, dependent), (7, several), (6, nested), (5, joined), (4, aggregated), (3, after), (2, before)):
-        if holds:
-            return level
-    return 1
+    coupled = found & {"joined", "aggregated", "nested", "filtered after"} - ({"filtered after"} if "dependent" in found else set())
+    if coupled and len(coupled) + ("several" in found) > 1:
+        return HYBRID
+    return max((LEVELS[t] for t in found), default=1)
 
 
 @F.pandas_udf(T.IntegerType())

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import vector
 from .functions.compat import Unsupported
 from .operators.vectorize import Embedder
+from .plans.classify import integration_level
 from .plans.vectorsql import VectorSqlError, rewrite
 from .sources import catalog
 
@@ -34,12 +35,15 @@ class QueryResult:
 
 
 class VectorSession:
-    """model names are aliases of the embedders given; unknown ones fall back to ``default``."""
+    """model names are aliases of the embedders given; unknown ones fall back to ``default``.
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, embedders: dict[str, Embedder] | None = None, default: Embedder | None = None, tables: tuple[str, ...] | None = None):
+    metric is that of the vector indexes: what ``distance()`` computes in MyScale's dialect.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, embedders: dict[str, Embedder] | None = None, default: Embedder | None = None, tables: tuple[str, ...] | None = None, metric: str = "l2"):
         self.spark, self.embedders, self.default = spark, embedders or {}, default
         self._memo: dict[tuple[str, str], list[float]] = {}
-        vector.register(spark)
+        vector.register(spark, metric)
         if folder:
             found = tables or tuple(catalog.discover(spark, folder))
             catalog.register(spark, folder, found)
@@ -108,12 +112,57 @@ class VectorSession:
             found = pool.map(lambda s: (s[0], self.execute(s[1], dialect, timeout)), statements)
             return dict(found)
 
-    def runnable(self, statements: DataFrame, dialect: str = "sqlite", sql_col: str = "sql") -> DataFrame:
-        """Keeps statements that Spark can analyse, with their column_count. For curated statement sets, which fit the driver."""
-        rows, out = statements.select(sql_col).distinct().toLocalIterator(), []
-        for (text,) in rows:
-            if self.validate(text, dialect)[0] == "success":
-                out.append((text, len(self.sql(text, dialect).columns)))
-        known = self.spark.createDataFrame(out, "__s string, column_count int")
-        return statements.join(known, F.col(sql_col) == F.col("__s")).drop("__s")
+    def run_into(self, text: str, path: str, dialect: str = "sqlite", timeout: float = 60.0) -> dict:
+        """Runs a statement; its rows go to path as (pos, row), row in JSON, and never to the driver. Returns status, columns, row_count and message."""
+        tag, done, expired = f"vsql-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
+        def watch() -> None:
+            if not done.wait(timeout):
+                expired.set()
+                self.spark.interruptTag(tag)
+
+        self.spark.addTag(tag)
+        threading.Thread(target=watch, daemon=True).start()
+        try:
+            frame = self.sql(text, dialect)
+            names = [f"c{i}" for i in range(len(frame.columns))]
+            renamed = frame.toDF(*names)  # columns may share a name
+            rows = renamed.select(F.monotonically_increasing_id().alias("pos"), F.to_json(F.array(*[F.col(n).cast("string") for n in names])).alias("row"))
+            rows.write.mode("overwrite").parquet(path)
+            return {"status": "success", "columns": frame.columns, "row_count": self.spark.read.parquet(path).count(), "message": None}
+        except Exception as e:  # noqa: BLE001  a cancelled job surfaces as the gateway's own error
+            if not expired.is_set() and not isinstance(e, (PySparkException, VectorSqlError, Unsupported)):
+                raise
+            return {"status": "error", "columns": [], "row_count": None, "message": "timed out" if expired.is_set() else str(e).splitlines()[0]}
+        finally:
+            done.set()
+            self.spark.removeTag(tag)
+
+    def run_cases(self, cases: list[dict], folder: str, dialect: str = "sqlite", timeout: float = 60.0, threads: int = 8) -> DataFrame:
+        """Runs the predicted statement of each case and every gold one; a row for each.
+
+        cases: query_id, predicted_sql and sql_candidate (else sql), as read from a case file. Columns: query_id,
+        run_id (-1 for the prediction), sql, integration_level, status, columns, row_count, message, and
+        path, where the rows lie. A case without a prediction has an error. Equal statements run once.
+        """
+        runs = []
+        for case in cases:
+            gold = case.get("sql_candidate") or ([case["sql"]] if case.get("sql") else [])
+            runs += [(case["query_id"], k, s) for k, s in [(-1, case.get("predicted_sql")), *enumerate(gold)]]
+        texts = sorted({s for _, _, s in runs if s})
+        with ThreadPoolExecutor(threads) as pool:
+            found = dict(zip(texts, pool.map(lambda i: self.run_into(texts[i], f"{folder.rstrip('/')}/rows-{i:06d}", dialect, timeout), range(len(texts)))))
+        missing = {"status": "error", "columns": [], "row_count": None, "message": "no predicted statement"}
+        out = []
+        for query_id, run_id, s in runs:
+            r = found[s] if s else missing
+            path = f"{folder.rstrip('/')}/rows-{texts.index(s):06d}" if s and r["status"] == "success" else None
+            out.append((str(query_id), run_id, s, integration_level(s) if s else None, r["status"], r["columns"], r["row_count"], r["message"], path))
+        return self.spark.createDataFrame(out, "query_id string, run_id int, sql string, integration_level int, status string, columns array<string>, row_count long, message string, path string")
+
+    def runnable(self, statements: DataFrame, folder: str, dialect: str = "sqlite", sql_col: str = "sql", timeout: float = 60.0) -> DataFrame:
+        """Keeps statements that run, with their column_count and row_count. For curated statement sets, of which one per template is enough."""
+        texts = [r[0] for r in statements.select(sql_col).distinct().toLocalIterator() if r[0]]
+        known = self.run_cases([{"query_id": i, "predicted_sql": s} for i, s in enumerate(texts)], folder, dialect, timeout).filter("status = 'success'")
+        known = known.select(F.col("sql").alias("__s"), F.size("columns").alias("column_count"), "row_count")
+        return statements.join(known, F.col(sql_col) == F.col("__s")).drop("__s")

@@ -14,13 +14,28 @@ def normal_name(name: str) -> str:
     return re.sub(r"[^a-zA-Z0-9_]", "_", name).lower()
 
 
+def _listed(spark: SparkSession, folder: str) -> list[tuple[str, bool]]:
+    """(name, is a directory) of what a folder of any Hadoop file system holds; nothing if there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted((s.getPath().getName(), s.isDirectory()) for s in system.listStatus(at)) if system.exists(at) else []
+
+
 def discover(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Table name -> path of the Parquet files and directories in a folder of any Hadoop file system."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(folder)
-    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
-    names = [s.getPath().getName() for s in found]
-    return {normal_name(n.removesuffix(".parquet")): f"{folder.rstrip('/')}/{n}" for n in sorted(names) if n.endswith(".parquet")}
+    """Table name -> path of the Parquet files and directories in a folder."""
+    return {normal_name(n.removesuffix(".parquet")): f"{folder.rstrip('/')}/{n}" for n, _ in _listed(spark, folder) if n.endswith(".parquet")}
+
+
+def databases(spark: SparkSession, root: str) -> dict[str, dict[str, str]]:
+    """Database (path below root, "" for root itself) -> its tables, for all folders below root that hold any."""
+    out, todo = {}, [""]
+    while todo:
+        at = todo.pop()
+        folder = f"{root.rstrip('/')}/{at}".rstrip("/")
+        if tables := discover(spark, folder):
+            out[at] = tables
+        todo += [f"{at}/{n}".strip("/") for n, is_dir in _listed(spark, folder) if is_dir and not n.endswith(".parquet") and n[0] not in "._"]
+    return out
 
 
 def register(spark: SparkSession, folder: str, tables: tuple[str, ...] = TABLES) -> None:
@@ -75,13 +90,15 @@ def is_empty(frames: list[DataFrame]) -> bool:
 def semantic_columns(df: DataFrame, least_length: float = 20.0, least_distinct: float = 0.3, skip: tuple[str, ...] = ("name", "address", "id", "url", "email", "phone")) -> DataFrame:
     """(column_name, avg_length, distinct_share, is_rich): text columns long and varied enough to embed.
 
-    One pass whose state per task is a sketch per column; shares of distinct values are estimates within 2 %.
+    Distinct values are counted by their digests: what is shuffled is a digest for each
+    distinct value of a column and task, and a frequent value folds before that.
     """
     names = [c for c, t in df.dtypes if t == "string"]
     if not names:
         return df.sparkSession.createDataFrame([], "column_name string, avg_length double, distinct_share double, is_rich boolean")
-    stats = df.agg(F.count("*").alias("n"), *[x for i, c in enumerate(names) for x in (F.avg(F.length(c)).alias(f"a{i}"), F.approx_count_distinct(c, 0.02).alias(f"d{i}"))])
-    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.round(f"a{i}", 4).alias("avg_length"), F.round(F.col(f"d{i}") / F.col("n"), 4).alias("distinct_share")) for i, c in enumerate(names)])
-    out = stats.select(F.explode(each).alias("e")).select("e.*")
+    values = F.array(*[F.struct(F.lit(c).alias("column_name"), F.unhex(F.md5(F.col(f"`{c}`"))).alias("digest"), F.length(F.col(f"`{c}`")).alias("size")) for c in names])
+    each = df.select(F.explode(values).alias("v")).groupBy("v.column_name", "v.digest").agg(F.count("*").alias("n"), F.first("v.size").cast("long").alias("size"))
+    stats = each.groupBy("column_name").agg(F.sum("n").alias("rows"), F.count("digest").alias("distinct"), F.sum(F.col("n") * F.col("size")).alias("chars"), F.sum(F.when(F.col("digest").isNotNull(), F.col("n"))).alias("filled"))
+    out = stats.select("column_name", F.round(F.col("chars") / F.col("filled"), 4).alias("avg_length"), F.round(F.col("distinct") / F.col("rows"), 4).alias("distinct_share"))
     named = ~F.lower("column_name").rlike("|".join(rf"(^|_){s}($|_)" for s in skip))
     return out.withColumn("is_rich", named & (F.col("avg_length") >= least_length) & (F.col("distinct_share") >= least_distinct))

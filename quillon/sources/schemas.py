@@ -22,7 +22,11 @@ TYPE_RULES = (
     (r"DATETIME|TIMESTAMP", T.TimestampType()),
     (r"DATE", T.DateType()),
 )
+#: Names that a search uses itself, and the prefix of names that begin with no letter.
 RESERVED = {"distance": "distance_val", "k": "k_val"}
+PREFIX = "fld_"
+#: A day alone; with hours and minutes; with seconds too, after a space or a T, and with a fraction.
+TIME_FORM = r"^\d{4}-\d{1,2}-\d{1,2}( \d{1,2}:\d{1,2}|[ T]\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?)?$"
 
 
 def spark_type(declared: str) -> T.DataType:
@@ -31,7 +35,7 @@ def spark_type(declared: str) -> T.DataType:
 
 def column_name(name: str) -> str:
     clean = re.sub(r"\W", "_", name.strip("\"'`[]"))
-    clean = f"fld_{clean}" if not re.match(r"[A-Za-z_]", clean) else clean
+    clean = PREFIX + clean if not re.match(r"[A-Za-z_]", clean) else clean
     return RESERVED.get(clean.lower(), clean)
 
 
@@ -51,6 +55,23 @@ def from_ddl(ddl: str) -> tuple[str, T.StructType]:
     return m[1].strip("\"'`[]"), T.StructType(fields)
 
 
+def keys_of_ddl(ddl: str) -> tuple[list[str], list[tuple[str, str, str]]]:
+    """(primary key columns, foreign keys as (column, table, column)) of a CREATE TABLE text, declared with a column or apart."""
+    body = re.sub(r"--[^\n]*", "", ddl[ddl.index("(") + 1 : ddl.rindex(")")])
+    names = lambda text: [column_name(n.strip()) for n in text.split(",")]
+    primary, foreign = [], []
+    for part in re.split(r",(?![^(\[]*[)\]])", body):
+        target = re.search(r"\bREFERENCES\s+([\w\"`\[\].]+)\s*(?:\(([^)]*)\))?", part, re.I)
+        apart = re.match(r"\s*(?:CONSTRAINT\s+\S+\s+)?(PRIMARY|FOREIGN)\s+KEY\s*\(([^)]*)\)", part, re.I)
+        own = names(apart[2]) if apart else names(part.split()[0]) if part.split() else []
+        if re.search(r"\bPRIMARY\s+KEY\b", part, re.I):
+            primary += own
+        if target:
+            theirs = names(target[2]) if target[2] else own
+            foreign += [(c, target[1].strip("\"'`[]"), d) for c, d in zip(own, theirs)]
+    return primary, foreign
+
+
 def to_ddl(table: str, schema: T.StructType, dialect: str) -> str:
     """A CREATE TABLE text for PostgreSQL, ClickHouse or MyScale."""
     simple = {"bigint": ("BIGINT", "Int64"), "int": ("BIGINT", "Int64"), "string": ("TEXT", "String"), "binary": ("BYTEA", "String"), "double": ("DOUBLE PRECISION", "Float64"), "float": ("DOUBLE PRECISION", "Float64"), "boolean": ("BOOLEAN", "Bool"), "date": ("DATE", "Date"), "timestamp": ("TIMESTAMP", "DateTime64(6)"), "timestamp_ntz": ("TIMESTAMP", "DateTime64(6)")}
@@ -73,15 +94,15 @@ def to_ddl(table: str, schema: T.StructType, dialect: str) -> str:
 def coerce(df: DataFrame, schema: T.StructType, zero_nulls: bool = False) -> DataFrame:
     """df's columns cast to schema; what can't be cast is null, or the type's zero.
 
-    Dates and timestamps are read in the usual written forms; vectors are padded or cut to their width.
+    Dates and timestamps are read in the forms of TIME_FORM, and no order of day and month is
+    guessed; vectors are padded or cut to their width.
     """
-    forms = ("yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss")
     out = []
     for f in schema.fields:
         c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
         if kind in ("date", "timestamp"):
-            read = F.coalesce(*[F.try_to_timestamp(c.cast("string"), F.lit(x)) for x in forms])
-            c = read.cast(kind)
+            written = c.cast("string")
+            c = F.when(written.rlike(TIME_FORM), written.try_cast("timestamp")).cast(kind)
         elif kind.startswith("array") and f.metadata.get("dim"):
             from ..functions.vector import resize
 
@@ -110,10 +131,11 @@ def valid_tables(described: DataFrame) -> DataFrame:
 
 
 def assign_keys(df: DataFrame, order: str, primary: str, foreign: dict[str, int], seed: int = 42) -> DataFrame:
-    """primary := the row's place by ``order``, from 0; foreign keys := hashed numbers below the given table sizes."""
+    """primary := the row's place by ``order``, from 0; foreign keys := numbers below the given table sizes, from the MD5 of seed, name and key."""
     out = numbered(df, order, primary, 0)
     for name, n in foreign.items():
-        out = out.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), F.lit(name), primary), F.lit(n)))
+        digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit(name), F.col(primary).cast("string")))
+        out = out.withColumn(name, F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n)
     return out
 
 
