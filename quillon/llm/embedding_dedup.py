@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ._common import join_grouped, materialise
 from ._graph import connected_components
-from ._pairs import UnionFind, draws_needed, runs
+from ._pairs import UnionFind, draws_needed, runs, whole_runs
 
 MISS, EPS = 1e-4, 4.5
 #: Bits of a code at least; longer codes tie fewer vectors that don't link.
@@ -142,24 +142,21 @@ def _cluster_edges(coded: DataFrame, threshold: float) -> DataFrame:
     """Ties ids whose codes may belong to a linked pair; all of a bucket above REGION. Out: (a, b)."""
 
     def tie(batches):
-        for frame in runs(batches, "key"):
-            if len(frame) < 2:
-                continue
-            ids = frame["id"].to_numpy()
-            if len(set(map(len, frame["code"]))) > 1:
-                continue
-            code = _packed(frame)
-            most = _most_apart(64 * code.shape[1], threshold)
-            sets = UnionFind(len(ids))
-            for at in range(0, len(ids), 64):
-                apart = np.bitwise_count(code[at : at + 64, None] ^ code[None, :]).sum(2, dtype=np.int32)
-                for i, j in zip(*np.nonzero(apart <= most)):
-                    if at + i < j:
-                        sets.join(at + i, j)
-            root = sets.roots()
-            far = root != np.arange(len(ids))
-            if far.any():
-                yield pd.DataFrame({"a": ids[far], "b": ids[root[far]]})
+        for frame in whole_runs(batches, "key", 16_384):
+            for width, rows in frame.groupby(frame["code"].map(len), sort=False):
+                ids, keys, code = rows["id"].to_numpy(), rows["key"].to_numpy(), _packed(rows)
+                most, sets = _most_apart(8 * width, threshold), UnionFind(len(ids))
+                root, i, step = sets.up, np.arange(len(ids)), 1
+                # all buckets at once: each row against the one a step further on, then two, as long as both are in one bucket
+                while len(i := i[i + step < len(ids)]) and len(i := i[keys[i] == keys[i + step]]):
+                    x = i[root[i] != root[i + step]]
+                    x = x[np.bitwise_count(code[x] ^ code[x + step]).sum(1, dtype=np.int32) <= most]
+                    for k in x.tolist():
+                        sets.join(k, k + step)
+                    root, step = sets.roots() if len(x) else root, step + 1
+                far = root != np.arange(len(ids))
+                if far.any():
+                    yield pd.DataFrame({"a": ids[far], "b": ids[root[far]]})
 
     sizes = coded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     found = materialise(coded.join(sizes, "key"), "buckets")
