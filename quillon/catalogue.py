@@ -17,7 +17,7 @@ from .functions import compat, vector
 from .operators import corpus, knn, metrics, vectorize
 from .plans import classify
 from .session import VectorSession
-from .sources import catalog, schemas
+from .sources import catalog, files, schemas
 from .streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -437,6 +437,16 @@ _functions("fn_math", "part", "p_partkey", {
     "f_hyper": ("ROUND(SINH(0.5) + COSH(0.5) + TANH(0.5) + ASINH(p_size), 9)", "round(sinh(0.5) + cosh(0.5) + tanh(0.5) + asinh(p_size), 9)"),
     "f_deg": ("ROUND(DEGREES(p_size) + RADIANS(p_size) + PI() + ATAN2(p_size, 2), 6)", "round(degrees(p_size) + radians(p_size) + pi() + atan2(p_size, 2), 6)"),
 })
+_functions("fn_more", "part", "p_partkey", {
+    "f_printf": ("PRINTF('%05d', p_size)", "printf('%05d', p_size)"),
+    "f_format": ("FORMAT('%d-%d', p_partkey, p_size)", "concat(p_partkey, '-', p_size)"),
+    "f_unhex": ("OCTET_LENGTH(UNHEX(HEX(p_partkey)))", "strlen(CAST(p_partkey AS VARCHAR))"),
+    "f_zeroblob": ("OCTET_LENGTH(ZEROBLOB(p_size))", "p_size"),
+    "f_acosh": ("ROUND(ACOSH(p_size), 9)", "round(acosh(p_size), 9)"),
+    "f_asin": ("ROUND(ASIN(p_size / 100.0), 9)", "round(asin(p_size / 100.0), 9)"),
+    "f_atanh": ("ROUND(ATANH(p_size / 100.0), 9)", "round(atanh(p_size / 100.0), 9)"),
+    "f_ceiling": ("CEILING(p_retailprice)", "CAST(ceil(p_retailprice) AS BIGINT)"),
+})
 _functions("fn_date", "orders", "o_orderkey", {
     "f_date": ("DATE(o_orderdate)", "strftime(o_orderdate, '%Y-%m-%d')"),
     "f_plus": ("DATE(o_orderdate, '+1 month')", "strftime(o_orderdate + INTERVAL 1 MONTH, '%Y-%m-%d')"),
@@ -694,6 +704,66 @@ def assign_keys(spark, sf_dir):
     return schemas.assign_keys(_read(spark, sf_dir, "customer").select("c_name"), "c_name", "id", {"ref": 7})
 
 
+@query(
+    "SELECT table_name, ordinal_position - 1 AS position, column_name, data_type IN ('FLOAT[]', 'DOUBLE[]') AS is_vector FROM information_schema.columns WHERE table_name IN ("
+    + ", ".join(f"'{t}'" for t in catalog.TABLES) + ")"
+)
+def describe_tables(spark, sf_dir):
+    _tables(spark, sf_dir)
+    return catalog.describe(spark, catalog.TABLES).select("table_name", "position", "column_name", "is_vector")
+
+
+@query(" UNION ALL ".join(f"(SELECT '{c}' AS column_name, doc_id AS key, {c} AS value FROM documents WHERE {c} IS NOT NULL ORDER BY doc_id LIMIT 2)" for c in ("text", "source")))
+def column_values(spark, sf_dir):
+    return catalog.column_values(_read(spark, sf_dir, "documents"), ["text", "source"], "doc_id")
+
+
+@query("SELECT o_orderkey AS query_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS at, o_totalprice AS price FROM orders")
+def json_results(spark, sf_dir):
+    """Results written as JSON lines and read back; times become texts."""
+    path = _folder(spark)
+    files.write_results(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("price")), path)
+    return files.read_json(spark, path, "query_id long, at string, price double", lines=True)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'P')")
+def cache_misses(spark, sf_dir):
+    """Customers as cases, orders as cached results; one that is pending counts as failed."""
+    o = _read(spark, sf_dir, "orders")
+    cache = o.select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderstatus") == "P", "pending").alias("error"))
+    return files.missing_from_cache(_read(spark, sf_dir, "customer").select("c_custkey"), cache, "c_custkey")
+
+
+@query("SELECT conv_id AS \"case\", string_agg(concat_ws(': ', role, coalesce(text, '')), chr(10) ORDER BY turn) AS dialogue FROM conversations GROUP BY conv_id")
+def dialogue(spark, sf_dir):
+    return corpus.dialogue(_read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
+@query(
+    "SELECT n_nationkey, concat('About ', n_name, ': ', n_regionkey, '?') AS prompt, concat('img/', n_name) AS path, CASE WHEN contains(lower('SELECT N_NAME FROM t'), 'n_name') THEN 'n_name' END AS used, i AS loop "
+    "FROM nation, range(1, 9) AS r(i) WHERE i <= greatest(1, 2 * n_regionkey)"
+)
+def prompt_fields(spark, sf_dir):
+    """Prompts filled from columns, columns that a statement uses, prefixed paths, and a row for each statement to make."""
+    n = corpus.synthesis_loops(_read(spark, sf_dir, "nation"), 2, "n_regionkey")
+    n = corpus.prefixed(n.withColumn("path", F.col("n_name")), "path", "img/")
+    used = corpus.used_columns(F.lit("SELECT N_NAME FROM t"), F.array(F.lit("n_name"), F.lit("n_comment")))
+    return n.select("n_nationkey", corpus.fill("About {a}: {b}?", a="n_name", b="n_regionkey").alias("prompt"), "path", F.array_join(used, ",").alias("used"), "loop")
+
+
+@query("SELECT * FROM (VALUES ('q1', 'n_name'), ('q2', 'n_name,r_name'), ('q3', '')) AS v(query_id, columns)")
+def reference_columns(spark, sf_dir):
+    """Columns that predictions are aligned to: those of the first gold statement that runs."""
+    join = "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"
+    cases = [
+        {"query_id": "q1", "predicted_sql": "SELECT 1", "sql_candidate": ["SELECT n_name FROM nation", join]},
+        {"query_id": "q2", "predicted_sql": None, "sql_candidate": ["SELECT nothing FROM nation", join]},
+        {"query_id": "q3", "predicted_sql": "SELECT 1", "sql": "SELECT nothing FROM nation"},
+    ]
+    runs = VectorSession(spark, sf_dir, tables=("nation", "region")).run_cases(cases, _folder(spark))
+    return metrics.reference_columns(runs).withColumn("columns", F.array_join("columns", ","))
+
+
 # ---- streaming forms, run as batches -------------------------------------------------------------------------------
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_hourly(spark, sf_dir):

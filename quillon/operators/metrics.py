@@ -101,6 +101,13 @@ def percent_report(scores: DataFrame, first: str, second: str, digits: int = 1)
     return both.select("model", *[cell(c).alias(c) for c in cells])
 
 
+def reference_columns(runs: DataFrame) -> DataFrame:
+    """(query_id, columns): those of the first gold run of each case that succeeded and has any; none where no run did."""
+    gold = runs.filter(F.col("run_id") >= 0)
+    good = F.when((F.col("status") == "success") & (F.size("columns") > 0), F.struct("run_id", "columns"))
+    return gold.groupBy("query_id").agg(F.coalesce(F.min(good)["columns"], F.array().cast("array<string>")).alias("columns"))
+
+
 def judged(df: DataFrame, answer_col: str) -> DataFrame:
     """Adds acc_sql, acc_vec and acc from a judge's answer, a JSON object somewhere in a text; 0 where there is none."""
     found = F.from_json(F.regexp_extract(answer_col, r"(?s)\{.*\}", 0), "ACC_SQL double, ACC_Vec double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,12 @@ def sample(df: DataFrame, rows: int = 2, width: int = 300) -> DataFrame:
     return shortened(df.limit(rows), width)
 
 
+def column_values(df: DataFrame, columns: list[str], key: str, n: int = 2) -> DataFrame:
+    """(column_name, key, value): the first n values by key of each column, nulls left out, for prompts that show what a column holds."""
+    parts = [df.filter(F.col(f"`{c}`").isNotNull()).orderBy(key).limit(n).select(F.lit(c).alias("column_name"), F.col(key).alias("key"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def is_empty(frames: list[DataFrame]) -> bool:
     """Whether every table of a database has no row."""
     return all(f.isEmpty() for f in frames)
