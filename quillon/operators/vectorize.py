@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 
 class Embedder(Protocol):
-    """Turns batches of texts into vectors of ``dim`` elements. Created anew in each Python worker."""
+    """Turns batches of texts into vectors of ``dim`` elements. Made in Python workers, by what ``vectorize`` is given."""
 
     dim: int
 
@@ -51,16 +52,22 @@ class TableEmbedder:
         return np.array([self.known[t] for t in texts], np.float32).reshape(len(texts), self.dim)
 
 
+@lru_cache(maxsize=4)
+def model_of(make: Callable[[], Embedder]) -> Embedder:
+    """The model of a class or function that can be imported is loaded once per Python worker; that of a closure, once per task."""
+    return make()
+
+
 def vectorize(df: DataFrame, columns: list[str], make: Callable[[], Embedder], batch: int = 128) -> DataFrame:
     """Adds <column>_embedding for each text column; null counts as empty. Works on streams as well.
 
-    One Arrow pass carries the texts alone; an embedder is made once per task.
+    One Arrow pass carries the texts alone; tasks of a Python worker share an embedder, see model_of.
     """
 
     def column(name: str):
         @F.pandas_udf("array<float>")
         def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = make()
+            model = model_of(make)
             for texts in batches:
                 texts = texts.fillna("").tolist()
                 parts = [model.embed(texts[i : i + batch]) for i in range(0, len(texts), batch)]
@@ -104,7 +111,7 @@ def vectorize_images(rows: DataFrame, path_col: str, images: str, make: Callable
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = make()
+        model = model_of(make)
         for contents in batches:
             out = []
             for c in contents:

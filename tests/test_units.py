@@ -130,6 +130,13 @@ def test_knn_join_agrees_with_brute_force(spark):
         assert all(got[i, r + 1] == np.argsort(d[i])[r] for i in range(7) for r in range(3))
 
 
+def test_knn_join_of_equal_vectors_gives_zero(spark):
+    v = [1000.1, 2000.2, 3000.3]
+    df = spark.createDataFrame([(i, v) for i in range(6)] + [(9, [1000.1, 2000.2, 3000.4])], "id long, v array<double>")
+    got = knn.knn_join(df, df.filter("id = 3"), 6, "id", "v").orderBy("rank").collect()
+    assert [r["key"] for r in got] == [0, 1, 2, 4, 5, 9] and [r["distance"] for r in got[:5]] == [0.0] * 5 and abs(got[5]["distance"] - 0.1) < 1e-9
+
+
 def test_index_recall(spark, tmp_path):
     rng = np.random.default_rng(4)
     x = (rng.standard_normal((20, 8))[rng.integers(0, 20, 600)] + 0.1 * rng.standard_normal((600, 8))).astype("f4")
