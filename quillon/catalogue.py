@@ -17,7 +17,7 @@ from .functions import compat, vector
 from .operators import corpus, knn, metrics, vectorize
 from .plans import classify
 from .session import VectorSession
-from .sources import catalog, files, schemas
+from .sources import catalog, files, migrate, schemas
 from .streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,6 +209,29 @@ def decode_blob_vectors(spark, sf_dir):
     return rows.select("vec_id", F.size("v").alias("dim"), F.round(F.col("v")[0].cast("double"), 6).alias("first"))
 
 
+@query(f"SELECT vec_id, round({_D.format(17)}, 6) AS distance FROM embeddings ORDER BY {_D.format(17)}, vec_id LIMIT 10")
+def index_search(spark, sf_dir):
+    """An inverted file of all vectors, searched in all of its lists: as exact as a search without it."""
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = knn.VectorIndex.build(e, "embedding", _folder(spark), queries=F.col("vec_id") % 20 == 0)
+    return _out(index.search(spark, "embedding", _vector_of(spark, sf_dir, 17), 10, "vec_id", probes=len(index.centroids)).select("vec_id", "distance"))
+
+
+@query(f"SELECT vec_id FROM embeddings WHERE label < 5 ORDER BY {_D.format(17)}, vec_id LIMIT 6")
+def match_dialect_literal_vector(spark, sf_dir):
+    """The vector stands in the statement itself."""
+    session = VectorSession(spark, sf_dir, tables=("embeddings",))
+    return session.sql(f"SELECT vec_id FROM embeddings WHERE embedding MATCH '{_vector_of(spark, sf_dir, 17)}' AND k = 6 AND label < 5")
+
+
+@query(f"SELECT vec_id, round({_D.format(17)}, 6) AS first, round({_D.format(23)}, 6) AS second, round({_D.format(31)}, 6) AS other FROM embeddings")
+def model_aliases(spark, sf_dir):
+    """Two models by name, and the default one for a name that isn't known."""
+    named = {m: vectorize.TableEmbedder({"x": _vector_of(spark, sf_dir, i)}, 64) for m, i in (("first", 17), ("second", 23), ("other", 31))}
+    session = VectorSession(spark, sf_dir, {m: named[m] for m in ("first", "second")}, named["other"], ("embeddings",))
+    return session.sql("SELECT vec_id, round(L2Distance(embedding, lembed('first', 'x')), 6) AS first, round(L2Distance(embedding, lembed(second, 'x')), 6) AS second, round(L2Distance(embedding, lembed('third', 'x')), 6) AS other FROM embeddings", "clickhouse")
+
+
 # ---- the four dialects ---------------------------------------------------------------------------------------------
 class _Known(vectorize.TableEmbedder):
     """Texts "vec N" stand for vector N of embeddings."""
@@ -357,7 +380,8 @@ both(
     "SELECT o_orderkey, lag(o_totalprice, 1, 0.0) OVER w AS prev, lead(o_totalprice) OVER w AS next, first_value(o_totalprice) OVER w AS first, last_value(o_totalprice) OVER w AS last, nth_value(o_totalprice, 2) OVER w AS second "
     "FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
 )
-both("win_frames", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving, round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS mean FROM orders")
+_CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
+both("win_frames", f"SELECT o_orderkey, CAST(sum({_CENTS}) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS moving_cents, avg({_CENTS}) OVER (PARTITION BY o_custkey) AS mean_cents FROM orders")
 both("cte_multi", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE total > 100000) SELECT c_mktsegment, count(*) AS n, round(sum(total), 2) AS total FROM top JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment")
 both("cte_recursive", "WITH RECURSIVE r(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * 2 FROM r WHERE n < 12) SELECT n, f FROM r")
 both("subquery_scalar", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
@@ -651,6 +675,61 @@ def text_search_hash(spark, sf_dir):
     q = vectorize.HashEmbedder().embed(["the and of"])[0]
     return _out(knn.knn(docs, "text_embedding", q.tolist(), 10, "doc_id", "cosine").select("doc_id", "distance"))
 
+_DRAW = "((('0x' || substr(md5('{}:' || c_custkey), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496)"
+
+
+@query(
+    f"SELECT c_custkey, CAST(ceil(ln(1 - {_DRAW.format(42)}) / ln(1 - 0.6::DOUBLE)) AS INTEGER) AS loops, "
+    f"greatest(1, least(20, CAST(round(sqrt(-2 * ln({_DRAW.format(7)})) * cos(2 * pi() * {_DRAW.format(8)}) * 4 + 10) AS INTEGER))) AS tables, "
+    "CASE ('0x' || substr(md5('42:' || c_custkey), 1, 8))::BIGINT % 3 WHEN 0 THEN 'formal' WHEN 1 THEN 'vague' ELSE 'terse' END AS style FROM customer"
+)
+def synthesis_draws(spark, sf_dir):
+    """Numbers of loops, numbers of tables and styles, drawn by the keys of rows."""
+    c = _read(spark, sf_dir, "customer")
+    return c.select("c_custkey", corpus.geometric(0.6, "c_custkey").alias("loops"), corpus.table_count(10, 4, 1, 20, "c_custkey", seed=7).alias("tables"), corpus.pick(["formal", "vague", "terse"], "c_custkey").alias("style"))
+
+
+@query(
+    "WITH e AS (SELECT vec_id % 180 AS c, vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT c, count(*) AS n, min(vec_id) AS least FROM e GROUP BY c), "
+    "t AS (SELECT a.c, a.vec_id, round(sum(list_cosine_distance(a.v, b.v)), 6) AS total FROM e a JOIN e b ON a.c = b.c GROUP BY 1, 2), "
+    "m AS (SELECT c, vec_id, row_number() OVER (PARTITION BY c ORDER BY total, vec_id) AS r FROM t) "
+    'SELECT n.c AS "case", CASE WHEN n <= 2 THEN least ELSE vec_id END AS key FROM n JOIN m ON n.c = m.c AND r = 1'
+)
+def question_vote(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings").withColumn("case", F.col("vec_id") % 180)
+    return corpus.question_vote(e, "case", "vec_id", "embedding")
+
+
+@query("SELECT concat('t', c_nationkey, '_', c_custkey % 30) AS stem, count(*) AS files FROM customer GROUP BY 1 HAVING count(*) > 1")
+def repeated_names(spark, sf_dir):
+    """Stems of file names that occur in several folders."""
+    c = _read(spark, sf_dir, "customer")
+    return corpus.repeated_names(c.select(F.format_string("db%d/t%d_%d.sql", "c_custkey", "c_nationkey", F.col("c_custkey") % 30).alias("path")), "path")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_nationkey % 2 END::DOUBLE AS acc_sql, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 0.5 END::DOUBLE AS acc_vec, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE (c_nationkey % 2 + 0.5) / 2 END::DOUBLE AS acc FROM customer")
+def judge_scores(spark, sf_dir):
+    """Scores from a judge's answers; every third one holds none."""
+    c = _read(spark, sf_dir, "customer").withColumn("answer", F.when(F.col("c_custkey") % 3 == 0, F.lit("can't tell")).otherwise(F.format_string('Scores: {"ACC_SQL": %d, "ACC_Vec": 0.5} as asked', F.col("c_nationkey") % 2)))
+    return metrics.judged(c, "answer").select("c_custkey", "acc_sql", "acc_vec", "acc")
+
+
+@query("SELECT c_custkey, concat('{\"c_name\":\"', c_name, '\",\"c_nationkey\":\"', c_nationkey, '\"}') AS row FROM customer")
+def comparable_rows(spark, sf_dir):
+    """Result rows as texts: the columns that both sides have, in the gold order, without the distance."""
+    c = _read(spark, sf_dir, "customer").withColumn("distance", F.lit(0.5))
+    return c.select("c_custkey", metrics.comparable(c, ["c_name", "distance", "c_nationkey", "elsewhere"], c.columns).alias("row"))
+
+
+@query(
+    _CASES + ", m AS (SELECT *, CASE query_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS model, CASE query_id % 3 WHEN 0 THEN 'x' ELSE 'y' END AS backend FROM z)"
+    ", c AS (SELECT model, " + ", ".join(f"avg(CASE WHEN backend = '{b}' THEN {v} END) * 100 AS {b}_{v}" for b in "xy" for v in ("f1", "ndcg")) + " FROM m GROUP BY model) "
+    "SELECT model, printf('%.4f / %.4f', x_f1, x_ndcg) AS x_d, printf('%.4f / %.4f', y_f1, y_ndcg) AS y_d, printf('%.4f / %.4f', (x_f1 + y_f1) / 2, (x_ndcg + y_ndcg) / 2) AS macro_average FROM c"
+)
+def percent_report(spark, sf_dir):
+    s = _scores(spark, sf_dir).withColumn("model", F.when(F.col("query_id") % 2 == 0, "a").otherwise("b")).withColumn("backend", F.when(F.col("query_id") % 3 == 0, "x").otherwise("y")).withColumn("dataset", F.lit("d"))
+    return metrics.percent_report(s, "f1", "ndcg", digits=4)
+
 
 # ---- sources, schemas ----------------------------------------------------------------------------------------------
 @query("SELECT doc_id, CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || '...' ELSE text END AS text FROM documents")
@@ -763,6 +842,84 @@ def reference_columns(spark, sf_dir):
     runs = VectorSession(spark, sf_dir, tables=("nation", "region")).run_cases(cases, _folder(spark))
     return metrics.reference_columns(runs).withColumn("columns", F.array_join("columns", ","))
 
+_RUNS = " UNION ALL ".join(f"SELECT {i} AS run, '{t}' AS \"table\", '{status}' AS status, count(*) AS rows FROM {t}" for i, status in ((1, "written"), (2, "present")) for t in ("nation", "orders"))
+
+
+def _two_runs(run: Callable[[], DataFrame]) -> DataFrame:
+    """Reports of a job that runs, and runs again."""
+    first, second = (run().withColumn("run", F.lit(i)) for i in (1, 2))
+    return first.unionByName(second).select("run", "table", "status", "rows")
+
+
+@query(_RUNS + " UNION ALL SELECT CAST(i AS INTEGER), 'nowhere', 'failed', NULL FROM range(1, 3) AS r(i)")
+def migrate_tables(spark, sf_dir):
+    """Tables copied to a folder; the second run finds those of the first, and a table that is missing fails alone."""
+    out = _folder(spark)
+    tables = {t: f"{sf_dir}/{t}.parquet" for t in ("nation", "orders", "nowhere")}
+    return _two_runs(lambda: migrate.migrate(spark, tables, [out]))
+
+
+@query(_RUNS)
+def vectorize_tables(spark, sf_dir):
+    """Tables written with vector columns; the second run finds them there."""
+    out = _folder(spark)
+    tables = {t: f"{sf_dir}/{t}.parquet" for t in ("nation", "orders")}
+    return _two_runs(lambda: vectorize.vectorize_database(spark, tables, {"nation": ["n_name"]}, out, vectorize.HashEmbedder))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, NOT EXISTS (SELECT 1 FROM {t}) AS is_empty" for t in catalog.TABLES))
+def discover_tables(spark, sf_dir):
+    found = catalog.discover(spark, sf_dir)
+    return spark.createDataFrame([(t, catalog.is_empty([spark.read.parquet(path)])) for t, path in found.items()], "table_name string, is_empty boolean")
+
+
+@query(
+    "SELECT table_name, concat('CREATE TABLE \"', table_name, '\" (' || chr(10) || '  ', string_agg('\"' || column_name || '\" ' || CASE WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'BIGINT' WHEN data_type IN ('FLOAT', 'DOUBLE') THEN 'DOUBLE PRECISION' "
+    "WHEN data_type = 'VARCHAR' THEN 'TEXT' WHEN data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP' WHEN data_type IN ('FLOAT[]', 'DOUBLE[]') THEN 'vector' ELSE data_type END, ',' || chr(10) || '  ' ORDER BY ordinal_position), chr(10) || ')') AS ddl "
+    "FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in catalog.TABLES) + ") GROUP BY table_name"
+)
+def ddl_texts(spark, sf_dir):
+    return migrate.schema_texts(spark, {t: _read(spark, sf_dir, t) for t in catalog.TABLES}, "postgresql")
+
+
+@query(
+    "WITH t AS (SELECT n_regionkey AS d, n_name AS t, n_nationkey AS k, n_nationkey % 5 > 1 AS good FROM nation) "
+    "SELECT d AS db_id, t AS table_name, (SELECT count(*) FROM t b WHERE b.k = (a.k + 8) % 25 AND b.d = a.d AND b.good) AS keys FROM t a WHERE good"
+)
+def valid_tables(spark, sf_dir):
+    """Tables with columns that don't repeat, and of their foreign keys those that lead to a column of the same database."""
+    n = _read(spark, sf_dir, "nation")
+    columns = F.when(F.col("n_nationkey") % 5 == 0, F.array(F.lit("id"), F.lit("id"))).when(F.col("n_nationkey") % 5 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("id"), F.lit("ref")))
+    target = n.select(((F.col("n_nationkey") + 17) % 25).alias("k"), F.col("n_name").alias("ref_table"))
+    key = lambda column: F.struct(F.lit("ref").alias("column"), F.col("ref_table"), F.lit(column).alias("ref_column"))
+    described = n.join(target, F.col("k") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("db_id"), F.col("n_name").alias("table_name"), columns.alias("columns"), F.array(key("id"), key("missing")).alias("foreign_keys"))
+    return schemas.valid_tables(described).select("db_id", "table_name", F.size("foreign_keys").cast("long").alias("keys"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS cust, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 0 END AS price, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS status FROM orders")
+def zero_nulls(spark, sf_dir):
+    """Values of a dump for a server without nulls; what can't be read becomes the type's zero."""
+    _, schema = schemas.from_ddl("CREATE TABLE t (o_orderkey INTEGER, cust INTEGER, price REAL, status TEXT)")
+    third = F.col("o_orderkey") % 3 == 0
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.when(~third, F.col("o_custkey")).alias("cust"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice").cast("string")).otherwise(F.lit("n/a")).alias("price"), F.when(~third, F.col("o_orderstatus")).alias("status"))
+    return schemas.coerce(o, schema, zero_nulls=True)
+
+
+@query("SELECT vec_id, label, vec_id + label AS both FROM embeddings")
+def narrow_columns(spark, sf_dir):
+    """Vectors go first where a table is too wide, then the columns at its end."""
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("text_embedding"), "label", (F.col("vec_id") + F.col("label")).alias("both"), F.lit(1).alias("last"))
+    return schemas.narrow(e, 3)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_report(spark, sf_dir):
+    """A report written as CSV and read back."""
+    path = _folder(spark)
+    files.write_csv(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
+    return spark.read.schema("n_nationkey long, n_name string, n_regionkey long").csv(path, header=True)
+
+
 
 # ---- streaming forms, run as batches -------------------------------------------------------------------------------
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

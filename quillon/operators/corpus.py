@@ -101,14 +101,19 @@ def mix_ratio(small: DataFrame, large: DataFrame, r_small: int, r_large: int, ke
     return sample_rows(small, min(n_small, base), key, seed).unionByName(sample_rows(large, min(n_large, most), key, seed + 1))
 
 
+def _digits(n: int, seed: int, *key: str) -> Column:
+    """The first n hexadecimal digits of the MD5 of seed and key, as a number."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in key])), 1, n), 16, 10).cast("long")
+
+
 def pick(options: list[str], *key: str, seed: int = 42) -> Column:
     """One of the options, uniform by the hash of a row's key."""
-    return F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(len(options))) + 1).cast("int"))
+    return F.element_at(F.array(*[F.lit(o) for o in options]), (_digits(8, seed, *key) % len(options) + 1).cast("int"))
 
 
 def uniform(*key: str, seed: int = 42) -> Column:
     """A number in (0, 1) from the hash of a row's key."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    return (_digits(13, seed, *key) + 0.5) / float(16**13)
 
 
 def geometric(p: float, *key: str, seed: int = 42) -> Column:

@@ -107,11 +107,23 @@ def medoids(df: DataFrame, group: str, key: str, vec_col: str) -> DataFrame:
     """(group, key, total): in each group the row with the least sum of cosine distances to its group.
 
     The sum over a group of 1 - <u, v> for unit vectors is n - <u, sum of v>, so one
-    mean vector per group does instead of all pairs.
+    mean vector per group does instead of all pairs. Tasks fold the vectors of a batch first. Vectors
+    that are null, zero or hold null or non-finite elements have no part, nor have rows without a group.
     """
-    unit = F.transform(F.col(vec_col), lambda x: x.cast("double") / F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))))
-    rows = df.select(F.col(group).alias("group"), F.col(key).alias("key"), unit.alias("u")).filter("u IS NOT NULL")
-    sums = rows.select("group", F.posexplode("u").alias("i", "x")).groupBy("group", "i").agg(F.sum("x").alias("s"))
+    size = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    unit = F.transform(F.col(vec_col), lambda x: F.try_divide(x.cast("double"), size))
+    rows = df.select(F.col(group).alias("group"), F.col(key).alias("key"), unit.alias("u")).filter(F.col("group").isNotNull() & F.forall("u", lambda x: F.coalesce(F.abs(x) <= 1.5, F.lit(False))))
+
+    def fold(batches):
+        for batch in batches:
+            if len(batch):
+                code, groups = pd.factorize(batch["group"])
+                total = np.zeros((len(groups), len(batch["u"].iloc[0])))
+                np.add.at(total, code, np.stack(batch["u"].to_numpy()))
+                yield pd.DataFrame({"group": groups, "s": list(total)})
+
+    sums = rows.select("group", "u").mapInPandas(fold, f"group {dict(df.dtypes)[group]}, s array<double>")
+    sums = sums.select("group", F.posexplode("s").alias("i", "x")).groupBy("group", "i").agg(F.sum("x").alias("s"))
     sums = sums.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("sum"))
     counts = rows.groupBy("group").agg(F.count("*").alias("n"))
     total = F.col("n") - F.aggregate(F.zip_with("u", "sum", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)

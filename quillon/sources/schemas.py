@@ -79,7 +79,7 @@ def to_ddl(table: str, schema: T.StructType, dialect: str) -> str:
     for f in schema.fields:
         kind, dim = f.dataType.simpleString(), f.metadata.get("dim")
         if kind.startswith("array"):
-            columns.append(f'"{f.name}" vector({dim})' if dialect == "postgresql" else f"`{f.name}` Array(Float32)")
+            columns.append(f'"{f.name}" vector' + (f"({dim})" if dim else "") if dialect == "postgresql" else f"`{f.name}` Array(Float32)")
             if dialect == "clickhouse" and dim:
                 extra.append(f"INDEX idx_{f.name} `{f.name}` TYPE vector_similarity('hnsw', 'L2Distance', {dim}) GRANULARITY 1000")
             if dialect == "myscale" and dim:

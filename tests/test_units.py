@@ -181,6 +181,19 @@ def test_medoid_and_votes(spark):
     assert [tuple(r) for r in corpus.majority_vote(votes, "c", "r", "row").collect()] == [(1, "r1", 2)]
 
 
+def test_medoids_leave_out_vectors_without_a_direction(spark):
+    rows = [(1, 10, [1.0, 0.0]), (1, 11, [2.0, 0.1]), (1, 12, [3.0, 0.2]), (1, 1, [0.0, 0.0]), (1, 2, None), (1, 3, [1.0, None]), (1, 4, [1.0, float("nan")]), (None, 5, [1.0, 0.0]), (2, 6, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "g int, k int, v array<double>")
+    assert sorted((r["group"], r["key"]) for r in knn.medoids(df, "g", "k", "v").collect()) == [(1, 11), (2, 6)]
+    assert knn.medoids(df.limit(0), "g", "k", "v").count() == 0
+
+
+def test_vectors_without_a_width_in_ddl(spark):
+    _, schema = schemas.from_ddl("CREATE VIRTUAL TABLE t USING vec0 (id INTEGER, a float[3])")
+    assert '"a" vector(3)' in schemas.to_ddl("t", schema, "postgresql")
+    assert '"v" vector\n' in schemas.to_ddl("t", spark.createDataFrame([], "v array<float>").schema, "postgresql")
+
+
 def test_corpus_helpers(spark):
     base = spark.range(200)
     assert corpus.sample_rows(base, 20, "id").collect() == corpus.sample_rows(base, 20, "id").collect()
