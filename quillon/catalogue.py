@@ -917,7 +917,7 @@ def csv_report(spark, sf_dir):
     """A report written as CSV and read back."""
     path = _folder(spark)
     files.write_csv(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
-    return spark.read.schema("n_nationkey long, n_name string, n_regionkey long").csv(path, header=True)
+    return spark.read.schema("n_nationkey int, n_name string, n_regionkey int").csv(path, header=True)
 
 
 
