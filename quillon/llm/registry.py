@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, quality, secrets, token_counts, toxicity, warc_zip
+from . import chat_format, conversation_repair, embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, quality, secrets, token_counts, toxicity, vector_codes, warc_zip
 
 
 def queries() -> dict:
@@ -20,8 +20,16 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_quality": quality.op9_quality,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+        "op12_chat_format": chat_format.op12_chat_format,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_conversation_repair": conversation_repair.ORACLE_SQL,
+        "op12_chat_format": chat_format.ORACLE_SQL,
+        "op13_vector_codes": vector_codes.ORACLE_SQL,
+    }
