@@ -161,8 +161,8 @@ def knn_multi_intersect(spark, sf_dir):
 )
 def knn_interdependent(spark, sf_dir):
     e = _read(spark, sf_dir, "embeddings")
-    hit = knn.knn(e, "embedding", _vector_of(spark, sf_dir, 17), 1, "vec_id", where=F.col("label") == 2).select("embedding").first()[0]
-    return _out(knn.knn(e, "embedding", list(hit), 10, "vec_id").select("vec_id", "distance"))
+    hit = knn.knn(e, "embedding", _vector_of(spark, sf_dir, 17), 1, "vec_id", where=F.col("label") == 2).select("embedding")
+    return _out(knn.knn_of(e, "embedding", hit, 10, "vec_id").select("vec_id", "distance"))
 
 
 @query(
@@ -261,6 +261,25 @@ _statement(
     "sqlite",
     f"SELECT vec_id, round(d, 6) AS distance FROM ({_NEAR}) ORDER BY d, vec_id LIMIT 6",
 )
+_NEAR_E = f"(SELECT vec_id, label, d FROM ({_NEAR}))"
+_statement(
+    "match_dialect_join_limit",
+    "SELECT e.vec_id, l.l_linenumber FROM embeddings e JOIN lineitem l ON e.vec_id = l.l_partkey WHERE e.embedding MATCH lembed('m', 'vec 17') AND e.label <> 4 ORDER BY e.distance, e.vec_id, l.l_orderkey, l.l_linenumber LIMIT 5",
+    "sqlite",
+    f"SELECT vec_id, l_linenumber FROM (SELECT * FROM {_NEAR_E} WHERE label <> 4 ORDER BY d, vec_id LIMIT 5) JOIN lineitem ON vec_id = l_partkey ORDER BY d, vec_id, l_orderkey, l_linenumber LIMIT 5",
+)
+_statement(
+    "match_dialect_distinct_limit",
+    "SELECT DISTINCT label % 3 AS third FROM embeddings WHERE embedding MATCH lembed('m', 'vec 17') ORDER BY third LIMIT 2",
+    "sqlite",
+    f"SELECT DISTINCT label % 3 AS third FROM (SELECT * FROM {_NEAR_E} ORDER BY d, vec_id LIMIT 2) ORDER BY third LIMIT 2",
+)
+_statement(
+    "match_dialect_offset",
+    "SELECT vec_id, ROUND(distance, 6) AS distance FROM embeddings WHERE embedding MATCH lembed('m', 'vec 17') ORDER BY distance, vec_id LIMIT 5 OFFSET 3",
+    "sqlite",
+    f"SELECT vec_id, round(d, 6) AS distance FROM {_NEAR_E} ORDER BY d, vec_id LIMIT 5 OFFSET 3",
+)
 _statement(
     "match_dialect_join",
     "SELECT d.doc_id, d.lang, ROUND(e.distance, 6) AS distance FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id WHERE e.embedding MATCH lembed('m', 'vec 17') AND e.k = 20 AND d.lang = 'en'",
@@ -318,38 +337,48 @@ _statement(
     f"SELECT vec_id, round({_D.format(17)} + {_D.format(23)}, 6) AS total FROM embeddings ORDER BY round({_D.format(17)} + {_D.format(23)}, 6), vec_id LIMIT 8",
 )
 
+#: (level, statement): {text} and {k} stand for what a row of a table gives.
 _LEVELS = (
-    (0, "SELECT a FROM t WHERE b = 1"),
-    (1, "SELECT a FROM t WHERE e MATCH lembed('m', 'x') AND k = 5"),
-    (2, "SELECT a FROM t WHERE e MATCH lembed('m', 'x') AND k = 5 AND b > 3"),
-    (3, "WITH s AS (SELECT a, b FROM t WHERE e MATCH lembed('m', 'x') AND k = 5) SELECT a FROM s WHERE b > 3"),
-    (4, "SELECT b, COUNT(a) FROM t WHERE e MATCH lembed('m', 'x') AND k = 5 GROUP BY b"),
-    (5, "SELECT t.a FROM t JOIN u ON t.a = u.a WHERE t.e MATCH lembed('m', 'x') AND t.k = 5"),
-    (6, "SELECT a FROM u WHERE a IN (SELECT a FROM t WHERE e MATCH lembed('m', 'x') AND k = 5)"),
-    (7, "WITH s AS (SELECT a FROM t WHERE e MATCH lembed('m', 'x') AND k = 5), r AS (SELECT a FROM t WHERE e MATCH lembed('m', 'y') AND k = 5) SELECT s.a FROM s, r"),
-    (8, "WITH s AS (SELECT a FROM t WHERE e MATCH lembed('m', 'x') AND k = 1) SELECT v.a FROM s, v WHERE v.e MATCH lembed('m', 'y') AND v.k = 5"),
-    (9, "SELECT u.b, COUNT(t.a) FROM t JOIN u ON t.a = u.a WHERE t.e MATCH lembed('m', 'x') AND t.k = 5 GROUP BY u.b"),
+    (0, "SELECT a FROM t WHERE b = {k}"),
+    (1, "SELECT a FROM t WHERE e MATCH lembed('m', '{text}') AND k = {k}"),
+    (2, "SELECT a FROM t WHERE e MATCH lembed('m', '{text}') AND k = {k} AND b > 3"),
+    (3, "WITH s AS (SELECT a, b FROM t WHERE e MATCH lembed('m', '{text}') AND k = {k}) SELECT a FROM s WHERE b > 3"),
+    (4, "SELECT b, COUNT(a) FROM t WHERE e MATCH lembed('m', '{text}') AND k = {k} GROUP BY b"),
+    (5, "SELECT t.a FROM t JOIN u ON t.a = u.a WHERE t.e MATCH lembed('m', '{text}') AND t.k = {k}"),
+    (6, "SELECT a FROM u WHERE a IN (SELECT a FROM t WHERE e MATCH lembed('m', '{text}') AND k = {k})"),
+    (7, "WITH s AS (SELECT a FROM t WHERE e MATCH lembed('m', '{text}') AND k = {k}), r AS (SELECT a FROM t WHERE e MATCH lembed('m', 'y') AND k = 5) SELECT s.a FROM s, r"),
+    (9, "WITH s AS (SELECT a FROM t WHERE e MATCH lembed('m', '{text}') AND k = {k}) SELECT v.a FROM s, v WHERE v.e MATCH lembed('m', 'y') AND v.k = 5"),
+    (9, "SELECT u.b, COUNT(t.a) FROM t JOIN u ON t.a = u.a WHERE t.e MATCH lembed('m', '{text}') AND t.k = {k} GROUP BY u.b"),
+)
+_COMPLEX = (
+    ("Simple", "SELECT count(*) FROM t WHERE a = '{text}'"),
+    ("Moderate", "SELECT a, count(*) FROM t GROUP BY a HAVING count(*) > {k}"),
+    ("Complex", "SELECT a, row_number() OVER (ORDER BY a) FROM t WHERE a <> '{text}'"),
+    ("Highly Complex", "WITH RECURSIVE r AS (SELECT {k} UNION ALL SELECT 2) SELECT * FROM r"),
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {n})" for i, (n, _) in enumerate(_LEVELS)) + ") AS v(id, integration_level)")
-def integration_levels(spark, sf_dir):
-    rows = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(_LEVELS)], "id int, sql string")
-    return classify.with_level(rows).select("id", "integration_level")
+def _written(spark: SparkSession, sf_dir: str, forms: tuple) -> DataFrame:
+    """(doc_id, form, sql): each form filled with the opening of every document and a number from its id."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.replace(F.substring("text", 1, 60), F.lit("'"), F.lit("''")).alias("text"), (F.col("doc_id") % 50 + 1).cast("string").alias("k"))
+    each = F.array(*[F.struct(F.lit(i).alias("form"), corpus.fill(s, text="text", k="k").alias("sql")) for i, (_, s) in enumerate(forms)])
+    return d.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.form", "x.sql")
 
 
-_COMPLEX = (
-    ("Simple", "SELECT count(*) FROM t"),
-    ("Moderate", "SELECT a, count(*) FROM t GROUP BY a HAVING count(*) > 1"),
-    ("Complex", "SELECT a, row_number() OVER (ORDER BY a) FROM t"),
-    ("Highly Complex", "WITH RECURSIVE r AS (SELECT 1 UNION ALL SELECT 2) SELECT * FROM r"),
-)
+def _expected(forms: tuple, name: str) -> str:
+    values = ", ".join(f"({i}, {n!r})" for i, (n, _) in enumerate(forms))
+    return f"SELECT doc_id, form, {name} FROM documents, (VALUES {values}) AS v(form, {name})"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, (n, _) in enumerate(_COMPLEX)) + ") AS v(id, complexity)")
+@query(_expected(_LEVELS, "integration_level"))
+def integration_levels(spark, sf_dir):
+    """Statements written from every document: what the texts say, keywords among it, doesn't change the level."""
+    return classify.with_level(_written(spark, sf_dir, _LEVELS)).select("doc_id", "form", "integration_level")
+
+
+@query(_expected(_COMPLEX, "complexity"))
 def complexity_ladder(spark, sf_dir):
-    rows = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(_COMPLEX)], "id int, sql string")
-    return rows.select("id", classify.complexity(F.col("sql")).alias("complexity"))
+    return _written(spark, sf_dir, _COMPLEX).select("doc_id", "form", classify.complexity(F.col("sql")).alias("complexity"))
 
 
 # ---- relational surface --------------------------------------------------------------------------------------------
@@ -383,7 +412,12 @@ both(
 _CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
 both("win_frames", f"SELECT o_orderkey, CAST(sum({_CENTS}) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS moving_cents, avg({_CENTS}) OVER (PARTITION BY o_custkey) AS mean_cents FROM orders")
 both("cte_multi", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE total > 100000) SELECT c_mktsegment, count(*) AS n, round(sum(total), 2) AS total FROM top JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment")
-both("cte_recursive", "WITH RECURSIVE r(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * 2 FROM r WHERE n < 12) SELECT n, f FROM r")
+both(
+    "cte_recursive",
+    "WITH RECURSIVE r(supplier, depth, path_total) AS (SELECT s_suppkey, 0, CAST(s_acctbal AS DECIMAL(18, 2)) FROM supplier WHERE s_suppkey = 1 "
+    "UNION ALL SELECT s.s_suppkey, r.depth + 1, CAST(r.path_total + CAST(s.s_acctbal AS DECIMAL(18, 2)) AS DECIMAL(18, 2)) FROM supplier s JOIN r ON s.s_suppkey >= 2 * r.supplier AND s.s_suppkey <= 2 * r.supplier + 1) "
+    "SELECT supplier, depth, CAST(path_total AS DOUBLE) AS path_total FROM r",
+)
 both("subquery_scalar", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
 both("subquery_correlated", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders i WHERE i.o_custkey = o.o_custkey)")
 both("setop_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")

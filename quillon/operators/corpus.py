@@ -44,17 +44,22 @@ def is_query(sql: Column) -> Column:
     return strip_comments(sql).rlike(r"(?i)^(select|with)\b")
 
 
-#: What counts as a literal of a statement. Texts in either quotes, which begin after no word character.
-LITERAL_TEXTS = tuple(rf"(?<!\w){q}(?:\\.|[^{q}])*{q}" for q in "'\"")
-LITERAL_NUMBER, LITERAL_WORDS = r"-?\b\d+(?:\.\d+)?(?:e[-+]?\d+)?\b", ("null", "true", "false")
+#: Classes of tokens: white space, quoted texts with doubled quotes, words and numbers with their sign or exponent, anything else.
+TOKEN_CLASSES = (r"\s+", "'[^']*+(?:''[^']*+)*+'", '"[^"]*+(?:""[^"]*+)*+"', r"-?[\w.]+(?:(?<=[\d.]e)[-+]\d+)?", r"(?s:.)")
+#: Words that are literals.
+LITERAL_WORDS = ("null", "true", "false")
 MASK = "<v>"
 
 
 def template(sql: Column) -> Column:
-    """A lower-cased statement with its literals masked and its white space collapsed."""
-    words = rf"\b(?:{'|'.join(LITERAL_WORDS)})\b"
-    masked = F.regexp_replace(F.lower(sql), "|".join([*LITERAL_TEXTS, LITERAL_NUMBER, words]), MASK)
-    return F.trim(F.regexp_replace(masked, r"\s+", " "))
+    """A lower-cased statement, token by token: literals masked, white space as one space."""
+
+    def written(token: Column) -> Column:
+        number = token.rlike(r"[\d.]$") & token.try_cast("double").isNotNull()
+        return F.when(F.trim(F.translate(token, "\n\r\t\f\x0b", "     ")) == "", " ").when(F.left(token, F.lit(1)).isin("'", '"') & (F.length(token) > 1) | number | token.isin(*LITERAL_WORDS), MASK).otherwise(token)
+
+    tokens = F.regexp_extract_all(F.lower(sql), F.lit("|".join(TOKEN_CLASSES)), F.lit(0))
+    return F.trim(F.array_join(F.transform(tokens, written), ""))
 
 
 def dedup_by_template(df: DataFrame, sql_col: str, order: str) -> DataFrame:

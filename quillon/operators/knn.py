@@ -30,6 +30,15 @@ def knn(df: DataFrame, vec_col: str, query: Sequence[float] | Column, k: int, ke
     return with_distance(rows, vec_col, query, metric).filter("distance IS NOT NULL").orderBy("distance", key).limit(k)
 
 
+def knn_of(df: DataFrame, vec_col: str, hits: DataFrame, k: int, key: str, metric: str = "l2", where: Column | None = None) -> DataFrame:
+    """The k rows nearest to the vector of ``hits``, a frame of one column and one row at most, such as an earlier search's best; none if it is empty.
+
+    The one row is broadcast within the plan, so the searches are one job and nothing comes to the driver.
+    """
+    one = hits.limit(1).toDF("__query")
+    return knn(df.crossJoin(F.broadcast(one)), vec_col, F.col("__query"), k, key, metric, where).drop("__query")
+
+
 def within(df: DataFrame, vec_col: str, query: Sequence[float] | Column, radius: float, metric: str = "l2") -> DataFrame:
     """Rows nearer than radius."""
     return with_distance(df, vec_col, query, metric).filter(F.col("distance") < radius)

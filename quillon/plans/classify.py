@@ -2,6 +2,8 @@
 
 Levels: 0 no search, 1 pure, 2 pre-filtered, 3 post-filtered, 4 aggregated, 5 joined,
 6 within a subquery, 7 several independent searches, 8 interdependent ones, 9 hybrids.
+A block that searches has a WHERE of its own, so if it also consumes an earlier search it counts as
+filtered after that, and as several searches: such statements are hybrids, and level 8 is left to forms without a WHERE.
 """
 
 from __future__ import annotations
@@ -86,12 +88,13 @@ def traits(sql: str) -> set[str] | None:
     found = {"several"} if sum(b.searches for b in tree.values()) > 1 else set()
     results = searching - {"main"}
     for name, b in tree.items():
-        consumes, own = bool(b.reads & (results - {name})), name in searching
+        own = name in searching
+        consumes = name not in results and bool(b.reads & results)
         found |= {"several"} if "UNION" in b.words else set()
         found |= {"nested"} if b.searches_inside() else set()
         found |= {"aggregated"} if b.folds() and (own or b.reads & searching) else set()
         found |= {"dependent"} if consumes and own else set()
-        found |= {"filtered after"} if consumes and b.filtered and not own else set()
+        found |= {"filtered after"} if consumes and b.filtered else set()
         if own:
             across = [len(b.tables(c)) > 1 for c in b.others]
             found |= {"joined"} if b.joins or any(across) else set()
@@ -103,7 +106,7 @@ def integration_level(sql: str) -> int:
     found = traits(sql)
     if found is None:
         return 0
-    coupled = found & {"joined", "aggregated", "nested", "filtered after"} - ({"filtered after"} if "dependent" in found else set())
+    coupled = found & {"joined", "aggregated", "nested", "filtered after"}
     if coupled and len(coupled) + ("several" in found) > 1:
         return HYBRID
     return max((LEVELS[t] for t in found), default=1)
