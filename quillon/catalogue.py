@@ -175,6 +175,17 @@ def knn_join_top3(spark, sf_dir):
     return _out(knn.knn_join(e, e.filter("vec_id % 20 = 0"), 3, "vec_id", "embedding"))
 
 
+@query(
+    "SELECT query_key, key, round(d, 6) AS distance, rank FROM (SELECT a.vec_id AS query_key, b.vec_id AS key, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, "
+    "row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rank "
+    "FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id) WHERE rank <= 5"
+)
+def knn_join_all(spark, sf_dir):
+    """The five nearest of every vector, a table against itself."""
+    e = _read(spark, sf_dir, "embeddings")
+    return _out(knn.knn_join(e, e, 5, "vec_id", "embedding"))
+
+
 @query("SELECT label, vec_id, rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS rank FROM (" + _NEAR + ")) WHERE rank <= 3")
 def knn_top_per_group(spark, sf_dir):
     near = knn.with_distance(_read(spark, sf_dir, "embeddings"), "embedding", _vector_of(spark, sf_dir, 17))
@@ -213,8 +224,21 @@ def decode_blob_vectors(spark, sf_dir):
 def index_search(spark, sf_dir):
     """An inverted file of all vectors, searched in all of its lists: as exact as a search without it."""
     e = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    index = knn.VectorIndex.build(e, "embedding", _folder(spark), queries=F.col("vec_id") % 20 == 0)
-    return _out(index.search(spark, "embedding", _vector_of(spark, sf_dir, 17), 10, "vec_id", probes=len(index.centroids)).select("vec_id", "distance"))
+    index = knn.VectorIndex.build(e, "vec_id", "embedding", _folder(spark), queries=F.col("vec_id") % 20 == 0)
+    return _out(index.search(spark, "embedding", _vector_of(spark, sf_dir, 17), 10, probes=len(index.centroids)).select("vec_id", "distance"))
+
+
+@query("SELECT count(*) FILTER (vec_id % 20 = 0) AS queries, true AS recall_reached, true AS reads_a_fifth FROM embeddings")
+def index_recall(spark, sf_dir):
+    """The index as it searches by default, against exact search: at least 0.9 of the ten nearest, with a fifth of the rows read in full at most."""
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = e.filter("vec_id % 20 = 0")
+    index = knn.VectorIndex.build(e, "vec_id", "embedding", _folder(spark), queries=F.col("vec_id") % 20 == 0)
+    got = index.search_all(asked, "vec_id", "embedding", 10).select("query_key", "key")
+    want = knn.knn_join(e, asked, 10, "vec_id", "embedding", skip_self=False).select("query_key", "key")
+    hits = want.join(got.withColumn("hit", F.lit(1)), ["query_key", "key"], "left")
+    few = F.lit(index.taken_for(10)) <= F.lit(e.count()) / 5
+    return hits.agg(F.countDistinct("query_key").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recall_reached")).withColumn("reads_a_fifth", few)
 
 
 @query(f"SELECT vec_id FROM embeddings WHERE label < 5 ORDER BY {_D.format(17)}, vec_id LIMIT 6")

@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import DISTANCES, vector
+from .knn_join import knn_join
 
-#: Query vectors that one pass over the corpus carries to the tasks.
-QUERY_BLOCK = 2048
+__all__ = ["VectorIndex", "knn", "knn_join", "knn_of", "medoids", "top_per_group", "with_distance", "within"]
+
+#: Groups whose sums a task holds before it passes them on.
+GROUPS_HELD = 4096
 
 
 def with_distance(df: DataFrame, vec_col: str, query: Sequence[float] | Column, metric: str = "l2") -> DataFrame:
@@ -50,56 +53,6 @@ def top_per_group(df: DataFrame, group: str, k: int, order: str, key: str) -> Da
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def knn_join(corpus: DataFrame, queries: DataFrame, k: int, key: str, vec_col: str, metric: str = "l2", skip_self: bool = True) -> DataFrame:
-    """(query_key, key, distance, rank): the k corpus rows nearest to each query row.
-
-    Queries go to the tasks in blocks of bounded size, one pass over the corpus for each.
-    A task keeps the k best of a batch for each query, so what is shuffled is k rows per
-    query and batch; a window makes the final cut.
-    """
-    spark = corpus.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    dealt = queries.select(F.col(key).alias("q"), F.col(vec_col).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"))
-    kind = dict(corpus.dtypes)[key]
-    rows = corpus.select(F.col(key).alias("key"), F.col(vec_col).alias("v")).filter("v IS NOT NULL")
-    parts = []
-    for b in range(blocks):
-        held = dealt.filter((F.col("b") == b) & F.col("v").isNotNull()).select("q", "v").toPandas()
-        if not len(held):
-            continue
-        names, wanted = held["q"].to_numpy(), np.stack(held["v"].to_numpy()).astype(float)
-
-        def nearest(batches, names=names, wanted=wanted):
-            for batch in batches:
-                if not len(batch):
-                    continue
-                have, keys = np.stack(batch["v"].to_numpy()).astype(float), batch["key"].to_numpy()
-                out = []
-                for i in range(0, len(wanted), 128):
-                    d = _distances(wanted[i : i + 128], have, metric)
-                    if skip_self:
-                        d[names[i : i + 128, None] == keys[None, :]] = np.inf
-                    m = min(k, d.shape[1])
-                    order = np.lexsort((np.broadcast_to(keys, d.shape), d), axis=1)[:, :m]
-                    found = np.take_along_axis(d, order, 1)
-                    if metric == "l2":  # sums of squares cancel where vectors are close; the few that are kept are measured by their differences
-                        exact = np.stack([np.sqrt(((have[o] - q) ** 2).sum(1)) for o, q in zip(order, wanted[i : i + 128])])
-                        found = np.where(np.isfinite(found), exact, np.inf)
-                    out.append(pd.DataFrame({"query_key": np.repeat(names[i : i + 128], m), "key": keys[order].ravel(), "distance": found.ravel()}))
-                made = pd.concat(out)
-                yield made[np.isfinite(made["distance"])]
-
-        parts.append(rows.mapInPandas(nearest, f"query_key {kind}, key {kind}, distance double"))
-    if not parts:
-        return spark.createDataFrame([], f"query_key {kind}, key {kind}, distance double, rank int")
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionByName(p)
-    w = Window.partitionBy("query_key").orderBy("distance", "key")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     dot = a @ b.T
     if metric == "ip":
@@ -124,16 +77,25 @@ def medoids(df: DataFrame, group: str, key: str, vec_col: str) -> DataFrame:
     rows = df.select(F.col(group).alias("group"), F.col(key).alias("key"), unit.alias("u")).filter(F.col("group").isNotNull() & F.forall("u", lambda x: F.coalesce(F.abs(x) <= 1.5, F.lit(False))))
 
     def fold(batches):
+        held = {}
         for batch in batches:
-            if len(batch):
-                code, groups = pd.factorize(batch["group"])
-                total = np.zeros((len(groups), len(batch["u"].iloc[0])))
-                np.add.at(total, code, np.stack(batch["u"].to_numpy()))
-                yield pd.DataFrame({"group": groups, "s": list(total)})
-
-    sums = rows.select("group", "u").mapInPandas(fold, f"group {dict(df.dtypes)[group]}, s array<double>")
-    sums = sums.select("group", F.posexplode("s").alias("i", "x")).groupBy("group", "i").agg(F.sum("x").alias("s"))
-    sums = sums.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("sum"))
+            if not len(batch):
+                continue
+            code, groups = pd.factorize(batch["group"])
+            total = np.zeros((len(groups), len(batch["s"].iloc[0])))
+            np.add.at(total, code, np.stack(batch["s"].to_numpy()))
+            for g, s in zip(groups, total):
+                held[g] = held[g] + s if g in held else s
+            if len(held) > GROUPS_HELD:
+                yield pd.DataFrame({"group": list(held), "s": list(held.values())})
+                held = {}
+        if held:
+            yield pd.DataFrame({"group": list(held), "s": list(held.values())})
+
+    # a vector for each task and group is what is shuffled; sorted, they are added up group by group
+    schema = f"group {dict(df.dtypes)[group]}, s array<double>"
+    partial = rows.select("group", F.col("u").alias("s")).mapInPandas(fold, schema)
+    sums = partial.repartition("group").sortWithinPartitions("group").mapInPandas(_added, schema).withColumnRenamed("s", "sum")
     counts = rows.groupBy("group").agg(F.count("*").alias("n"))
     total = F.col("n") - F.aggregate(F.zip_with("u", "sum", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     scored = rows.join(sums, "group").join(counts, "group").select("group", "key", F.round(total, 6).alias("total"))
@@ -141,29 +103,50 @@ def medoids(df: DataFrame, group: str, key: str, vec_col: str) -> DataFrame:
     return least.select("group", "m.key", "m.total")
 
 
+def _added(batches):
+    """One sum of vectors for each group, from rows sorted by group."""
+    held, total = None, None
+    for batch in batches:
+        out = []
+        for g, s in zip(batch["group"], batch["s"]):
+            if total is not None and g == held:
+                total = total + s
+                continue
+            if total is not None:
+                out.append((held, total))
+            held, total = g, s
+        yield pd.DataFrame(out, columns=["group", "s"])
+    if total is not None:
+        yield pd.DataFrame([(held, total)], columns=["group", "s"])
+
+
 class VectorIndex:
-    """Inverted file: each row's nearest centroid is a partition column; a search reads a few partitions.
+    """Inverted file with residual codes: a search estimates distances from the codes of the nearest lists and reads few rows in full.
 
-    Centroids are fitted on a bounded sample; every row is indexed. How many partitions a search
-    reads follows from the recall measured on the finished index, against exact search over all rows.
+    A row's code is what is left of it beyond its list's centroid, four bits a component and a scale, an
+    eighth of the vector. ``search`` takes the rows of the least estimates, reads those alone (their keys are pushed to the scan) and ranks
+    them by their true distances. Centroids are fitted on a bounded sample; every row is indexed. How many lists a
+    search reads, and how many rows in full, follows from the recall measured on the finished index against exact search.
     """
 
     SAMPLE = 20_000
-    #: Mean share of the true neighbours that a search finds, the k it is measured for, and the queries that measure it at most.
-    RECALL, MEASURED, QUERIES = 0.9, (10, 100), 1000
+    #: Share of the true neighbours that the lists read must hold, and that the rows taken from their codes must hold; the k measured for; the queries that measure, at most.
+    RECALL, KEPT, MEASURED, QUERIES = 0.95, 0.98, (10, 100), 256
+    #: Rows taken for each neighbour asked for, at most; what is measured decides.
+    WIDEST = 8
+    #: Codes that meet a block of queries at once in ``search_all``.
+    DEALT = 16_384
 
-    def __init__(self, path: str, centroids: np.ndarray, measured: Sequence[tuple[int, int, float]] = ()):
-        self.path, self.centroids, self.measured = path, centroids, sorted(measured)
+    def __init__(self, path: str, key: str, centroids: np.ndarray, measured: Sequence[tuple[int, int, int, float]] = ()):
+        self.path, self.key, self.centroids, self.measured = path, key, centroids, sorted(measured)
 
     @classmethod
-    def build(cls, df: DataFrame, vec_col: str, path: str, lists: int | None = None, rounds: int = 10, rebuild: bool = False, queries: Column | None = None) -> VectorIndex:
+    def build(cls, df: DataFrame, key: str, vec_col: str, path: str, lists: int | None = None, rounds: int = 10, rebuild: bool = False, queries: Column | None = None) -> VectorIndex:
         """queries: the rows whose neighbours measure the recall, by default all; above QUERIES, those first in hash order."""
         spark = df.sparkSession
         where = f"{path}/centroids"
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(where)
-        if not rebuild and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return cls(path, cls._read(spark, where))._measure(spark, vec_col, queries, again=False)
+        if not rebuild and _exists(spark, where):
+            return cls(path, key, cls._read(spark, where))._measure(spark, vec_col, queries, again=False)
         sample = df.filter(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(vec_col)).limit(cls.SAMPLE).select(vec_col).toPandas()[vec_col]
         x = np.stack(sample.to_numpy()).astype(float)
         n = min(lists or max(1, int(np.sqrt(len(x)))), len(x))
@@ -173,26 +156,33 @@ class VectorIndex:
             c = np.stack([x[owner == i].mean(0) if (owner == i).any() else c[i] for i in range(n)])
         spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "i int, v array<double>").write.mode("overwrite").parquet(where)
 
-        def owners(batches):
+        def coded(batches):
             for batch in batches:
-                yield batch.assign(centroid=_distances(np.stack(batch[vec_col].to_numpy()).astype(float), c, "l2").argmin(1) if len(batch) else [])
+                if not len(batch):
+                    yield batch.assign(centroid=[], code=[], scale=[])
+                    continue
+                have = np.stack(batch[vec_col].to_numpy()).astype(float)
+                owner = _distances(have, c, "l2").argmin(1)
+                code, scale = _encode(have - c[owner])
+                yield batch.assign(centroid=owner, code=code, scale=scale)
 
         rows = df.filter(F.col(vec_col).isNotNull())
-        schema = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes) + ", centroid int"
-        # a hot list is dealt to several files by a salt
-        dealt = rows.mapInPandas(owners, schema).repartition("centroid", F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x, t in rows.dtypes if not t.startswith("map")]), F.lit(4)))
-        dealt.write.mode("overwrite").partitionBy("centroid").parquet(f"{path}/rows")
-        return cls(path, c)._measure(spark, vec_col, queries, again=True)
+        schema = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes) + ", centroid int, code binary, scale double"
+        # a hot list is dealt to several files by a salt; sorted by key, so that a scan for a few keys skips most pages
+        dealt = rows.mapInPandas(coded, schema).repartition("centroid", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(4))).sortWithinPartitions("centroid", key)
+        dealt.drop("code", "scale").write.mode("overwrite").option("parquet.page.row.count.limit", 512).partitionBy("centroid").parquet(f"{path}/rows")
+        codes = dealt.select(F.col(f"`{key}`").alias("key"), "centroid", "code", "scale")
+        codes.write.mode("overwrite").partitionBy("centroid").parquet(f"{path}/codes")
+        return cls(path, key, c)._measure(spark, vec_col, queries, again=True)
 
     def _measure(self, spark, vec_col: str, queries: Column | None, again: bool) -> VectorIndex:
-        """Sets measured to (k, probes, recall): the fewest lists that hold RECALL of the k nearest rows.
+        """Sets measured to (k, probes, taken, recall).
 
         If only some of the queries are compared, two standard errors are taken off what they find.
         """
         where = f"{self.path}/measured"
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-        if not again and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            self.measured = sorted(tuple(r) for r in spark.read.parquet(where).select("k", "probes", "recall").collect())
+        if not again and _exists(spark, where):
+            self.measured = sorted(tuple(r) for r in spark.read.parquet(where).select("k", "probes", "taken", "recall").collect())
             return self
         rows = spark.read.parquet(f"{self.path}/rows")
         asked = rows if queries is None else rows.filter(queries)
@@ -200,52 +190,142 @@ class VectorIndex:
         n, lists, most = min(len(held), self.QUERIES), len(self.centroids), max(self.MEASURED) + 1
         measured = []
         if n:
-            wanted = np.stack(held.to_numpy()[:n]).astype(float)
-            place = np.argsort(np.argsort(_distances(wanted, self.centroids, "l2"), axis=1), axis=1).astype(np.int32)
+            wanted, centroids, width = np.stack(held.to_numpy()[:n]).astype(float), self.centroids, most * self.WIDEST
+            place = np.argsort(np.argsort(_distances(wanted, centroids, "l2"), axis=1), axis=1).astype(np.int32)
 
             def nearest(batches):
-                best, placed = np.full((n, most), np.inf), np.zeros((n, most), np.int32)
+                # for each query its nearest rows, and those of the least estimates: (distance, list's place, estimate)
+                best = {"true": np.full((3, n, most), np.inf), "guess": np.full((3, n, width), np.inf)}
                 for batch in batches:
                     if not len(batch):
                         continue
                     have, owner = np.stack(batch["v"].to_numpy()).astype(float), batch["centroid"].to_numpy()
-                    for i in range(0, n, 128):
-                        d = np.hstack((best[i : i + 128], _distances(wanted[i : i + 128], have, "l2")))
-                        p = np.hstack((placed[i : i + 128], place[i : i + 128][:, owner]))
-                        keep = np.argpartition(d, most - 1, axis=1)[:, :most]
-                        best[i : i + 128], placed[i : i + 128] = np.take_along_axis(d, keep, 1), np.take_along_axis(p, keep, 1)
-                q, j = np.nonzero(np.isfinite(best))
-                yield pd.DataFrame({"q": q, "d": best[q, j], "place": placed[q, j]})
-
-            found = rows.select(F.col(vec_col).alias("v"), "centroid").mapInPandas(nearest, "q long, d double, place int")
-            w = Window.partitionBy("q").orderBy("d", "place")
-            # the first is the query's own row, or one equal to it
-            found = found.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank").between(1, most - 1)).toPandas()
+                    back = centroids[owner] + _decode(*_encode(have - centroids[owner]), have.shape[1])
+                    new = np.stack((_distances(wanted, have, "l2"), place[:, owner], _distances(wanted, back, "l2")))
+                    for name, by in (("true", 0), ("guess", 2)):
+                        both = np.concatenate((best[name], new), axis=2)
+                        size = best[name].shape[2]
+                        keep = np.argpartition(both[by], size - 1, axis=1)[:, :size]
+                        best[name] = np.stack([np.take_along_axis(x, keep, 1) for x in both])
+                for name in best:
+                    q, j = np.nonzero(np.isfinite(best[name][0]))
+                    yield pd.DataFrame({"kind": name, "q": q, "d": best[name][0][q, j], "place": best[name][1][q, j], "guess": best[name][2][q, j]})
+
+            found = rows.select(F.col(vec_col).alias("v"), "centroid").mapInPandas(nearest, "kind string, q long, d double, place double, guess double")
+            w = Window.partitionBy("kind", "q").orderBy(F.when(F.col("kind") == "true", F.col("d")).otherwise(F.col("guess")), "d", "place")
+            # the first true one is the query's own row, or one equal to it
+            found = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.when(F.col("kind") == "true", most).otherwise(width)).toPandas()
+            true, guess = (found[found["kind"] == name] for name in ("true", "guess"))
             for k in self.MEASURED:
-                hits = found[found["rank"] <= k]
+                hits = true[(true["rank"] > 1) & (true["rank"] <= k + 1)]
                 share = np.zeros((n, lists))
-                np.add.at(share, (hits["q"].to_numpy(), hits["place"].to_numpy()), 1)
+                np.add.at(share, (hits["q"].to_numpy(), hits["place"].to_numpy().astype(int)), 1)
                 share = share[share.sum(1) > 0]
                 if not len(share):
                     continue
                 share = share.cumsum(1) / share.sum(1, keepdims=True)
                 off = 2 * share.std(0) / np.sqrt(len(share)) if len(held) > n else 0
                 probes = int(np.argmax(share.mean(0) - off >= self.RECALL)) + 1
-                measured.append((k, probes, float(share.mean(0)[probes - 1])))
-        spark.createDataFrame(measured, "k int, probes int, recall double").write.mode("overwrite").parquet(where)
+                far = hits.groupby("q")["d"].max()
+                inside = guess[guess["d"] <= guess["q"].map(far)]
+                taken = next((m * k for m in range(1, self.WIDEST + 1) if (inside[inside["rank"] <= m * k + 1].groupby("q").size() / inside.groupby("q").size()).fillna(0).mean() >= self.KEPT), self.WIDEST * k)
+                measured.append((k, probes, taken + 1, float(share.mean(0)[probes - 1])))
+        spark.createDataFrame(measured, "k int, probes int, taken int, recall double").write.mode("overwrite").parquet(where)
         self.measured = measured
         return self
 
     def probes_for(self, k: int) -> int:
         """Lists that a search for k rows reads: as measured for the next larger k, or all."""
-        return next((probes for measured, probes, _ in self.measured if measured >= k), len(self.centroids))
+        return next((probes for measured, probes, *_ in self.measured if measured >= k), len(self.centroids))
+
+    def taken_for(self, k: int) -> int:
+        """Rows that a search for k rows reads in full."""
+        return next((-(-taken * k // measured) for measured, _, taken, _ in self.measured if measured >= k), self.WIDEST * k)
 
     @staticmethod
     def _read(spark, where: str) -> np.ndarray:
         return np.stack(spark.read.parquet(where).orderBy("i").toPandas()["v"].to_numpy())
 
-    def search(self, spark, vec_col: str, query: Sequence[float], k: int, key: str, probes: int | None = None) -> DataFrame:
-        probes = self.probes_for(k) if probes is None else probes
-        near = np.argsort(_distances(np.asarray([query], float), self.centroids, "l2")[0])[:probes]
-        rows = spark.read.parquet(f"{self.path}/rows").filter(F.col("centroid").isin(near.tolist()))
-        return knn(rows.drop("centroid"), vec_col, query, k, key)
+    def search(self, spark, vec_col: str, query: Sequence[float], k: int, probes: int | None = None) -> DataFrame:
+        """The k rows nearest to query, with their distance. What comes to the driver in between is ``taken_for(k)`` keys."""
+        wanted, centroids, taken = np.asarray([query], float), self.centroids, self.taken_for(k)
+        near = np.argsort(_distances(wanted, centroids, "l2")[0])[: self.probes_for(k) if probes is None else probes]
+
+        def guess(batches):
+            for batch in batches:
+                if len(batch):
+                    back = centroids[batch["centroid"].to_numpy()] + _decode(batch["code"], batch["scale"], wanted.shape[1])
+                    d = _distances(wanted, back, "l2")[0]
+                    first = np.argsort(d, kind="stable")[:taken]
+                    yield batch.iloc[first][["key", "centroid"]].assign(guess=d[first])
+
+        codes = spark.read.parquet(f"{self.path}/codes").filter(F.col("centroid").isin(near.tolist()))
+        rows = spark.read.parquet(f"{self.path}/rows")
+        kind = dict(codes.dtypes)["key"]
+        best = codes.mapInPandas(guess, f"key {kind}, centroid int, guess double").orderBy("guess", "key").limit(taken).collect()
+        few = rows.filter(F.col("centroid").isin(sorted({r["centroid"] for r in best})) & F.col(f"`{self.key}`").isin([r["key"] for r in best]))
+        return knn(few.drop("centroid"), vec_col, query, k, self.key)
+
+    def search_all(self, queries: DataFrame, key: str, vec_col: str, k: int) -> DataFrame:
+        """(query_key, key, distance, rank) for a table of queries: each goes to its lists' codes, and the rows taken from them are measured in full.
+
+        A list's codes are dealt to parts of bounded size by a salt, and so are a list's queries.
+        """
+        spark, centroids, probes, taken = queries.sparkSession, self.centroids, self.probes_for(k), self.taken_for(k)
+        kind, mine = dict(queries.dtypes)[key], dict(spark.read.parquet(f"{self.path}/codes").dtypes)["key"]
+        asked = queries.filter(F.col(vec_col).isNotNull()).select(F.col(key).alias("q"), F.col(vec_col).cast("array<double>").alias("v"))
+        codes = spark.read.parquet(f"{self.path}/codes")
+
+        def route(batches):
+            for batch in batches:
+                d = _distances(np.stack(batch["v"].to_numpy()), centroids, "l2") if len(batch) else np.empty((0, 1))
+                yield batch.assign(lists=list(np.argsort(d, axis=1)[:, :probes].astype(np.int32)))
+
+        def guess(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(c):
+                return pd.DataFrame({"q": [], "key": [], "guess": []})
+            wanted = np.stack(q["v"].to_numpy())
+            d = _distances(wanted, centroids[c["centroid"].to_numpy()] + _decode(c["code"], c["scale"], wanted.shape[1]), "l2")
+            m = min(taken, d.shape[1])
+            first = np.argpartition(d, m - 1, axis=1)[:, :m]
+            return pd.DataFrame({"q": np.repeat(q["q"].to_numpy(), m), "key": c["key"].to_numpy()[first].ravel(), "guess": np.take_along_axis(d, first, 1).ravel()})
+
+        sizes = codes.groupBy("centroid").count().collect()  # a row per list
+        parts = np.ones(len(centroids), int)
+        for c, size in sizes:
+            parts[c] = -(-size // self.DEALT)
+        many = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("centroid") + 1)
+        # queries are dealt to as many salts as hold DEALT of them; each salt meets all parts of its lists
+        salts = max(1, -(-asked.count() // self.DEALT))
+        sent = asked.mapInPandas(route, f"q {kind}, v array<double>, lists array<int>").select("q", "v", F.explode("lists").alias("centroid"))
+        sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), many - 1))).withColumn("salt", F.pmod(F.xxhash64("q"), F.lit(salts)).cast("int"))
+        held = codes.withColumn("part", F.pmod(F.xxhash64("key"), many).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = sent.groupBy("centroid", "part", "salt").cogroup(held.groupBy("centroid", "part", "salt")).applyInPandas(guess, f"q {kind}, key {mine}, guess double")
+        w = Window.partitionBy("q").orderBy("guess", "key")
+        few = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= taken).select("q", F.col("key").alias("__k"))
+        rows = spark.read.parquet(f"{self.path}/rows").select(F.col(f"`{self.key}`").alias("key"), F.col(vec_col).alias("x"))
+        met = few.join(rows, F.col("__k") == F.col("key")).join(asked.select(F.col("q").alias("__q"), "v"), F.col("q") == F.col("__q"))
+        w = Window.partitionBy("query_key").orderBy("distance", "key")
+        near = met.select(F.col("q").alias("query_key"), "key", DISTANCES["l2"](F.col("x"), F.col("v")).alias("distance"))
+        return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _exists(spark, where: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _encode(left: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(code, scale) of residuals: components from -scale to scale as one of 16 steps, two to a byte."""
+    scale = np.abs(left).max(1)
+    steps = np.rint((np.divide(left, scale[:, None], out=np.zeros_like(left), where=scale[:, None] > 0) + 1) * 7.5).astype(np.uint8)
+    if steps.shape[1] % 2:
+        steps = np.hstack((steps, np.zeros((len(steps), 1), np.uint8)))
+    return [r.tobytes() for r in steps[:, ::2] << 4 | steps[:, 1::2]], scale
+
+
+def _decode(code: Sequence[bytes], scale: np.ndarray, width: int) -> np.ndarray:
+    """Residuals back from their codes, within half a step."""
+    packed = np.frombuffer(b"".join(code), np.uint8).reshape(len(code), -1)
+    steps = np.stack((packed >> 4, packed & 15), axis=2).reshape(len(code), -1)[:, :width]
+    return (steps / 7.5 - 1) * np.asarray(scale, float)[:, None]
