@@ -17,7 +17,7 @@ from .functions import compat, vector
 from .operators import corpus, knn, metrics, vectorize
 from .plans import classify
 from .session import VectorSession
-from .sources import catalog, files, migrate, schemas
+from .sources import catalog, dump, files, migrate, schemas, sqlite
 from .streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -970,6 +970,31 @@ def narrow_columns(spark, sf_dir):
     return schemas.narrow(e, 3)
 
 
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def sqlite_tables(spark, sf_dir):
+    """A table as SQLite database images and back."""
+    path = _folder(spark)
+    sqlite.to_images(_read(spark, sf_dir, "customer"), "customer", rows=5000).write.parquet(path)
+    return sqlite.read_images(spark.read.parquet(path), "customer", "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string").drop("path").withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
+
+
+@query("SELECT vec_id, len(embedding) AS dim, round(list_sum(embedding::DOUBLE[]), 5) AS total, label FROM embeddings")
+def sqlite_vectors(spark, sf_dir):
+    """Vectors at rest in SQLite as 32-bit floats."""
+    images = sqlite.to_images(_read(spark, sf_dir, "embeddings"), "embeddings", rows=3000)
+    rows = sqlite.read_images(images, "embeddings", "vec_id long, embedding array<float>, label long")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select("vec_id", F.size("embedding").alias("dim"), F.round(total, 5).alias("total"), F.col("label").cast("int").alias("label"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def dump_script(spark, sf_dir):
+    """A table as a script of INSERT statements, whose texts hold line feeds and quotes, and back."""
+    path = _folder(spark)
+    dump.written(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conversations").write.text(path)
+    return dump.rows_of(dump.statements(spark, path), "conversations", "conv_id long, turn long, role string, text string")
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_report(spark, sf_dir):
     """A report written as CSV and read back."""
