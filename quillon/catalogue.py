@@ -692,27 +692,46 @@ def ground_truth(spark, sf_dir):
     return corpus.ground_truth(n).withColumn("sqls", F.array_join("sqls", "|"))
 
 
-@query("SELECT * FROM (VALUES (1, 1), (2, 2), (3, 1)) AS v(column_count, statements)")
+def _nation_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n_nationkey, sql): a statement for each nation, of one to three columns; every fifth asks for a column that isn't there."""
+    n = _read(spark, sf_dir, "nation")
+    names = F.element_at(F.array(F.lit("n_name"), F.lit("n_name, n_nationkey"), F.lit("n_nationkey, n_regionkey, n_name")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    names = F.when(F.col("n_nationkey") % 5 == 4, F.concat(F.lit("missing, "), names)).otherwise(names)
+    return n.select("n_nationkey", F.concat(F.lit("SELECT "), names, F.lit(" FROM nation WHERE n_regionkey <= "), F.col("n_regionkey").cast("string")).alias("sql"))
+
+
+@query("SELECT CAST(c AS INTEGER) AS column_count, count(*) AS statements FROM (SELECT n_nationkey % 3 + 1 AS c FROM nation WHERE n_nationkey % 5 <> 4) GROUP BY c")
 def column_histogram(spark, sf_dir):
-    """Statements that run, by their number of columns; one of them fails."""
-    texts = ["SELECT n_name FROM nation", "SELECT n_name, n_nationkey FROM nation", "SELECT r_name, COUNT(*) FROM region GROUP BY r_name", "SELECT n_nationkey, n_regionkey, n_name FROM nation WHERE n_regionkey = 1", "SELECT missing FROM nation"]
-    statements = spark.createDataFrame([(t,) for t in texts], "sql string")
-    return corpus.column_count_histogram(VectorSession(spark, sf_dir, tables=("nation", "region")).runnable(statements, _folder(spark)))
+    """Statements that run, by their number of columns; some fail."""
+    return corpus.column_count_histogram(VectorSession(spark, sf_dir, tables=("nation",)).runnable(_nation_statements(spark, sf_dir), _folder(spark)))
 
 
 @query(
-    "SELECT 'q1' AS query_id, -1 AS run_id, 'success' AS status, 0 AS integration_level, count(*) AS row_count FROM nation UNION ALL SELECT 'q1', 0, 'success', 0, count(*) FROM nation WHERE n_regionkey = 2 "
-    "UNION ALL SELECT 'q1', 1, 'success', 2, 4 UNION ALL SELECT 'q2', -1, 'error', NULL, NULL UNION ALL SELECT 'q2', 0, 'error', 0, NULL"
+    "WITH c AS (SELECT n_nationkey AS k, n_regionkey AS r, (SELECT count(*) FROM nation b WHERE b.n_regionkey <= a.n_regionkey) AS n FROM nation a) "
+    "SELECT k::VARCHAR AS query_id, -1 AS run_id, CASE WHEN k % 5 = 4 THEN 'error' ELSE 'success' END AS status, 0 AS integration_level, CASE WHEN k % 5 <> 4 THEN n END AS row_count, 'sqlite' AS db_type FROM c WHERE k % 7 > 0 "
+    "UNION ALL SELECT k::VARCHAR, -1, 'error', NULL, NULL, 'sqlite' FROM c WHERE k % 7 = 0 "
+    "UNION ALL SELECT k::VARCHAR, 0, 'success', 2, least(k % 3 + 1, (SELECT count(*) FROM embeddings WHERE label < 100)), 'sqlite' FROM c"
 )
 def case_runs(spark, sf_dir):
-    """Predicted and gold statements of two cases; the second has no prediction and a gold statement that fails."""
+    """A case for each nation: predicted statements, some of which fail or are missing, and gold ones that search."""
     session = VectorSession(spark, sf_dir, default=vectorize.TableEmbedder({"vec 17": _vector_of(spark, sf_dir, 17)}, 64), tables=("nation", "embeddings"))
-    near = "SELECT vec_id FROM embeddings WHERE embedding MATCH lembed('m', 'vec 17') AND k = 4 AND label < 100"
-    cases = [
-        {"query_id": "q1", "predicted_sql": "SELECT * FROM nation", "sql_candidate": ["SELECT n_name FROM nation WHERE n_regionkey = 2", near]},
-        {"query_id": "q2", "predicted_sql": None, "sql_candidate": ["SELECT nothing FROM nation"]},
-    ]
-    return session.run_cases(cases, _folder(spark)).select("query_id", "run_id", "status", "integration_level", "row_count")
+    k = F.col("n_nationkey")
+    near = F.concat(F.lit("SELECT vec_id FROM embeddings WHERE embedding MATCH lembed('m', 'vec 17') AND label < 100 AND k = "), (k % 3 + 1).cast("string"))
+    cases = _nation_statements(spark, sf_dir).select(k.cast("string").alias("query_id"), F.when(k % 7 > 0, F.col("sql")).alias("predicted_sql"), F.array(near).alias("sql_candidate"))
+    return session.run_cases(cases, _folder(spark)).select("query_id", "run_id", "status", "integration_level", "row_count", "db_type")
+
+
+@query("SELECT n_nationkey, n_name || ' ' || n_regionkey AS body, CASE WHEN n_nationkey < 5 THEN 1 ELSE 0 END AS added_later, true AS has_vector FROM nation")
+def vectors_of_changed_rows(spark, sf_dir):
+    """A second run embeds only what a table has gained: texts of five nations here, while those of the others are known."""
+    store, early, n = _folder(spark), _folder(spark), _read(spark, sf_dir, "nation")
+    rows = n.select("n_nationkey", F.concat_ws(" ", "n_name", F.col("n_regionkey").cast("string")).alias("body"))
+    vectorize.remember(rows.filter("n_nationkey >= 5"), ["body"], store, vectorize.HashEmbedder)
+    spark.read.parquet(store).select("digest", F.lit(0).alias("later")).write.parquet(early)
+    first = spark.read.parquet(early)
+    vectorize.remember(rows, ["body"], store, vectorize.HashEmbedder)
+    out = vectorize.with_vectors(rows, ["body"], store).withColumn("digest", F.sha2("body", 256)).join(first, "digest", "left")
+    return out.select("n_nationkey", "body", F.coalesce("later", F.lit(1)).alias("added_later"), F.col("body_embedding").isNotNull().alias("has_vector"))
 
 
 @query("SELECT id, CAST(bucket AS BIGINT) AS bucket, count(*) AS n FROM (SELECT doc_id AS id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS bucket FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents) WHERE w <> '') GROUP BY 1, 2")

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache, reduce
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: A store of vectors by the digests of their texts.
+STORE = "digest string, embedding array<float>"
+
+
 class Embedder(Protocol):
     """Turns batches of texts into vectors of ``dim`` elements. Made in Python workers, by what ``vectorize`` is given."""
 
@@ -79,27 +84,64 @@ def vectorize(df: DataFrame, columns: list[str], make: Callable[[], Embedder], b
     return df.withColumns({f"{c}_embedding": column(c) for c in columns})
 
 
-def vectorize_database(spark: SparkSession, tables: dict[str, str], columns: dict[str, list[str]], out: str, make: Callable[[], Embedder]) -> DataFrame:
+def vectorize_database(spark: SparkSession, tables: dict[str, str], columns: dict[str, list[str]], out: str, make: Callable[[], Embedder], threads: int = 4) -> DataFrame:
     """Writes each table of a database with its vector columns below out. Report: (table, status, rows, error).
 
-    tables: name -> path; columns: name -> text columns to embed. A table that was written whole
-    before, as its commit marker shows, is left as it is, so a run that broke off is resumed by running it again. A table that
+    tables: name -> path; columns: name -> text columns to embed. Tables are written side by side. One that was written whole
+    before, as its commit marker shows, is left as it is, so a run that broke off is resumed by running it again; where texts change, see ``remember``. A table that
     fails doesn't stop the others.
     """
-    report = []
-    for name, path in sorted(tables.items()):
+
+    def one(name: str, path: str) -> tuple:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}.parquet/_SUCCESS")
         if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            report.append((name, "present", spark.read.parquet(f"{out}/{name}.parquet").count(), None))
-            continue
+            return name, "present", spark.read.parquet(f"{out}/{name}.parquet").count(), None
         try:
             vectorize(spark.read.parquet(path), columns.get(name, []), make).write.mode("overwrite").parquet(f"{out}/{name}.parquet")
-            report.append((name, "written", spark.read.parquet(f"{out}/{name}.parquet").count(), None))
-        except Exception as e:  # noqa: BLE001  reported; the next table is tried
-            report.append((name, "failed", None, str(e).splitlines()[0]))
+            return name, "written", spark.read.parquet(f"{out}/{name}.parquet").count(), None
+        except Exception as e:  # noqa: BLE001  reported; the other tables are tried
+            return name, "failed", None, str(e).splitlines()[0]
+
+    with ThreadPoolExecutor(threads) as pool:
+        report = list(pool.map(lambda t: one(*t), sorted(tables.items())))
     return spark.createDataFrame(report, "table string, status string, rows long, error string")
 
 
+def _text_id(column: str) -> Column:
+    return F.sha2(F.coalesce(F.col(f"`{column}`"), F.lit("")), 256)
+
+
+def remember(rows: DataFrame, columns: list[str], store: str, make: Callable[[], Embedder], steps: int = 1) -> int:
+    """Embeds those texts of the columns that a store lacks, and appends them; returns how many.
+
+    The store is a table of (digest, embedding) at a path, for texts of any table: equal texts are embedded once, rows that
+    didn't change not at all, and the store is only ever added to. With ``steps`` the texts are dealt by their digests and added a share at a time, so a
+    run that breaks off loses one share at most.
+    """
+    spark = rows.sparkSession
+    found = reduce(DataFrame.unionByName, [rows.select(_text_id(c).alias("digest"), F.coalesce(F.col(f"`{c}`"), F.lit("")).alias("text")) for c in columns])
+    added = 0
+    for step in range(steps):
+        todo = found.filter(F.pmod(F.xxhash64("digest"), F.lit(steps)) == step).groupBy("digest").agg(F.any_value("text").alias("text"))
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+        exists = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        before = spark.read.schema(STORE).parquet(store).count() if exists else 0
+        if exists:
+            todo = todo.join(spark.read.schema(STORE).parquet(store).select("digest"), "digest", "left_anti")
+        vectorize(todo, ["text"], make).select("digest", F.col("text_embedding").alias("embedding")).write.mode("append").parquet(store)
+        added += spark.read.schema(STORE).parquet(store).count() - before
+    return added
+
+
+def with_vectors(rows: DataFrame, columns: list[str], store: str) -> DataFrame:
+    """Adds <column>_embedding from a store; null where the store lacks a text."""
+    known = rows.sparkSession.read.schema(STORE).parquet(store)
+    for c in columns:
+        mine = known.select(F.col("digest").alias("__d"), F.col("embedding").alias(f"{c}_embedding"))
+        rows = rows.join(mine, _text_id(c) == F.col("__d"), "left").drop("__d")
+    return rows
+
+
 def vectorize_images(rows: DataFrame, path_col: str, images: str, make: Callable[[], object], spark: SparkSession) -> DataFrame:
     """Adds image_embedding from the files under ``images``; files that are missing or can't be read give zeros.
 

@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from .functions import vector
 from .functions.compat import Unsupported
 from .operators.vectorize import Embedder
-from .plans.classify import integration_level
+from .plans.classify import with_level
 from .plans.vectorsql import VectorSqlError, rewrite
 from .sources import catalog
 
 
+#: What is kept of a statement that ran.
+STATUS = "id string, sql string, status string, columns array<string>, row_count long, message string, path string"
+
+
 @dataclass
 class QueryResult:
     """status success or error; the rows stay a lazy frame unless they were collected."""
@@ -138,31 +142,84 @@ class VectorSession:
             done.set()
             self.spark.removeTag(tag)
 
-    def run_cases(self, cases: list[dict], folder: str, dialect: str = "sqlite", timeout: float = 60.0, threads: int = 8) -> DataFrame:
+    def run_statements(self, statements: DataFrame, folder: str, dialect: str = "sqlite", sql_col: str = "sql", timeout: float = 60.0, threads: int = 8, flush: int = 32) -> DataFrame:
+        """Runs each distinct statement of a table once. Returns what is known of them: id (MD5 of the text), sql, status, columns, row_count, message, path.
+
+        Statements stream to the driver, which has ``threads`` of them in hand, each in a scheduler pool of its own; their rows stay in
+        ``folder``. Every ``flush`` results are appended to a table there, so a run that broke off is resumed by
+        running it again: statements with a result, an error too, aren't run anew.
+        """
+        folder = folder.rstrip("/")
+        known, lock, held = f"{folder}/status", threading.Lock(), []
+        have = self._status(known)
+        todo = statements.filter(F.col(sql_col).isNotNull()).select(F.md5(sql_col).alias("id"), F.col(sql_col).alias("sql")).dropDuplicates(["id"])
+        if have is not None:
+            todo = todo.join(have.select("id"), "id", "left_anti")
+        room, pool, running = threading.BoundedSemaphore(threads), ThreadPoolExecutor(threads), []
+
+        def keep(rows: list[tuple]) -> None:
+            if rows:
+                self.spark.createDataFrame(rows, STATUS).coalesce(1).write.mode("append").parquet(known)
+
+        def one(name: str, text: str) -> None:
+            try:
+                self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"vsql-{threading.get_ident()}")
+                path = f"{folder}/rows/{name}"
+                r = self.run_into(text, path, dialect, timeout)
+                row = (name, text, r["status"], r["columns"], r["row_count"], r["message"], path if r["status"] == "success" else None)
+                with lock:
+                    held.append(row)
+                    full = held[:] if len(held) >= flush else []
+                    if full:
+                        held.clear()
+                    keep(full)
+            finally:
+                room.release()
+
+        try:
+            for row in todo.toLocalIterator():
+                room.acquire()
+                running = [f for f in running if not f.done() or f.result()]
+                running.append(pool.submit(one, row["id"], row["sql"]))
+            for f in running:
+                f.result()
+        finally:
+            pool.shutdown(wait=True)
+            keep(held)
+        have = self._status(known)
+        return have if have is not None else self.spark.createDataFrame([], STATUS)
+
+    def _status(self, path: str) -> DataFrame | None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return None
+        return self.spark.read.schema(STATUS).parquet(path).dropDuplicates(["id"])
+
+    def run_cases(self, cases: list[dict] | DataFrame, folder: str, dialect: str = "sqlite", timeout: float = 60.0, threads: int = 8, schema: str | None = None) -> DataFrame:
         """Runs the predicted statement of each case and every gold one; a row for each.
 
-        cases: query_id, predicted_sql and sql_candidate (else sql), as read from a case file. Columns: query_id,
-        run_id (-1 for the prediction), sql, integration_level, status, columns, row_count, message, and
-        path, where the rows lie. A case without a prediction has an error. Equal statements run once.
+        cases: query_id, predicted_sql and sql_candidate (else sql), as read from a case file or a table of it. Columns: query_id,
+        run_id (-1 for the prediction), sql, integration_level, status, columns, row_count, message,
+        path, where the rows lie, db_type and schema, the text that describes the database. A case without a prediction has an error. Equal statements run once; a
+        broken run is resumed as in ``run_statements``.
         """
-        runs = []
-        for case in cases:
-            gold = case.get("sql_candidate") or ([case["sql"]] if case.get("sql") else [])
-            runs += [(case["query_id"], k, s) for k, s in [(-1, case.get("predicted_sql")), *enumerate(gold)]]
-        texts = sorted({s for _, _, s in runs if s})
-        with ThreadPoolExecutor(threads) as pool:
-            found = dict(zip(texts, pool.map(lambda i: self.run_into(texts[i], f"{folder.rstrip('/')}/rows-{i:06d}", dialect, timeout), range(len(texts)))))
-        missing = {"status": "error", "columns": [], "row_count": None, "message": "no predicted statement"}
-        out = []
-        for query_id, run_id, s in runs:
-            r = found[s] if s else missing
-            path = f"{folder.rstrip('/')}/rows-{texts.index(s):06d}" if s and r["status"] == "success" else None
-            out.append((str(query_id), run_id, s, integration_level(s) if s else None, r["status"], r["columns"], r["row_count"], r["message"], path))
-        return self.spark.createDataFrame(out, "query_id string, run_id int, sql string, integration_level int, status string, columns array<string>, row_count long, message string, path string")
+        if not isinstance(cases, DataFrame):
+            cases = self.spark.createDataFrame([(str(c["query_id"]), c.get("predicted_sql"), c.get("sql_candidate"), c.get("sql")) for c in cases], "query_id string, predicted_sql string, sql_candidate array<string>, sql string")
+        have = set(cases.columns)
+        gold = F.when(F.size("sql_candidate") > 0, F.col("sql_candidate")) if "sql_candidate" in have else F.lit(None).cast("array<string>")
+        single = F.when(F.col("sql").isNotNull(), F.array("sql")) if "sql" in have else F.lit(None).cast("array<string>")
+        wanted = F.concat(F.array("predicted_sql"), F.coalesce(gold, single, F.array().cast("array<string>")))
+        runs = cases.select(F.col("query_id").cast("string").alias("query_id"), F.posexplode(wanted).alias("i", "sql")).withColumn("run_id", F.col("i") - 1).drop("i")
+        found = self.run_statements(runs, folder, dialect, "sql", timeout, threads).select(F.col("sql").alias("__s"), "status", "columns", "row_count", "message", "path")
+        out = with_level(runs.join(found, F.col("sql") == F.col("__s"), "left").drop("__s"))
+        none = F.col("sql").isNull()
+        return out.select(
+            "query_id", "run_id", "sql", "integration_level", F.when(none, "error").otherwise(F.col("status")).alias("status"), F.coalesce("columns", F.array().cast("array<string>")).alias("columns"), "row_count",
+            F.when(none, "no predicted statement").otherwise(F.col("message")).alias("message"), "path", F.lit(dialect).alias("db_type"), F.lit(schema).cast("string").alias("schema"),
+        )
 
     def runnable(self, statements: DataFrame, folder: str, dialect: str = "sqlite", sql_col: str = "sql", timeout: float = 60.0) -> DataFrame:
         """Keeps statements that run, with their column_count and row_count. For curated statement sets, of which one per template is enough."""
-        texts = [r[0] for r in statements.select(sql_col).distinct().toLocalIterator() if r[0]]
-        known = self.run_cases([{"query_id": i, "predicted_sql": s} for i, s in enumerate(texts)], folder, dialect, timeout).filter("status = 'success'")
+        known = self.run_statements(statements, folder, dialect, sql_col, timeout).filter("status = 'success'")
         known = known.select(F.col("sql").alias("__s"), F.size("columns").alias("column_count"), "row_count")
         return statements.join(known, F.col(sql_col) == F.col("__s")).drop("__s")
