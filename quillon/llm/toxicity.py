@@ -6,12 +6,12 @@ bytes that the toxic one saves are its distance. A document's distances (mean, t
 largest, largest) are calibrated to a probability on folds that the dictionaries of that
 fold have not seen, and cut at a threshold.
 
-Words are first recoded to symbols of fixed width, a stem's and the word's, so that a
+Words are first recoded to symbols of fixed width, hashes of whole words, so that a
 match costs Zstandard the same few bytes whether a word is short or long, and
 chance matches of letters cannot occur. Dictionaries are raw content, not the work of
 Zstandard's own trainer, which fills them with what is frequent rather than with what
-tells the classes apart (figures in the README): the COMMON symbols of highest document
-frequency in ordinary texts, and in the toxic one also those over-represented there.
+tells the classes apart (figures in the README): every symbol that one of COMMON ordinary
+texts has, and in the toxic one also those over-represented there.
 
 Fitting sees a bounded sample: at most SAMPLE documents of each label, in hash order of
 their ids. Calibration weights a sampled document by the labels it stands for, so that
@@ -39,10 +39,10 @@ from ._common import small_batches
 
 #: Labelled documents of each label that fitting sees at most.
 SAMPLE = 2000
-#: Words of a window, bytes of a symbol, letters of a stem, Zstandard's level.
-WINDOW_WORDS, SYMBOL, STEM, LEVEL = 16, 6, 5, 6
-#: Size of the ordinary dictionary in symbols; over-represented: in OVER times as large a share of toxic texts, and in one of RARE of them at least.
-COMMON, OVER, RARE = 680, 10.0, 100
+#: Words of a window, bytes of a symbol, Zstandard's level.
+WINDOW_WORDS, SYMBOL, LEVEL = 16, 12, 6
+#: Ordinary symbols: in one of COMMON ordinary texts, and in two, at least; over-represented: in OVER times as large a share of toxic texts, and in one of RARE of them, and in two, at least.
+COMMON, OVER, RARE = 400, 10.0, 100
 WORDS_KEPT = 300_000
 _WORD = re.compile(r"\w+")
 
@@ -89,23 +89,21 @@ def symbols(word: str) -> bytes:
     if found is None:
         if len(_SYMBOLS) >= WORDS_KEPT:
             _SYMBOLS.clear()
-        stem = hashlib.blake2b(word[:STEM].encode("utf-8", "replace"), digest_size=SYMBOL, person=b"stem").digest()
-        found = _SYMBOLS[word] = stem + hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=SYMBOL, person=b"word").digest()
+        found = _SYMBOLS[word] = hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=SYMBOL, person=b"word").digest()
     return found
 
 
 def _document_frequencies(texts: list[str]) -> Counter:
     out: Counter = Counter()
     for text in texts:
-        pairs = {symbols(w) for w in _WORD.findall(text.lower())}
-        out.update({p[:SYMBOL] for p in pairs} | {p[SYMBOL:] for p in pairs})
+        out.update({symbols(w) for w in _WORD.findall(text.lower())})
     return out
 
 
 def train_dictionaries(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes]:
     """Raw-content dictionaries; the likeliest symbols stand last, where offsets are smallest."""
     plain, bad = _document_frequencies(ordinary), _document_frequencies(toxic)
-    common = sorted(plain, key=lambda s: (-plain[s], s))[:COMMON]
+    common = sorted((s for s, n in plain.items() if n >= max(2, len(ordinary) / COMMON)), key=lambda s: (-plain[s], s))
     least = max(2, len(toxic) // RARE)
     rate = lambda s: (bad[s] / len(toxic)) / ((plain[s] + 0.5) / (len(ordinary) + 1))
     over = sorted((s for s, n in bad.items() if n >= least and rate(s) >= OVER), key=lambda s: (bad[s], s))
