@@ -65,13 +65,13 @@ _SHAPES: dict[str, int] = {}
 
 
 def _shape(word: str) -> int:
-    """Bucket of a word's shape: runs of capitals, letters, digits, and symbols as they are."""
+    """Bucket of a word's shape: runs of capitals, letters, digits, and symbols as they are, and the length's order of magnitude."""
     found = _SHAPES.get(word)
     if found is None:
         if len(_SHAPES) >= WORDS_KEPT:
             _SHAPES.clear()
         shape = "".join(k for k, _ in itertools.groupby("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
-        found = _SHAPES[word] = zlib.crc32(f"{shape}/{min(len(word), 12) // 3}".encode("utf-8", "replace")) % (WIDTH - 2) + 2
+        found = _SHAPES[word] = zlib.crc32(f"{shape}/{len(word).bit_length()}".encode("utf-8", "replace")) % (WIDTH - 2) + 2
     return found
 
 
