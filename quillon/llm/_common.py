@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -48,6 +49,39 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
+class BucketedTable:
+    """A Parquet table at a path, bucketed and sorted by a key, that outlives its session.
+
+    Its definition lies beside its rows. The default catalog forgets tables with their session, so a later
+    one declares the table anew over the files that are there. The path must be one that all executors share.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, columns: str, key: str, buckets: int):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._at = jvm.org.apache.hadoop.fs.Path(self.path)
+        self._system = self._at.getFileSystem(conf)
+        if not self._system.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/definition/_SUCCESS")):
+            spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/definition")
+        self.buckets = spark.read.parquet(f"{self.path}/definition").first()[0]
+        self._system.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{self.path}/rows"))
+        self.name = f"bucketed_{hashlib.md5(self.path.encode()).hexdigest()}"
+        where = f"{self.path}/rows".replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{where}'")
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def append(self, rows: DataFrame) -> None:
+        """rows: dealt and sorted as the table is."""
+        rows.select(*self.table().columns).write.insertInto(self.name)
+
+    def drop(self) -> None:
+        """Removes the files too."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self._system.delete(self._at, True)
+
+
 def splits(rows: int, per_split: int = 10_000, least: int = 64) -> int:
     """Into how many hash splits a key is dealt so that no split of it grows beyond about per_split rows."""
     return max(least, -(-rows // per_split))

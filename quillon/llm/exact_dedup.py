@@ -11,12 +11,10 @@ adds nothing; other columns of the input are never read by the index.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import join_grouped, materialise
+from ._common import BucketedTable, join_grouped, materialise, scratch_path
 
 SCHEMA = "digest binary, keep_id bigint, group_size bigint, keep_rows bigint"
 #: Digests that a bucket of a new index is meant to hold.
@@ -28,25 +26,18 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest"))
 
 
-class DigestIndex:
-    """Digests seen so far, in table ``name`` of the warehouse, bucketed and sorted by digest.
+class DigestIndex(BucketedTable):
+    """Digests seen so far, at a path, bucketed and sorted by digest; later sessions open it by that path.
 
-    A table that exists keeps its buckets; a new one gets buckets for ``expected`` digests.
+    An index that exists keeps its buckets; a new one gets buckets for ``expected`` digests.
     """
 
-    def __init__(self, spark: SparkSession, name: str, expected: int = 0):
-        self.spark, self.name = spark, name
-        if not spark.catalog.tableExists(name):
-            buckets = max(8, -(-expected // BUCKET_ROWS))
-            spark.createDataFrame([], SCHEMA).write.format("parquet").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
-        self.buckets = int(spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Num Buckets'").first()["data_type"])
+    def __init__(self, spark: SparkSession, path: str, expected: int = 0):
+        super().__init__(spark, path, SCHEMA, "digest", max(8, -(-expected // BUCKET_ROWS)))
 
     @staticmethod
     def temporary(batch: DataFrame) -> DigestIndex:
-        return DigestIndex(batch.sparkSession, f"digest_index_{uuid.uuid4().hex}", batch.count())
-
-    def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+        return DigestIndex(batch.sparkSession, scratch_path(batch.sparkSession, "digest-index"), batch.count())
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """batch: (id, digest). Appends the digests that the index lacks, with the largest id and the row count of each; returns what was new."""
@@ -54,7 +45,7 @@ class DigestIndex:
         fresh = per_id.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"), F.max_by("n", F.coalesce("id", F.lit(-(2**63)))).alias("keep_rows"))
         fresh = materialise(fresh.join(self.table().select("digest").hint("merge"), "digest", "left_anti"), "fresh")
         # dealt as the table is, so each task writes one sorted file of one bucket
-        fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
+        self.append(fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest"))
         return fresh
 
     def decide(self, batch: DataFrame) -> DataFrame:
@@ -62,9 +53,6 @@ class DigestIndex:
         total = self.table().agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
         return join_grouped(batch, self.table(), "digest", "group_size", total, ["id"])
 
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
     """One row per document: id, digest, keep_id, group_size, keep_rows (rows having both that id and that text).
