@@ -27,7 +27,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import BucketedTable, materialise
 
 
 @dataclass(frozen=True)
@@ -167,33 +167,24 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select(F.explode("seen").alias("trigram"), "key").distinct()
 
 
-class TrigramIndex:
-    """A persistent index of all trigrams, in table ``name`` of the warehouse: bucketed and sorted by trigram.
+class TrigramIndex(BucketedTable):
+    """A persistent index of all trigrams, at a path: bucketed and sorted by trigram; later sessions open it by that path.
 
     It serves any rules, later ones too: a query reads the buckets and row groups of its trigrams
     alone. Documents are indexed once; those that are there already add nothing.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 64):
-        self.spark, self.name = spark, name
-        if not spark.catalog.tableExists(name):
-            spark.createDataFrame([], "trigram string, key binary").write.format("parquet").bucketBy(buckets, "trigram").sortBy("trigram").saveAsTable(name)
-        self.buckets = int(spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Num Buckets'").first()["data_type"])
-
-    def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        super().__init__(spark, path, "trigram string, key binary", "trigram", buckets)
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         fresh = build_index(docs, id_col, text_col).join(self.table().hint("merge"), ["trigram", "key"], "left_anti")
         # salted: a frequent trigram has a posting in nearly every document, and its bucket is written by several tasks
-        fresh.repartition(4 * self.buckets, "trigram", F.pmod(F.xxhash64("key"), F.lit(16))).sortWithinPartitions("trigram").write.insertInto(self.name)
+        self.append(fresh.repartition(4 * self.buckets, "trigram", F.pmod(F.xxhash64("key"), F.lit(16))).sortWithinPartitions("trigram"))
 
     def postings(self, trigrams: list[str]) -> DataFrame:
         return self.table().filter(F.col("trigram").isin(*trigrams))
 
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(key, kinds): documents whose postings satisfy the queries of these rules."""
@@ -210,6 +201,25 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return found.select("key", kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
+#: Bits of a bitmap, bits for each candidate, and bitmaps that are broadcast at most, 4 KB each.
+BITS, PER_CANDIDATE, BITMAPS = 32_768, 16, 8192
+
+
+def _may_be(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Those rows whose key may be one of chosen's: a filter of hashed bits, so that few texts that are no candidates move.
+
+    The bitmaps are 32 MB at most, whatever the number of candidates; a join must follow, as other keys may share a bit.
+    """
+    bitmaps = min(BITMAPS, max(1, -(-PER_CANDIDATE * chosen.count() // BITS)))
+    place = F.pmod(F.xxhash64("key"), F.lit(bitmaps * BITS))
+    marked = chosen.select(place.alias("place")).groupBy(F.floor(F.col("place") / BITS).alias("map")).agg(F.bitmap_construct_agg(F.pmod("place", F.lit(BITS))).alias("bits"))
+    bit = F.pmod("place", F.lit(BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.expr("shiftright(byte, bit % 8) & 1 = 1")
+    met = rows.withColumn("place", place).join(F.broadcast(marked), F.floor(F.col("place") / BITS) == F.col("map"))
+    return met.withColumn("bit", bit).withColumn("byte", byte).filter(set_).select(*rows.columns)
+
+
 def _matches(rows: DataFrame, rule: Rule) -> DataFrame:
     """rows: (key, text). (key, kind, pos, gap, size, part) for every match, failing ones too."""
     pattern = ("(?i)" if rule.ignore_case else "") + rule.pattern
@@ -235,7 +245,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     if indexed:
         wanted = wanted_trigrams(indexed)
         postings = index.postings(wanted) if index else materialise(build_index(docs, id_col, text_col, wanted), "postings")
-        chosen = materialise(rows.join(candidates(postings, indexed), "key"), "candidates")
+        met = materialise(candidates(postings, indexed), "met")
+        chosen = materialise(_may_be(rows, met).join(met, "key"), "candidates")
         parts += [_matches(chosen.filter(F.array_contains("kinds", r.kind)), r) for r in indexed]
     found = parts[0]
     for p in parts[1:]:

@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,8 +52,8 @@ def test_op1_equals_brute_force(spark):
     assert got == want and any(w[5] for w in want.values())
 
 
-def test_a_persistent_index_serves_later_rules(spark, docs):
-    index = secrets.TrigramIndex(spark, "trigrams", buckets=4)
+def test_a_persistent_index_serves_later_rules(spark, docs, tmp_path):
+    index = secrets.TrigramIndex(spark, str(tmp_path / "trigrams"), buckets=4)
     some = docs.select("doc_id", "text")
     index.add(some.filter("doc_id < 9"))
     index.add(some)
@@ -88,23 +90,59 @@ def test_exact_dedup(spark, docs, no_docs):
     assert exact_dedup.drop_duplicates(no_docs).count() == 0 and exact_dedup.exact_groups(no_docs).count() == 0
 
 
-def test_index_persists_over_batches(spark, docs):
-    index = exact_dedup.DigestIndex(spark, "seen_texts")
+def test_index_persists_over_batches(spark, docs, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "seen texts'"))
     first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
     assert sorted(map(tuple, exact_dedup.drop_duplicates(first, index=index).collect())) == [(2, "b"), (3, "a")]
-    again = exact_dedup.DigestIndex(spark, "seen_texts", expected=10**9)
+    again = exact_dedup.DigestIndex(spark, str(tmp_path / "seen texts'"), expected=10**9)
     assert again.buckets == index.buckets == 8
     second = spark.createDataFrame([(9, "a"), (8, "c")], "doc_id long, text string")
     assert {r["id"]: r["keep_id"] for r in exact_dedup.exact_groups(second, index=again).collect()} == {9: 3, 8: 8}
     assert again.table().count() == 3 and exact_dedup.drop_duplicates(second, index=again).count() == 0
     index.drop()
     exact_dedup.exact_groups(docs).count(), exact_dedup.drop_duplicates(docs).count()
-    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
-
-
-def test_buckets_follow_the_size(spark, monkeypatch):
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
+OTHER_SESSION = """
+import sys
+from pyspark.sql import SparkSession
+from quillon.llm import exact_dedup, secrets
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1] + "/shared").config("spark.sql.warehouse.dir", sys.argv[1] + "/own").getOrCreate()
+docs = spark.createDataFrame([(1, "a"), (2, "token: abcdefgh"), (3, "a")], "doc_id long, text string")
+exact_dedup.drop_duplicates(docs, index=exact_dedup.DigestIndex(spark, sys.argv[1] + "/digests"))
+secrets.TrigramIndex(spark, sys.argv[1] + "/trigrams", buckets=4).add(docs)
+"""
+
+
+def test_indexes_of_an_earlier_session(spark, tmp_path):
+    done = subprocess.run([sys.executable, "-c", OTHER_SESSION, str(tmp_path)], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    more = spark.createDataFrame([(9, "a"), (8, "token: abcdefgh"), (7, "new")], "doc_id long, text string")
+    seen = exact_dedup.DigestIndex(spark, str(tmp_path / "digests"))
+    assert seen.buckets == 8 and seen.table().count() == 2
+    assert [r["doc_id"] for r in exact_dedup.drop_duplicates(more, index=seen).collect()] == [7] and seen.table().count() == 3
+    index = secrets.TrigramIndex(spark, str(tmp_path / "trigrams"))
+    before = index.table().count()
+    index.add(spark.createDataFrame([(2, "token: abcdefgh")], "doc_id long, text string"))
+    assert index.buckets == 4 and index.table().count() == before > 0
+    index.add(more)
+    found = {r["id"]: [s["kind"] for s in r["spans"]] for r in secrets.find_secrets(more, index=index).collect()}
+    assert found == {9: [], 8: ["assign"], 7: []}
+
+
+def test_the_bitmap_keeps_all_candidates(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BITMAPS", 2)
+    rows = spark.range(60_000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key"), "id")
+    chosen = rows.filter("id % 100 = 7").select("key")
+    kept = secrets._may_be(rows, chosen)
+    assert kept.columns == ["key", "id"] and kept.filter("id % 100 = 7").count() == 600 and 600 <= kept.count() < 3000
+    assert secrets._may_be(rows, chosen.limit(0)).count() == 0
+
+
+def test_buckets_follow_the_size(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 10)
-    index = exact_dedup.DigestIndex(spark, "sized_index", expected=195)
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "sized"), expected=195)
     assert index.buckets == 20
     index.drop()
 
