@@ -28,7 +28,10 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_minhash_dedup": minhash_dedup.ORACLE_SQL,
         "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op6_warc_zip": warc_zip.ORACLE_SQL,
+        "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
         "op11_conversation_repair": conversation_repair.ORACLE_SQL,
         "op12_chat_format": chat_format.ORACLE_SQL,
         "op13_vector_codes": vector_codes.ORACLE_SQL,
