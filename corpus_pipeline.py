@@ -3,6 +3,11 @@
 toxicity, exact dedup, MinHash near-dedup, mixing sources to target weights, packing.
 All stages but the last return the columns of documents; the last returns the packed
 pieces with their token ids.
+
+Defined results: null and empty texts pass the classifier and are equal to each other; the one that stays is
+near to nothing; the mix takes texts by their words, so one without any is not taken. Documents without an
+id go the same way, as one document where their texts are equal. Repeated rows of an id and text become one. An empty table gives
+empty stages. Other columns are carried along, whatever their names. Ties fall as each operator states.
 """
 
 from __future__ import annotations
