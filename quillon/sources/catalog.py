@@ -53,6 +53,30 @@ def jdbc(spark: SparkSession, url: str, table: str, timeout: int = 60, partition
     return reader.load()
 
 
+def server_keys(spark: SparkSession, url: str, tables: list[str], **options) -> DataFrame:
+    """(table_name, column_name, position, ref_table, ref_column) of a server's tables, as its driver tells: primary keys with their position, foreign keys with what they refer to.
+
+    tables: names as the server keeps them. What comes to the driver is a row per key column.
+    """
+    jvm = spark.sparkContext._jvm
+    props = jvm.java.util.Properties()
+    for k, v in options.items():
+        props.setProperty(k, str(v))
+    rows, con = [], jvm.java.sql.DriverManager.getConnection(url, props)
+    try:
+        about = con.getMetaData()
+        for t in tables:
+            found = about.getPrimaryKeys(None, None, t)
+            while found.next():
+                rows.append((t, found.getString("COLUMN_NAME"), int(found.getShort("KEY_SEQ")) - 1, None, None))
+            found = about.getImportedKeys(None, None, t)
+            while found.next():
+                rows.append((t, found.getString("FKCOLUMN_NAME"), None, found.getString("PKTABLE_NAME"), found.getString("PKCOLUMN_NAME")))
+    finally:
+        con.close()
+    return spark.createDataFrame(rows, "table_name string, column_name string, position int, ref_table string, ref_column string")
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, batch: int = 10_000, mode: str = "append", **options) -> None:
     """Vectors are written as JSON texts, which servers without arrays take."""
     flat = df.select(*[F.to_json(F.col(f"`{c}`")).alias(c) if t.startswith("array") else F.col(f"`{c}`") for c, t in df.dtypes])

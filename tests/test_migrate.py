@@ -40,6 +40,18 @@ def test_migration_reports_and_resumes(spark, server, tmp_path):
     assert set(again.values()) == {("written", 3)}
 
 
+def test_keys_of_a_server(spark, server):
+    con = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(server)
+    for text in (
+        "CREATE TABLE owners (a INT NOT NULL, b INT NOT NULL, PRIMARY KEY (b, a))",
+        "CREATE TABLE pets (id INT NOT NULL PRIMARY KEY, x INT, y INT, FOREIGN KEY (x, y) REFERENCES owners (b, a))",
+    ):
+        con.createStatement().execute(text)
+    con.close()
+    got = {tuple(r) for r in catalog.server_keys(spark, server, ["OWNERS", "PETS", "ABSENT"]).collect()}
+    assert got == {("OWNERS", "B", 0, None, None), ("OWNERS", "A", 1, None, None), ("PETS", "ID", 0, None, None), ("PETS", "X", None, "OWNERS", "B"), ("PETS", "Y", None, "OWNERS", "A")}
+
+
 def test_schema_texts(spark, server):
     catalog.write_jdbc(spark.range(1).selectExpr("id", "'x' AS body"), server, "described", mode="overwrite")
     got = {r["table_name"]: r["ddl"] for r in migrate.schema_texts(spark, {"described": catalog.jdbc(spark, server, "described"), "v": spark.range(1)}, "clickhouse").collect()}
