@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import compat, vector
-from .operators import corpus, knn, metrics, vectorize
+from .operators import corpus, knn, metrics, search_function, vectorize
 from .plans import classify
 from .session import VectorSession
 from .sources import catalog, dump, files, migrate, schemas, sqlite
-from .streaming import jobs
+from .streaming import jobs, state
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -1034,3 +1034,53 @@ def stream_hourly(spark, sf_dir):
 )
 def stream_sessions(spark, sf_dir):
     return jobs.sessions(_read(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+_DAYS = "SELECT event_type AS kind, date_trunc('day', ts) AS start, event_id AS key, abs(value - 50) AS distance, row_number() OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY abs(value - 50), event_id) AS rank FROM events"
+
+
+def _by_day(events: DataFrame) -> DataFrame:
+    return state.nearest_by_window(events, "event_type", None, None, 3, "event_id", "ts", "1 day", "0 seconds", distance=F.abs(F.col("value") - 50))
+
+
+def _days(found: DataFrame) -> DataFrame:
+    return found.select(F.col("group").alias("kind"), F.col("start").cast("timestamp_ntz").alias("start"), "key", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(f"SELECT kind, start, key, round(distance, 6) AS distance, rank FROM ({_DAYS}) WHERE rank <= 3")
+def nearest_by_day(spark, sf_dir):
+    """Of each kind of event the three of every day nearest to 50."""
+    return _days(_by_day(_read(spark, sf_dir, "events")))
+
+
+@query(f"SELECT kind, start, key, round(distance, 6) AS distance, rank FROM ({_DAYS}) WHERE rank <= 3 AND start < (SELECT date_trunc('day', max(ts)) FROM events)")
+def stream_nearest_by_day(spark, sf_dir):
+    """The same by a stream with keyed state and timers, which gives the days that are over. It runs in a session of its own."""
+    own, path = spark.newSession(), _folder(spark)
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    state.use_rocksdb(own)
+    events = own.readStream.schema(_read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a stream takes a single file by a pattern only
+    writer = _by_day(events).writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return _days(spark.read.schema("group string, start timestamp, key long, distance double, rank int").parquet(f"{path}/rows"))
+
+
+# ---- search as a table function ------------------------------------------------------------------------------------
+@query(
+    "SELECT e.vec_id, d.lang, round(list_distance(e.embedding, q.embedding), 6) AS distance FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 17) q WHERE e.vec_id IN (SELECT vec_id FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 17) WHERE label < 5 ORDER BY list_distance(embedding, q), vec_id LIMIT 10)"
+)
+def search_function_join(spark, sf_dir):
+    """The ten nearest rows among some labels, by the table function; the cut comes before the join."""
+    session = VectorSession(spark, sf_dir, tables=("embeddings", "documents"))
+    return session.sql(
+        "SELECT n.vec_id, d.lang, round(n.distance, 6) AS distance FROM (SELECT vec_id, distance FROM nearest(TABLE(SELECT vec_id, embedding FROM embeddings WHERE label < 5), 'embedding', "
+        "(SELECT embedding FROM embeddings WHERE vec_id = 17), 10, 'vec_id') ORDER BY distance, vec_id LIMIT 10) n JOIN documents d ON d.doc_id = n.vec_id"
+    )
+
+
+@query("SELECT vec_id, label, round(1 - list_cosine_similarity(embedding, q), 6) AS distance FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 23) ORDER BY 1 - list_cosine_similarity(embedding, q), vec_id LIMIT 25")
+def search_function_cosine(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings")
+    found = search_function.nearest_rows(rows, "embedding", _vector_of(spark, sf_dir, 23), 25, "vec_id", "cosine")
+    return found.select("vec_id", "label", F.round("distance", 6).alias("distance"))

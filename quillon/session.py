@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import vector
 from .functions.compat import Unsupported
+from .operators import search_function
 from .operators.vectorize import Embedder
 from .plans.classify import with_level
 from .plans.vectorsql import VectorSqlError, rewrite
@@ -48,6 +49,7 @@ class VectorSession:
         self.spark, self.embedders, self.default = spark, embedders or {}, default
         self._memo: dict[tuple[str, str], list[float]] = {}
         vector.register(spark, metric)
+        search_function.register(spark)
         if folder:
             found = tables or tuple(catalog.discover(spark, folder))
             catalog.register(spark, folder, found)
