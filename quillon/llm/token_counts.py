@@ -16,7 +16,7 @@ merges inside them run, which is read off their merge trees. These states are to
 to tabulate, so transitions are made as they occur. All distinct pieces of a batch
 take their transitions in lockstep; counts of pieces are kept per worker. Pieces of
 more than LONG bytes are cut into chunks, whose maps from entry state to exit state
-and emitted tokens are made in lockstep too and composed along the piece.
+and emitted tokens are made in lockstep too and composed by a parallel prefix scan.
 
 The library's handling of special strings is followed: they stand for one token each.
 
@@ -42,8 +42,8 @@ from ._shingles import _BASE, _INVERSE, U, _powers, mix
 from .packing import _bytes_of, tokenizer_path
 
 CHUNK, BATCH_CHARS, KEPT, LONG = 512, 1_000_000, 400_000, 256
-#: Chunk maps of long pieces that a worker keeps.
-MAPS = 20_000
+#: Bytes of all pieces whose possible tokens are found at once.
+STEPS = 1 << 17
 # character classes: other letters, digits, others, apostrophe, space, other white space, and letters of contractions
 LETTER, DIGIT, OTHER, APOS, SPACE, WHITE, STMD, R, V, ELL, E, RESET = range(12)
 # states: nothing read; in a run; white space runs of one and of more, ending in a space or not; contractions begun and done
@@ -197,8 +197,6 @@ class Transducer:
         self.tree, self.ends = _Table(tree), np.array(ends, np.int64)
         self._drop_unreachable()
         self.kept: dict[int, int] = {}
-        self.plain = None
-        self.maps: dict[tuple[bytes, bytes], tuple[bytes, int]] = {}
         self.split = re.compile("|".join(map(re.escape, self.special))) if self.special else None
 
     def _drop_unreachable(self) -> None:
@@ -252,126 +250,145 @@ class Transducer:
     def _in_chunks(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Long pieces. A state is the last tokens of the prefixes that a coming token may reach back to, with their counts.
 
-        All chunks of all pieces run in lockstep first, each from a guess of its entry state
-        that a run-up over the bytes before it gives. This yields a map from entry state to exit
-        state and emitted tokens; along a piece the maps are composed, and where a guess
-        was wrong the chunk's map is computed for the state that does occur, and kept.
+        A chunk's map says for each entry state which exit state and how many tokens follow. Chunks that read the same bytes share
+        one map. All chunks run in lockstep first, each from a guess of its entry state that a run-up over the bytes before it gives;
+        chunks of the same bytes begin theirs at different places, so that periodic pieces meet their phases. Then exit states that the
+        chunks coming next don't know yet run, all in lockstep again, until every map knows what its predecessors lead to. A
+        parallel prefix scan over all pieces composes the maps.
         """
-        span = max(LONG, self.longest)
-        piece = np.repeat(np.arange(len(start)), -(-size // span))
-        first = np.concatenate(([0], np.cumsum(-(-size // span))[:-1]))
+        span, chunks = max(LONG, self.longest), -(-size // max(LONG, self.longest))
+        piece, first = np.repeat(np.arange(len(start)), chunks), np.cumsum(chunks) - chunks
         at = (np.arange(len(piece)) - first[piece]) * span  # where in its piece a chunk begins
-        end, begin = np.minimum(at + span, size[piece]), np.maximum(0, at - 2 * self.longest)
-        order, states = np.argsort(begin - end, kind="stable"), [None] * len(piece)
-        for lo in range(0, len(order), 4096):
-            some = order[lo : lo + 4096]
-            for k, found in zip(some, self._lockstep(raw, start[piece[some]] + begin[some], (end - begin)[some], (at - begin)[some])):
-                states[k] = found
-        out, state = np.zeros(len(start), np.int64), b""
-        for k in range(len(piece)):
-            if len(self.maps) > MAPS:
-                self.maps.clear()
-            back = max(0, at[k] - self.longest)
-            text = raw[start[piece[k]] + back : start[piece[k]] + end[k]].tobytes()
-            entry, leave, emitted = states[k]
-            self.maps[text, entry if at[k] else b""] = leave, emitted
-            state = state if at[k] else b""
-            if (text, state) not in self.maps:
-                self.maps[text, state] = self._step(text, int(at[k] - back), state)
-            state, emitted = self.maps[text, state]
-            out[piece[k]] += emitted
-        return out
+        end, where = np.minimum(at + span, size[piece]), start[piece]
+        groups: dict[tuple[bool, bytes], int] = {}
+        heads = zip(at == 0, where + np.maximum(0, at - self.longest), where + end)
+        group = np.array([groups.setdefault((bool(head), raw[lo:hi].tobytes()), len(groups)) for head, lo, hi in heads])
+        by_group = np.argsort(group, kind="stable")
+        turn = np.empty(len(group), np.int64)  # how many chunks of the same bytes came before
+        turn[by_group] = np.arange(len(group)) - np.searchsorted(group[by_group], group[by_group])
+        one_of = by_group[np.searchsorted(group[by_group], np.arange(len(groups)))]
+        inner = np.flatnonzero(np.append(at[1:] > 0, False))
+        following: list[set[int]] = [set() for _ in groups]
+        for g, h in {*zip(group[inner].tolist(), group[inner + 1].tolist())}:
+            following[g].add(h)
+        ids: dict[bytes, int] = {b"": 0}
+        table: list[dict[int, tuple[int, int]]] = [{} for _ in groups]  # by group: entry state to exit state and emitted tokens
+
+        guessed = np.flatnonzero(turn < np.where(at == 0, 1, self.longest))
+        begin = np.where(at == 0, 0, np.maximum(0, at - 2 * self.longest - turn))
+        guessed = guessed[np.argsort((begin - end)[guessed], kind="stable")]
+        due = []
+        for lo in range(0, len(guessed), 4096):
+            some = guessed[lo : lo + 4096]
+            for k, (entry, leave, emitted) in zip(some, self._lockstep(raw, (where + begin)[some], (end - begin)[some], (at - begin)[some])):
+                entry, leave = ids.setdefault(entry if at[k] else b"", len(ids)), ids.setdefault(leave, len(ids))
+                table[group[k]][entry] = leave, emitted
+                due.append((group[k], leave))
+        while due:
+            unknown = {(h, state) for g, state in due for h in following[g] if state not in table[h]}
+            due, names = [], list(ids)
+            unknown = sorted(unknown, key=lambda x: at[one_of[x[0]]] - end[one_of[x[0]]])
+            for lo in range(0, len(unknown), 4096):
+                some = unknown[lo : lo + 4096]
+                ks = one_of[[h for h, _ in some]]
+                resume = np.array([np.frombuffer(names[state], "<i4").reshape(2, -1) for _, state in some]).astype(np.int64)
+                for (h, state), (_, leave, emitted) in zip(some, self._lockstep(raw, (where + at)[ks], (end - at)[ks], resume=resume)):
+                    leave = ids.setdefault(leave, len(ids))
+                    table[h][state] = leave, emitted
+                    due.append((h, leave))
+        return self._scan(group, at, first, table)
+
+    @staticmethod
+    def _scan(group: np.ndarray, at: np.ndarray, first: np.ndarray, table: list[dict[int, tuple[int, int]]]) -> np.ndarray:
+        """Tokens of each piece. A node is a chunk with one of its entry states; in each step a node's map takes in the equally long one after it."""
+        width = np.array([len(t) for t in table])[group]
+        offset = np.cumsum(width) - width
+        done = int(width.sum())
+        place = [{state: i for i, state in enumerate(t)} for t in table]
+        total = np.concatenate([*(np.array([n for _, n in table[g].values()], np.int64) for g in group), [0]])
+        after, known = np.full(done + 1, done), {}
+        for k in np.flatnonzero(np.append(at[1:] > 0, False)):
+            pair = group[k], group[k + 1]
+            if pair not in known:
+                known[pair] = np.array([place[pair[1]][leave] for leave, _ in table[pair[0]].values()])
+            after[offset[k] : offset[k] + width[k]] = offset[k + 1] + known[pair]
+        while (after != done).any():
+            total, after = total + total[after], after[after]
+        return total[offset[first]]
 
     def _state(self, last: np.ndarray, count: np.ndarray) -> bytes:
         """last, count: of the last prefixes, latest first."""
         return last.astype("<i4").tobytes() + (count - count[0]).astype("<i4").tobytes()
 
-    def _step(self, text: bytes, begin: int, state: bytes) -> tuple[bytes, int]:
-        """The map of one chunk for one entry state; the chunk begins at begin in text. Judgements on pairs of tokens are kept."""
-        if self.plain is None:
-            table = lambda t: {int(k): int(v) for k, v in zip(t.keys, t.values) if v >= 0}
-            self.plain = table(self.tree), self.ends.tolist(), {}
-        tree, ends, known = self.plain
-        seen = np.frombuffer(state, "<i4").reshape(2, -1)[:, : begin + 1][:, ::-1] if state else np.array([[-1], [0]])
-        gap = begin + 1 - seen.shape[1]
-        last, count = [-1] * gap + seen[0].tolist(), [0] * gap + seen[1].tolist()
-        for i in range(begin + 1, len(text) + 1):
-            node, found = 0, []
-            for at in range(i - 1, max(-1, i - 1 - self.longest), -1):
-                node = tree.get(node << 8 | text[at])
-                if node is None:
-                    break
-                if ends[node] >= 0:
-                    found.append((at, ends[node]))
-            for at, token in reversed(found):
-                pair = (last[at], token)
-                if pair[0] >= 0 and pair not in known:
-                    if len(known) > KEPT:
-                        known.clear()
-                    known[pair] = bool(self._side_by_side(np.array(pair[:1]), np.array(pair[1:]))[0])
-                if known[pair] if pair[0] >= 0 else at == 0:
-                    last.append(token)
-                    count.append(count[at] + 1)
-                    break
-        latest = [np.array(x[: -self.longest - 1 : -1]) for x in (last, count)]
-        short = self.longest - len(latest[0])
-        latest = [np.append(x, [fill] * max(0, short)) for x, fill in zip(latest, (-1, 0))]
-        return self._state(*latest), count[-1]
-
-    def _lockstep(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, entry: np.ndarray | None = None):
+    def _endings(self, raw: np.ndarray, start: np.ndarray, active: np.ndarray, low: int, high: int, alone: bool):
+        """The tokens that end after low to high - 1 bytes of each piece: where those of each step begin; lane, token and length, short ones first.
+
+        alone: no token begins before its piece.
+        """
+        steps = np.arange(low, high)
+        lanes = active[steps - 1]
+        step = np.repeat(steps, lanes)
+        lane = np.arange(len(step)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        node, found = np.zeros(len(step), np.int64), []
+        for back in range(1, self.longest + 1):
+            if alone:
+                inside = step >= back
+                step, lane, node = step[inside], lane[inside], node[inside]
+            node = self.tree.get(node.astype(U) << U(8) | raw[start[lane] + step - back].astype(U)).astype(np.int64)
+            alive = node >= 0
+            step, lane, node = step[alive], lane[alive], node[alive]
+            if not len(lane):
+                break
+            token = self.ends[node]
+            whole = token >= 0
+            found.append((step[whole], lane[whole], token[whole].astype(np.int64), np.full(int(whole.sum()), back)))
+        step, *rest = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(step, kind="stable")
+        return np.searchsorted(step[order], np.append(steps, high)), [x[order] for x in rest]
+
+    def _lockstep(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, entry: np.ndarray | None = None, resume: np.ndarray | None = None):
         """Pieces in order of falling size. State after i bytes: last token and count, for the last few i.
 
         Returns the counts; with entry, for each piece the state after entry bytes, the state at its end and the tokens emitted in between.
+        With resume, the same for what goes on from a given state: by piece, last tokens and counts of the prefixes before it, latest first.
         """
         n, longest, ring = len(start), int(size[0]), self.longest + 1
         last, count = np.full((ring, n), -1, np.int64), np.zeros((ring, n), np.int64)
         out = np.zeros(n, np.int64)
         active = np.searchsorted(-size, -np.arange(1, longest + 1), "right")  # pieces of at least i bytes
         entered, states = {}, [None] * n
+        if resume is not None:
+            before_it = -np.arange(self.longest) % ring
+            last[before_it], count[before_it] = resume[:, 0].T, resume[:, 1].T
 
         def state(i: int, k: int):
             rows = (i - np.arange(self.longest)) % ring
             last_, count_ = last[rows, k].copy(), count[rows, k].copy()
-            last_[i + 1 :], count_[i + 1 :] = -1, count_[0]
+            if resume is None:
+                last_[i + 1 :], count_[i + 1 :] = -1, count_[0]
             return self._state(last_, count_), int(count[i % ring, k])
 
+        window = max(1, STEPS // n)
         for i in range(1, longest + 1):
             m = active[i - 1]
-            lane, node = np.arange(m), np.zeros(m, np.int64)
-            found = []
-            for back in range(1, min(i, self.longest) + 1):
-                node = self.tree.get(node.astype(U) << U(8) | raw[start[lane] + i - back].astype(U)).astype(np.int64)
-                alive = node >= 0
-                lane, node = lane[alive], node[alive]
-                if not len(lane):
-                    break
-                token = self.ends[node]
-                is_token = token >= 0
-                found.append((lane[is_token], token[is_token], back))
-            done = np.zeros(m, bool)
-            for lane, token, back in reversed(found):
-                todo = ~done[lane]
-                lane, token = lane[todo], token[todo]
-                if not len(lane):
-                    continue
-                at = (i - back) % ring
-                before = last[at, lane]
-                first = before < 0
-                fits = first.copy() if back == i else np.zeros(len(lane), bool)
-                other = np.flatnonzero(~first)
-                fits[other] = self._side_by_side(before[other], token[other])
-                lane, token = lane[fits], token[fits]
-                done[lane] = True
-                last[i % ring, lane], count[i % ring, lane] = token, count[at, lane] + 1
+            if (i - 1) % window == 0:
+                low, bounds, found = i, *self._endings(raw, start, active, i, min(i + window, longest + 1), resume is None)
+            lane, token, back = (x[bounds[i - low] : bounds[i - low + 1]] for x in found)
+            before = last[(i - back) % ring, lane]
+            fits = (before < 0) & (back == i) if resume is None else np.zeros(len(lane), bool)
+            other = np.flatnonzero(before >= 0)
+            fits[other] = self._side_by_side(before[other], token[other])
+            lane, token, back = lane[fits], token[fits], back[fits]
+            last[i % ring, lane], count[i % ring, lane] = token, count[(i - back) % ring, lane] + 1
             ended = size[:m] == i
             out[:m][ended] = count[i % ring, :m][ended]
-            if entry is not None:
-                for k in np.flatnonzero(entry[:m] == i):
+            if entry is not None or resume is not None:
+                for k in np.flatnonzero(entry[:m] == i) if entry is not None else ():
                     entered[k] = state(i, k)
                 for k in np.flatnonzero(ended):
                     (before_, had), (after, has) = entered.get(k, (b"", 0)), state(i, k)
                     states[k] = before_, after, has - had
-        return out if entry is None else states
+        return out if entry is None and resume is None else states
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""

@@ -42,6 +42,16 @@ def test_long_pieces_compose_from_chunks(library):
     assert machine.count(texts[::-1]).tolist() == expected[::-1]
 
 
+def test_maps_of_periodic_and_repeated_chunks(library, monkeypatch):
+    """Chunks of equal bytes share a map with many entry states; pieces begin and end at any phase."""
+    texts = ["=" * n for n in (256, 384, 512, 4096, 20_001)] + ["=-_" * 2000, "==-" * 3001, "-" * 300 + "=" * 3000 + "-" * 2000, "ab" * 700 + "a" * 2000, "\u6f22" * 2000 + "\u5b57" * 300]
+    texts += ["=" * 5000 + " " + "a" * 700 + " " + "=" * 5001]
+    expected = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.Transducer(PATH).count(texts).tolist() == expected
+    monkeypatch.setattr(token_counts, "STEPS", 1)  # candidates found step by step
+    assert token_counts.Transducer(PATH).count(texts[:3] + texts[5:7]).tolist() == expected[:3] + expected[5:7]
+
+
 def test_op8_and_op2_equal_the_library(spark, library):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     ids = {r["doc_id"]: library.encode(r["text"] or "", add_special_tokens=False).ids for r in rows}
