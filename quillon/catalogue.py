@@ -973,6 +973,36 @@ def valid_tables(spark, sf_dir):
     return schemas.valid_tables(described).select("db_id", "table_name", F.size("foreign_keys").cast("long").alias("keys"))
 
 
+_TABLE = '{"table_name": "%s", "column_names": ["id", "ref"], "column_types": ["INT", "INT"], "column_descriptions": [%s]}'
+_KEY = '{"source_table": "%s", "column_in_source_table": "ref", "referenced_table": "%s"%s}'
+_GOOD, _OTHER, _UNEVEN = _TABLE % ("Orders", '"a", "b"'), _TABLE % ("parts", '"a", "b"'), _TABLE % ("odd", '"a"')
+_TO = ', "column_in_referenced_table": "id"'
+#: Schemas as texts: cut off, without keys, with an uneven table, with a key to no table, with a key that lacks a column, empty.
+_TEXTS = (
+    '{"tables": [',
+    '{"tables": [%s]}' % _GOOD,
+    '{"tables": [%s, %s], "foreign_keys": [%s, %s]}' % (_GOOD, _UNEVEN, _KEY % ("orders", "ORDERS", _TO), _KEY % ("orders", "odd", _TO)),
+    '{"tables": [%s, %s], "foreign_keys": [%s]}' % (_GOOD, _OTHER, _KEY % ("orders", "gone", _TO)),
+    '{"tables": [%s, %s], "foreign_keys": [%s, %s]}' % (_GOOD, _OTHER, _KEY % ("parts", "orders", _TO), _KEY % ("orders", "parts", "")),
+    '{"tables": [], "foreign_keys": []}',
+)
+
+
+@query(
+    "WITH d AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 50 = 8 THEN 'building__1__2' ELSE translate(lower(c_mktsegment || ' (' || c_nationkey % 3 || ')'), '()- *', '_____') END AS base FROM customer WHERE c_custkey % 6 > 1), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY key) AS i FROM d), s AS (SELECT *, CASE WHEN i > 1 THEN base || '_' || i ELSE base END AS id FROM n) "
+    "SELECT key, CASE WHEN i > 1 AND id IN (SELECT base FROM d) THEN id || '_' || substr(md5(base || '/' || i), 1, 12) ELSE id END AS db_id, "
+    "CASE key % 6 WHEN 2 THEN 1 WHEN 5 THEN 0 ELSE 2 END AS tables, CASE WHEN key % 6 IN (2, 4) THEN 1 ELSE 0 END AS keys FROM s"
+)
+def schema_texts(spark, sf_dir):
+    """Schemas written as JSON for every customer: what is kept of them, and ids of domains that are often equal."""
+    c = _read(spark, sf_dir, "customer")
+    domain = F.when(F.col("c_custkey") % 50 == 8, "Building (1)_2").otherwise(F.concat("c_mktsegment", F.lit(" ("), (F.col("c_nationkey") % 3).cast("string"), F.lit(")")))
+    written = c.select("c_custkey", domain.alias("domain"), F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("c_custkey") % 6 + 1).cast("int")).alias("text"))
+    found = schemas.parsed_schemas(written, "text", "domain", "c_custkey")
+    return found.select("key", "db_id", F.size("tables").alias("tables"), F.size("foreign_keys").alias("keys"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS cust, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 0 END AS price, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS status FROM orders")
 def zero_nulls(spark, sf_dir):
     """Values of a dump for a server without nulls; what can't be read becomes the type's zero."""

@@ -130,6 +130,50 @@ def valid_tables(described: DataFrame) -> DataFrame:
     return rows.join(good, ["db_id", "table_name"], "left").withColumn("foreign_keys", F.coalesce("kept_keys", F.filter("foreign_keys", lambda x: F.lit(False)))).drop("kept_keys")
 
 
+#: The fields of a schema that is written as JSON.
+SCHEMA_TEXT = (
+    "tables array<struct<table_name: string, column_names: array<string>, column_types: array<string>, column_descriptions: array<string>>>, "
+    "foreign_keys array<struct<source_table: string, column_in_source_table: string, referenced_table: string, column_in_referenced_table: string>>"
+)
+#: Characters that an id can't have, and its length before a suffix.
+NOT_IN_IDS, ID_LENGTH = "()- *", 75
+
+
+def parsed_schemas(df: DataFrame, text: str, domain: str, key: str) -> DataFrame:
+    """(key, domain, db_id, tables, foreign_keys) of schemas written as JSON.
+
+    Left out: texts that are null, can't be read or lack one of the two lists, and rows without a domain; tables without a name or whose names, types and
+    descriptions aren't equally many; foreign keys that lack a part or name a table (in any case) that isn't among those kept.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(domain).alias("domain"), F.from_json(text, SCHEMA_TEXT).alias("s")).select("key", "domain", "s.*")
+    rows = rows.filter("domain IS NOT NULL AND tables IS NOT NULL AND foreign_keys IS NOT NULL")
+    size = lambda t, part: F.size(t[part])
+    whole = lambda t: t["table_name"].isNotNull() & (size(t, "column_names") == size(t, "column_types")) & (size(t, "column_names") == size(t, "column_descriptions")) & t["column_names"].isNotNull()
+    rows = rows.withColumn("tables", F.filter("tables", lambda t: F.coalesce(whole(t), F.lit(False))))
+    names = F.transform("tables", lambda t: F.lower(t["table_name"]))
+    leads = lambda k: F.array_contains(names, F.lower(k["source_table"])) & F.array_contains(names, F.lower(k["referenced_table"]))
+    columns = lambda k: k["column_in_source_table"].isNotNull() & k["column_in_referenced_table"].isNotNull()
+    rows = rows.withColumn("foreign_keys", F.filter("foreign_keys", lambda k: F.coalesce(leads(k) & columns(k), F.lit(False))))
+    return database_ids(rows, "domain", "key").select("key", "domain", "db_id", "tables", "foreign_keys")
+
+
+def database_ids(df: DataFrame, domain: str, key: str, name: str = "db_id") -> DataFrame:
+    """Adds an id made of the domain's text. Equal ones are numbered by key from the second on, as id_2, id_3; where that is some row's own id, a digest follows it.
+
+    key tells rows apart. A null domain has a null id. Numbers come from one order of the whole table, so a frequent domain is no large task.
+    """
+    lower = F.translate(F.lower(domain), NOT_IN_IDS, "_" * len(NOT_IN_IDS))
+    base = F.left(F.regexp_replace(lower, r"^\s+|\s+$", ""), F.lit(ID_LENGTH))
+    placed = numbered(df.withColumn("__base", base).withColumn("__key", F.struct("__base", F.col(key))), "__key", "__at").drop("__key")
+    firsts = placed.groupBy(F.col("__base").alias("__b")).agg(F.min("__at").alias("__first")).filter("__b IS NOT NULL")
+    out = placed.join(firsts, F.col("__base") == F.col("__b"), "left").withColumn("__n", F.col("__at") - F.col("__first") + 1).drop("__b")
+    out = out.withColumn(name, F.when(F.col("__n") > 1, F.concat_ws("_", "__base", "__n")).otherwise(F.col("__base")))
+    taken = (F.col("__n") > 1) & (F.col(name) == F.col("__b"))
+    out = out.join(firsts.select("__b"), taken, "left")
+    digest = F.left(F.md5(F.concat_ws("/", "__base", "__n")), F.lit(12))
+    return out.withColumn(name, F.when(F.col("__b").isNotNull(), F.concat_ws("_", name, digest)).otherwise(F.col(name))).drop("__base", "__at", "__first", "__n", "__b")
+
+
 def assign_keys(df: DataFrame, order: str, primary: str, foreign: dict[str, int], seed: int = 42) -> DataFrame:
     """primary := the row's place by ``order``, from 0; foreign keys := numbers below the given table sizes, from the MD5 of seed, name and key."""
     out = numbered(df, order, primary, 0)

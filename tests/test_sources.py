@@ -7,6 +7,7 @@ import sqlite3
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.sources import dump, sqlite
 
@@ -179,3 +180,23 @@ def test_what_is_written_is_read(spark, tmp_path):
     dump.written(df, "t").write.text(str(tmp_path / "t"))
     back = dump.rows_of(dump.statements(spark, str(tmp_path / "t")), "t", df.schema)
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_schema_texts_that_are_odd_and_ids_that_collide(spark):
+    from quillon.sources import schemas
+
+    table = '{"table_name": "T", "column_names": ["a"], "column_types": ["INT"], "column_descriptions": ["x"]}'
+    nameless = '{"column_names": ["a"], "column_types": ["INT"], "column_descriptions": ["x"]}'
+    whole = '{"tables": [%s, %s, null], "foreign_keys": [null, {"source_table": "t"}]}' % (table, nameless)
+    rows = [(1, "A b", whole), (2, " a-B\t", whole), (3, "a_b", whole), (4, "a_b_2", whole), (5, None, whole), (6, "x", None), (7, "x", "[]"), (8, "x", '{"tables": 3, "foreign_keys": []}'), (9, "y" * 90, whole), (10, "y" * 80, whole), (11, "", whole)]
+    df = spark.createDataFrame(rows, "id long, domain string, text string")
+    got = {r["key"]: r for r in schemas.parsed_schemas(df, "text", "domain", "id").collect()}
+    assert set(got) == {1, 2, 3, 4, 9, 10, 11}
+    assert all([t["table_name"] for t in r["tables"]] == ["T"] and r["foreign_keys"] == [] for r in got.values())
+    ids = {k: r["db_id"] for k, r in got.items()}
+    assert (ids[1], ids[4], ids[9], ids[10], ids[11]) == ("a_b", "a_b_2", "y" * 75, "y" * 75 + "_2", "")
+    assert ids[2] == "_a_b" and ids[3].startswith("a_b_2_") and len(ids[3]) == 18
+    assert len(set(ids.values())) == len(ids)
+    assert schemas.parsed_schemas(df.limit(0), "text", "domain", "id").count() == 0
+    same = schemas.database_ids(df.withColumn("domain", F.lit("hot")), "domain", "id")
+    assert sorted(r["db_id"] for r in same.collect()) == sorted(["hot", *(f"hot_{i}" for i in range(2, 12))])
