@@ -28,6 +28,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_secret_scan": secrets.ORACLE_SQL,
         "op3_minhash_dedup": minhash_dedup.ORACLE_SQL,
         "op4_exact_dedup": exact_dedup.ORACLE_SQL,
         "op6_warc_zip": warc_zip.ORACLE_SQL,

@@ -279,3 +279,35 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(write(base), 256).alias("base_sha256"),
         write(F.col("spans")).alias("spans"),
     )
+
+
+def _either_case(pattern: str) -> str:
+    """The assign rule's keys with both cases of ASCII letters spelled out, as folding in RE2 goes beyond ASCII."""
+    keys, value = pattern.split(")", 1)
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in keys) + ")" + value
+
+
+def _twin_of(rank: int, kind: str, pattern: str, group: int, least: int, lead: str = "0") -> str:
+    """Spans of one rule from its matches and the gaps before them. lead: characters of a match before the span."""
+    quoted = pattern.replace("'", "''")
+    lists = f"regexp_extract_all(t, '{quoted}') AS m, string_split_regex(t, '{quoted}') AS g, regexp_extract_all(t, '{quoted}', {group}) AS p, regexp_extract_all(t, '{quoted}', 1) AS l"
+    before = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+    each = f"SELECT doc_id, m, g, p, l, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, {lists} FROM d WHERE regexp_matches(t, '{quoted}'))"
+    return f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, CAST({before} + {lead} AS BIGINT) AS a, CAST({before} + length(m[i]) AS BIGINT) AS b FROM ({each}) WHERE length(p[i]) >= {least}"
+
+
+_TWINS = (
+    _twin_of(0, "assign", _either_case(BASE_RULES[0].pattern), 2, 6),
+    _twin_of(1, "access", "(" + BASE_RULES[1].pattern + ")", 0, 20),
+    _twin_of(2, "hex", "(" + BASE_RULES[2].pattern + ")", 0, 24),
+    _twin_of(3, "private_key", "(" + EXTRA_RULES[0].pattern + ")", 0, 1),
+    _twin_of(4, "github", "(" + EXTRA_RULES[1].pattern + ")", 0, 1),
+    # RE2 looks behind nothing: what stands before the token is matched too and left out of the span
+    _twin_of(5, "jwt", r"(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1, "length(l[i])"),
+)
+_SPANS = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank)"
+ORACLE_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (" + " UNION ALL ".join(_TWINS) + ") "
+    "SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, "
+    f"sha256(coalesce({_SPANS} FILTER (rank < {len(BASE_RULES)}), '')) AS base_sha256, coalesce({_SPANS}, '') AS spans FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"
+)
