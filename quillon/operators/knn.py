@@ -127,6 +127,7 @@ class VectorIndex:
     eighth of the vector. ``search`` takes the rows of the least estimates, reads those alone (their keys are pushed to the scan) and ranks
     them by their true distances. Centroids are fitted on a bounded sample; every row is indexed. How many lists a
     search reads, and how many rows in full, follows from the recall measured on the finished index against exact search.
+    A code's error, how far it is from its row, tells which rows an exact search has to read besides.
     """
 
     SAMPLE = 20_000
@@ -136,6 +137,8 @@ class VectorIndex:
     WIDEST = 8
     #: Codes that meet a block of queries at once in ``search_all``.
     DEALT = 16_384
+    #: Keys that an exact search broadcasts, at most.
+    BROADCAST = 200_000
 
     def __init__(self, path: str, key: str, centroids: np.ndarray, measured: Sequence[tuple[int, int, int, float]] = ()):
         self.path, self.key, self.centroids, self.measured = path, key, centroids, sorted(measured)
@@ -147,7 +150,8 @@ class VectorIndex:
         where = f"{path}/centroids"
         if not rebuild and _exists(spark, where):
             return cls(path, key, cls._read(spark, where))._measure(spark, vec_col, queries, again=False)
-        sample = df.filter(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(vec_col)).limit(cls.SAMPLE).select(vec_col).toPandas()[vec_col]
+        finite = F.forall(vec_col, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))  # NaN is the largest number
+        sample = df.filter(F.col(vec_col).isNotNull() & finite).orderBy(F.xxhash64(vec_col)).limit(cls.SAMPLE).select(vec_col).toPandas()[vec_col]
         x = np.stack(sample.to_numpy()).astype(float)
         n = min(lists or max(1, int(np.sqrt(len(x)))), len(x))
         c = x[np.linspace(0, len(x) - 1, n).astype(int)]
@@ -156,22 +160,24 @@ class VectorIndex:
             c = np.stack([x[owner == i].mean(0) if (owner == i).any() else c[i] for i in range(n)])
         spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "i int, v array<double>").write.mode("overwrite").parquet(where)
 
-        def coded(batches):
-            for batch in batches:
-                if not len(batch):
-                    yield batch.assign(centroid=[], code=[], scale=[])
-                    continue
-                have = np.stack(batch[vec_col].to_numpy()).astype(float)
-                owner = _distances(have, c, "l2").argmin(1)
-                code, scale = _encode(have - c[owner])
-                yield batch.assign(centroid=owner, code=code, scale=scale)
+        @F.pandas_udf("int")
+        def owner(v: pd.Series) -> pd.Series:
+            return pd.Series(_distances(np.stack(v.to_numpy()).astype(float), c, "l2").argmin(1) if len(v) else [], dtype="int32")
+
+        @F.pandas_udf("code binary, scale double, error double")
+        def coded(v: pd.Series, owner: pd.Series) -> pd.DataFrame:
+            if not len(v):
+                return pd.DataFrame({"code": [], "scale": [], "error": []})
+            have, center = np.stack(v.to_numpy()).astype(float), c[owner.to_numpy()]
+            code, scale = _encode(have - center)
+            return pd.DataFrame({"code": code, "scale": scale, "error": _apart(have, center + _decode(code, scale, have.shape[1]))})
 
-        rows = df.filter(F.col(vec_col).isNotNull())
-        schema = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes) + ", centroid int, code binary, scale double"
         # a hot list is dealt to several files by a salt; sorted by key, so that a scan for a few keys skips most pages
-        dealt = rows.mapInPandas(coded, schema).repartition("centroid", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(4))).sortWithinPartitions("centroid", key)
-        dealt.drop("code", "scale").write.mode("overwrite").option("parquet.page.row.count.limit", 512).partitionBy("centroid").parquet(f"{path}/rows")
-        codes = dealt.select(F.col(f"`{key}`").alias("key"), "centroid", "code", "scale")
+        rows = df.filter(F.col(vec_col).isNotNull()).withColumn("centroid", owner(vec_col))
+        dealt = rows.repartition("centroid", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(4))).sortWithinPartitions("centroid", key)
+        dealt.write.mode("overwrite").option("parquet.page.row.count.limit", 512).partitionBy("centroid").parquet(f"{path}/rows")
+        # codes come from the rows as written: a row between two lists has its code in the same one
+        codes = spark.read.parquet(f"{path}/rows").select(F.col(f"`{key}`").alias("key"), "centroid", coded(vec_col, "centroid").alias("c")).select("key", "centroid", "c.*")
         codes.write.mode("overwrite").partitionBy("centroid").parquet(f"{path}/codes")
         return cls(path, key, c)._measure(spark, vec_col, queries, again=True)
 
@@ -246,9 +252,13 @@ class VectorIndex:
     def _read(spark, where: str) -> np.ndarray:
         return np.stack(spark.read.parquet(where).orderBy("i").toPandas()["v"].to_numpy())
 
-    def search(self, spark, vec_col: str, query: Sequence[float], k: int, probes: int | None = None) -> DataFrame:
-        """The k rows nearest to query, with their distance. What comes to the driver in between is ``taken_for(k)`` keys."""
-        wanted, centroids, taken = np.asarray([query], float), self.centroids, self.taken_for(k)
+    def search(self, spark, vec_col: str, query: Sequence[float], k: int, probes: int | None = None, exact: bool = False) -> DataFrame:
+        """The k rows nearest to query, with their distance. What comes to the driver in between is ``taken_for(k)`` keys.
+
+        exact: the k rows so found bound how far the nearest can be, and every row of any list that its code doesn't place farther is
+        read in full. The result is that of ``knn``, ties too. k distances and a count per list come to the driver besides.
+        """
+        wanted, centroids, taken = np.asarray([query], np.float32).astype(float), self.centroids, self.taken_for(k)  # as vector() has it
         near = np.argsort(_distances(wanted, centroids, "l2")[0])[: self.probes_for(k) if probes is None else probes]
 
         def guess(batches):
@@ -264,7 +274,28 @@ class VectorIndex:
         kind = dict(codes.dtypes)["key"]
         best = codes.mapInPandas(guess, f"key {kind}, centroid int, guess double").orderBy("guess", "key").limit(taken).collect()
         few = rows.filter(F.col("centroid").isin(sorted({r["centroid"] for r in best})) & F.col(f"`{self.key}`").isin([r["key"] for r in best]))
-        return knn(few.drop("centroid"), vec_col, query, k, self.key)
+        found = knn(few.drop("centroid"), vec_col, query, k, self.key)
+        return knn(self._possible(spark, wanted, found, k), vec_col, query, k, self.key) if exact else found
+
+    def _possible(self, spark, wanted: np.ndarray, found: DataFrame, k: int) -> DataFrame:
+        """The rows that may be as near as the k found: those whose code is no farther than the last of these and the code's own error."""
+        distances, centroids = [r["distance"] for r in found.select("distance").collect()], self.centroids
+        bound = distances[-1] if len(distances) == k else float("inf")
+
+        @F.pandas_udf("boolean")
+        def near(code: pd.Series, scale: pd.Series, error: pd.Series, centroid: pd.Series) -> pd.Series:
+            if not len(code):
+                return pd.Series([], dtype=bool)
+            guess = _apart(wanted, centroids[centroid.to_numpy()] + _decode(code, scale, wanted.shape[1]))
+            with np.errstate(invalid="ignore"):
+                # rounding may neither rule out a row, nor may what isn't a number
+                return pd.Series(~((guess - error) - 1e-9 * (guess + error) > bound))
+
+        left = spark.read.parquet(f"{self.path}/codes").filter(near("code", "scale", "error", "centroid")).select(F.col("key").alias("__key"), F.col("centroid").alias("__list"))
+        sizes = left.groupBy("__list").count().collect()  # a row per list
+        rows = spark.read.parquet(f"{self.path}/rows").filter(F.col("centroid").isin([r["__list"] for r in sizes]))
+        left = F.broadcast(left) if sum(r["count"] for r in sizes) <= self.BROADCAST else left
+        return rows.join(left, (F.col("centroid") == F.col("__list")) & F.col(f"`{self.key}`").eqNullSafe(F.col("__key")), "left_semi").drop("centroid")
 
     def search_all(self, queries: DataFrame, key: str, vec_col: str, k: int) -> DataFrame:
         """(query_key, key, distance, rank) for a table of queries: each goes to its lists' codes, and the rows taken from them are measured in full.
@@ -310,6 +341,12 @@ class VectorIndex:
         return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances row by row, from the differences: right to the last digits for near rows too."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        return np.sqrt(((a - b) ** 2).sum(1))
+
+
 def _exists(spark, where: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
